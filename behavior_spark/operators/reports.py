@@ -147,8 +147,8 @@ def scroll_bands(bins: DataFrame) -> DataFrame:
     return (
         bins.groupBy("y_bin_pct")
         .agg(F.max("event_count").cast("double").alias("event_count"))
-        .withColumn("x_bin_pct", F.explode(F.sequence(F.lit(0), F.lit(100), F.lit(BIN_PCT))).cast("double"))
-        .select("x_bin_pct", "y_bin_pct", "event_count")
+        .withColumn("x_bin_pct", F.explode(F.sequence(F.lit(0), F.lit(100), F.lit(BIN_PCT))))
+        .select(F.col("x_bin_pct").cast("double").alias("x_bin_pct"), "y_bin_pct", "event_count")
     )
 
 

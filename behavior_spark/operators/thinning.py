@@ -14,16 +14,21 @@ Step 1 works on distinct milliseconds, so a slice has a fixed greatest size. Ste
 
 from __future__ import annotations
 
+import sys
 from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Executors need no copy of this package: the functions travel with the query.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SLICE_MS = 60_000
 
 

@@ -49,21 +49,21 @@ def _(t):
 
 
 @query("explode_batch", sql("""
-    SELECT TIMESTAMP '2024-02-01 00:00:00' AS sent_at, raw_message, json_extract_string(j, '$.type') AS message_type,
+    SELECT TIMESTAMP '2024-02-01 00:00:00' AS sent_at, json_extract_string(j, '$.type') AS message_type,
         json_extract_string(j, '$.event') AS event, json_extract_string(j, '$.userId') AS user_id,
         json_extract_string(j, '$.anonymousId') AS anonymous_id, json_extract_string(j, '$.timestamp') AS event_timestamp,
-        json_extract_string(j, '$.properties.page_url') AS page_url
+        json_extract_string(j, '$.properties.page_url') AS page_url, json_extract_string(j, '$.event_id') AS event_id
     FROM checked_messages WHERE n % 50 <> 0"""))
 def _(t):
     return ingest.explode_batch(t.envelopes).select(
         "sent_at",
-        F.col("raw_message"),
         "message_type",
         "event",
         "user_id",
         "anonymous_id",
         "event_timestamp",
         F.get_json_object("properties", "$.page_url").alias("page_url"),
+        F.get_json_object("raw_message", "$.event_id").alias("event_id"),
     )
 
 
@@ -84,7 +84,7 @@ def _ingested(t, messages, name):
     run = fanout.start_fanout(messages, paths, f"{folder}/checkpoint", {"availableNow": True}, ARRIVAL)
     run.awaitTermination()
     if name == "malformed":
-        return t.spark.read.schema("raw_message STRING").parquet(paths.malformed)
+        return t.spark.read.schema("raw_message STRING").parquet(paths.malformed).select("raw_message")
     return getattr(tables, name)(t.spark, getattr(paths, {"purchase_items": "items"}.get(name, name)))
 
 
@@ -159,12 +159,12 @@ def _(t):
     return tables.latest(rows, ["user_id"], "event_time", ["event_id"])
 
 
-@query("ml_scores_latest", sql("SELECT * FROM ml_latest"))
+@query("ml_scores_latest", sql("SELECT * REPLACE (CAST(ml_lead_score AS DOUBLE) AS ml_lead_score) FROM ml_latest"))
 def _(t):
     return tables.ml_scores_latest(t.ml_scores)
 
 
-@query("ml_scores_latest_per_model", sql("SELECT * FROM ml_scores"))
+@query("ml_scores_latest_per_model", sql("SELECT * REPLACE (CAST(ml_lead_score AS DOUBLE) AS ml_lead_score) FROM ml_scores"))
 def _(t):
     return tables.ml_scores_latest(t.ml_scores.unionByName(t.ml_scores), per_model=True)
 

@@ -133,7 +133,7 @@ BLOCKS = {
         CAST(json_extract(j, '$.properties.products') AS VARCHAR) AS products_json FROM purchases""",
     "latest_orders": """SELECT * EXCLUDE (nth) FROM (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY
         event_time DESC, anonymous_user_id DESC, session_id DESC, total DESC) AS nth FROM order_rows) WHERE nth = 1""",
-    "dataset_csv": f"""SELECT {_columns(fx.DATASET_CSV, ms='epoch_ms(ts)')}, 'events.csv' AS source_file,
+    "dataset_csv": f"""SELECT {_columns(fx.DATASET_CSV, ms='(epoch_us(ts) // 1000)')}, 'events.csv' AS source_file,
         n + 2 AS source_row_num FROM base""",
     "dataset_events": """SELECT make_timestamp(CAST(timestamp AS BIGINT) * 1000) AS event_time,
         CAST(visitorid AS BIGINT) AS visitor_id, CAST(itemid AS BIGINT) AS item_id, event AS event_type,
@@ -142,7 +142,7 @@ BLOCKS = {
             transactionid)) AS row_hash, source_file, source_row_num FROM dataset_csv""",
     "item_properties": f"""SELECT make_timestamp(CAST(timestamp AS BIGINT) * 1000) AS event_time,
         CAST(itemid AS BIGINT) AS item_id, property, value, source_file FROM (
-        SELECT {_columns(fx.PROPERTY_CSV, ms='epoch_ms(l_shipdate)')},
+        SELECT {_columns(fx.PROPERTY_CSV, ms='(epoch_us(l_shipdate) // 1000)')},
             CASE WHEN l_orderkey % 2 = 0 THEN 'item_properties_part1.csv' ELSE 'item_properties_part2.csv' END AS source_file
         FROM lineitem WHERE l_partkey % 7 <> 0)""",
     "item_latest": """SELECT item_id, CASE WHEN regexp_full_match(c, '[0-9]+') THEN TRY_CAST(c AS BIGINT) END AS category_id,

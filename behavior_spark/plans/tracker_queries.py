@@ -60,8 +60,8 @@ _THINNED = sql(
     "FROM hops JOIN distinct_moves USING (session_id, move_ms)",
     recursive=True,
     distinct_moves="SELECT session_id, move_ms, min(event_id) AS first_id FROM moves GROUP BY ALL",
-    links="""SELECT a.session_id, a.move_ms, b.move_ms AS next_ms FROM distinct_moves a ASOF LEFT JOIN distinct_moves b
-        ON a.session_id = b.session_id AND a.move_ms + 100 <= b.move_ms""",
+    links="""SELECT session_id, move_ms, min(move_ms) OVER (PARTITION BY session_id ORDER BY move_ms
+        RANGE BETWEEN 100 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_ms FROM distinct_moves""",
     hops="""SELECT session_id, min(move_ms) AS move_ms FROM moves GROUP BY session_id
         UNION ALL SELECT links.session_id, links.next_ms FROM hops
         JOIN links ON links.session_id = hops.session_id AND links.move_ms = hops.move_ms WHERE links.next_ms IS NOT NULL""",
@@ -81,7 +81,7 @@ def _(t):
     rows.write.parquet(f"{folder}/in")
     stream = t.spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
     run = (
-        tracker.throttle_stream(stream, keys=("session_id",))
+        tracker.throttle_stream(stream, keys=("session_id",), ttl_ms=None)
         .writeStream.format("parquet")
         .option("checkpointLocation", f"{folder}/checkpoint")
         .trigger(availableNow=True)

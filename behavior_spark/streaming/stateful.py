@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+# Executors need no copy of this package: the processor travels with the query.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class _Throttle(StatefulProcessor):
     """Remembers the time of the last kept row of a key."""
 
-    def __init__(self, ms: int, columns: Sequence[str], order: Sequence[str], ttl_ms: int):
+    def __init__(self, ms: int, columns: Sequence[str], order: Sequence[str], ttl_ms: int | None):
         self.ms, self.columns, self.order, self.ttl_ms = ms, list(columns), list(order), ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -25,8 +30,12 @@ class _Throttle(StatefulProcessor):
         self.last = handle.getValueState("last_kept", schema, ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["_ms", *self.order], kind="stable")
-        times = batch["_ms"].to_numpy(dtype=np.int64)
+        # Spark renames columns that start with an underscore here, so the plan's order counts.
+        parts = [part.set_axis([*self.columns, "row_ms"], axis=1) for part in rows if len(part)]
+        if not parts:
+            return
+        batch = pd.concat(parts, ignore_index=True).sort_values(["row_ms", *self.order], kind="stable")
+        times = batch["row_ms"].to_numpy(dtype=np.int64)
         free_from = self.last.get()[0] + self.ms if self.last.exists() else times[0]
         kept = []
         at = int(np.searchsorted(times, free_from, side="left"))
@@ -47,13 +56,14 @@ def throttle_stream(
     keys: Sequence[str] = ("session_id", "anonymous_user_id"),
     time: str = "event_time",
     order: Sequence[str] = ("event_id",),
-    ttl_ms: int = 3_600_000,
+    ttl_ms: int | None = 3_600_000,
 ) -> DataFrame:
     """Thin a live stream: keep a row if ``ms`` or more passed since the last kept row.
 
     Rows are taken in the order of their time within a micro-batch; a row that arrives
     after a later one was kept counts as too early. State is dropped after ``ttl_ms``
-    without a kept row. A task holds one key's rows of one micro-batch, which the source's
+    without a kept row; give None for a run that ends (``availableNow``), as expiry keeps a
+    query going without new data. A task holds one key's rows of one micro-batch, which the source's
     rate limit bounds; the user is part of the key so that the unknown session is spread.
     """
     spark = stream.sparkSession
@@ -62,13 +72,13 @@ def throttle_stream(
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in stream.schema])
     return (
         stream.where(F.col(time).isNotNull())
-        .withColumn("_ms", F.unix_millis(F.col(time)))
+        .withColumn("row_ms", F.unix_millis(F.col(time)))
         .groupBy(*keys)
         .transformWithStateInPandas(
             statefulProcessor=_Throttle(ms, columns, order, ttl_ms),
             outputStructType=schema,
             outputMode="Append",
-            timeMode="ProcessingTime",
+            timeMode="None" if ttl_ms is None else "ProcessingTime",
         )
     )
 
