@@ -1,8 +1,9 @@
 """Column helpers. Each one is a plain Spark expression, so it stays inside code generation."""
 
-from behavior_spark.functions.jsontext import decimal_of, double_of, json_array, json_object, text_of, uint_of
+from behavior_spark.functions.jsontext import decimal_of, double_of, json_array, json_object, json_objects, parsed_once, text_of, uint_of
 from behavior_spark.functions.numbers import (
     js_number,
+    js_trim,
     round_half_even,
     round_half_up,
     to_uint_or_null,
@@ -18,9 +19,12 @@ __all__ = [
     "event_month",
     "first_filled",
     "js_number",
+    "js_trim",
     "json_array",
     "json_object",
+    "json_objects",
     "parse_event_time",
+    "parsed_once",
     "round_half_even",
     "round_half_up",
     "span_seconds",

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from behavior_spark.functions.numbers import finite
@@ -18,15 +18,50 @@ CORRUPT = "_corrupt_record"
 _STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 
-def json_object(col: Column, fields: Iterable[str], corrupt: bool = False) -> Column:
-    """Parse one object into a struct of strings; nested values keep their JSON text."""
+def json_fields(names: Iterable[str], **nested: Iterable[str]) -> str:
+    """Schema text: string fields, and per keyword an inner object of string fields."""
+    fields = [f"`{name}` STRING" for name in names]
+    fields += [
+        f"`{name}` STRUCT<{', '.join(f'`{inner}`: STRING' for inner in inner_names)}>"
+        for name, inner_names in nested.items()
+    ]
+    return ", ".join(fields)
+
+
+def json_object(col: Column, fields: Iterable[str], corrupt: bool = False, **nested: Iterable[str]) -> Column:
+    """Parse one object into a struct of strings; nested values keep their JSON text.
+
+    A keyword such as ``properties=(...)`` opens an inner object in the same pass; it is
+    NULL when the value is no object. With ``corrupt`` the struct has a field that holds
+    the text if it is no JSON object, or if an inner object was none.
+    """
     names = list(fields)
     options = dict(_STRICT)
     if corrupt:
         names.append(CORRUPT)
         options["columnNameOfCorruptRecord"] = CORRUPT
-    ddl = ", ".join(f"`{name}` STRING" for name in names)
-    return F.from_json(col, ddl, options)
+    return F.from_json(col, json_fields(names, **nested), options)
+
+
+def json_objects(col: Column, fields: Iterable[str]) -> Column:
+    """Parse a list of objects into structs of strings; an element that is no object has no
+    fields, and anything but a list is NULL.
+    """
+    names = list(fields)
+    inner = ", ".join(f"`{name}`: STRING" for name in names)
+    # One pass as a rule. Spark gives NULL for a mixed list, which is then read by element.
+    whole = F.from_json(col, f"ARRAY<STRUCT<{inner}>>", _STRICT)
+    single = F.transform(json_array(col), lambda element: json_object(element, names))
+    return F.when(F.startswith(col, F.lit("[")), F.coalesce(whole, single))
+
+
+def parsed_once(df: DataFrame, name: str, parsed: Column) -> DataFrame:
+    """Add a parsed column that is computed a single time per row.
+
+    As a plain column Spark would copy the parsing into every filter that looks at the
+    result. It does not push filters on a generator's output below the generator.
+    """
+    return df.select("*", F.explode(F.array(parsed)).alias(name))
 
 
 def json_array(col: Column) -> Column:

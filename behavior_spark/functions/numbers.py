@@ -39,15 +39,27 @@ def to_uint_or_null(col: Column) -> Column:
     return F.when(number <= F.lit("18446744073709551615").cast(UINT64), number)
 
 
+# Fixed value: what a browser counts as white space at the ends of a text.
+_BLANKS = " \t\n\r\v\f\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
+def js_trim(col: Column) -> Column:
+    return F.btrim(col, F.lit(_BLANKS))
+
+
 def js_number(col: Column, present: Column | None = None) -> Column:
     """Text to number as a browser does it: a blank is 0, other text that is no number is NULL.
 
     ``present`` tells an explicit null (which counts as 0) from a missing key (no number).
     """
-    trimmed = F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
-    value = F.when(trimmed == "", F.lit(0.0)).when(trimmed == "true", F.lit(1.0)).when(
-        trimmed == "false", F.lit(0.0)
-    ).otherwise(finite(F.when(~trimmed.rlike("[dDfF]$"), trimmed.try_cast("double"))))
+    trimmed = js_trim(col)
+    # Java reads a type letter at the end of a number; a browser does not.
+    plain = F.when(~F.right(trimmed, F.lit(1)).isin("d", "D", "f", "F"), trimmed)
+    value = (
+        F.when(trimmed.isin("", "false"), F.lit(0.0))
+        .when(trimmed == "true", F.lit(1.0))
+        .otherwise(finite(plain.try_cast("double")))
+    )
     if present is None:
         return value
     return F.when(present & col.isNull(), F.lit(0.0)).otherwise(value)

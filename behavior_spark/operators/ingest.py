@@ -18,9 +18,10 @@ from behavior_spark.functions import (
     digest_id,
     double_of,
     first_filled,
-    json_array,
     json_object,
+    json_objects,
     parse_event_time,
+    parsed_once,
     text_of,
     uint_of,
 )
@@ -65,7 +66,7 @@ TOP_KEYS = (
     "referrer", "element_selector", "element_tag", "device_type", "session_id", "anonymous_user_id",
     "anonymousId", "userId", "x_pct", "y_pct", "scroll_pct", "viewport_width", "viewport_height",
     "event_payload", "product_id", "category", "price", "quantity", "order_id", "cart_value", "query",
-    "results_count", "properties",
+    "results_count",
 )
 PROPERTY_KEYS = (
     "page_url", "referrer", "element_selector", "element_tag", "device_type", "session_id", "x_pct",
@@ -77,16 +78,22 @@ ITEM_KEYS = ("product_id", "sku", "name", "category", "price", "quantity", "posi
 
 
 def parse_messages(messages: DataFrame) -> DataFrame:
-    """Add ``top`` and ``props`` (structs of strings) and the ``malformed`` flag."""
-    return (
-        messages.withColumn("top", json_object(F.col(RAW), TOP_KEYS, corrupt=True))
-        .withColumn("props", json_object(F.coalesce(F.col("top.properties"), F.lit("{}")), PROPERTY_KEYS))
-        .withColumn("malformed", F.col("top").isNull() | F.col(f"top.{CORRUPT}").isNotNull())
+    """Add ``top`` (a struct of strings with the inner struct ``properties``) and ``malformed``.
+
+    The parser also flags a message whose ``properties`` is no object. Such a message is
+    good, it only has no properties; a second look tells the two apart.
+    """
+    whole = json_object(F.col(RAW), TOP_KEYS, corrupt=True, properties=PROPERTY_KEYS)
+    flagged = F.col(f"top.{CORRUPT}").isNotNull()
+    # Only flagged messages are parsed again: the check occurs once, so Spark does not hoist it.
+    no_object = json_object(F.col(RAW), [], corrupt=True)[CORRUPT].isNotNull()
+    return parsed_once(messages, "top", whole).withColumn(
+        "malformed", F.col("top").isNull() | (flagged & no_object)
     )
 
 
 def _parsed(messages: DataFrame) -> DataFrame:
-    return messages if "props" in messages.columns else parse_messages(messages)
+    return messages if "malformed" in messages.columns else parse_messages(messages)
 
 
 def _top(key: str) -> Column:
@@ -94,7 +101,7 @@ def _top(key: str) -> Column:
 
 
 def _props(key: str) -> Column:
-    return F.col(f"props.{key}")
+    return F.col(f"top.properties.{key}")
 
 
 def _either(key: str, default: Column | None = None) -> Column:
@@ -192,12 +199,12 @@ def purchase_items(
     messages: DataFrame, now: Column | datetime | str | None = None, include_track_purchase: bool = False
 ) -> DataFrame:
     """One row per product of an order; an order without products gives one blank row."""
-    listed = json_array(_props("products"))
-    guarded = F.when(F.size(listed) > 0, listed).otherwise(F.array(F.lit("{}")))
+    listed = F.col("_listed")
+    blank = F.array(F.lit(None)).cast(f"ARRAY<STRUCT<{', '.join(f'{key}: STRING' for key in ITEM_KEYS)}>>")
     exploded = (
         _order_messages(messages, include_track_purchase)
-        .select("top", "props", F.explode(guarded).alias("_text"))
-        .withColumn("item", json_object(F.col("_text"), ITEM_KEYS))
+        .withColumn("_listed", json_objects(_props("products"), ITEM_KEYS))
+        .select("top", F.explode(F.when(F.size(listed) > 0, listed).otherwise(blank)).alias("item"))
     )
     values = {
         "event_id": text_of(_top("messageId")),

@@ -19,7 +19,7 @@ from behavior_spark import schemas
 from behavior_spark.operators import scoring
 from behavior_spark.operators.features import by_source
 from behavior_spark.operators.ranking import hash_rank, score_steps
-from behavior_spark.session import work_dir
+from behavior_spark.session import checkpoint_dir, materialized
 from behavior_spark.sources.tables import stamped, write_scored
 
 # The model's input columns.
@@ -80,8 +80,11 @@ def describe(features: DataFrame) -> DataFrame:
 def stratified_split(
     labelled: DataFrame, test_share: float = 0.2, seed: int = 42, keys: Sequence[str] = KEYS
 ) -> tuple[DataFrame, DataFrame]:
-    """Train and test frames with the same share of every label; a rerun gives the same rows."""
-    ranked = hash_rank(labelled, ["converted"], keys, seed)
+    """Train and test frames with the same share of every label; a rerun gives the same rows.
+
+    The ranked rows are written once, as training reads them many times.
+    """
+    ranked = materialized(hash_rank(labelled, ["converted"], keys, seed))
     in_test = F.col("hash_rank") <= F.round(F.col("group_rows") * F.lit(test_share))
     columns = labelled.columns
     return ranked.where(~in_test).select(*columns), ranked.where(in_test).select(*columns)
@@ -125,9 +128,7 @@ def train(train_rows: DataFrame, params: TrainParams = TrainParams()) -> Pipelin
 
     Long chains of boosting steps are cut by checkpoints in the shared work folder.
     """
-    spark = train_rows.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(work_dir(spark))
+    checkpoint_dir(train_rows.sparkSession)
     return _pipeline(params).fit(_weighted(train_rows))
 
 
@@ -140,11 +141,8 @@ def cross_validate(
 ) -> DataFrame:
     """Mean and spread of the ROC-AUC over stratified folds."""
     spark = train_rows.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(work_dir(spark))
-    folded = hash_rank(_weighted(train_rows), ["converted"], keys, params.seed).withColumn(
-        "_fold", F.pmod(F.col("hash_rank"), F.lit(folds)).cast("int")
-    )
+    ranked = materialized(hash_rank(_weighted(train_rows), ["converted"], keys, params.seed))
+    folded = ranked.withColumn("_fold", F.pmod(F.col("hash_rank"), F.lit(folds)).cast("int"))
     validator = CrossValidator(
         estimator=_pipeline(params),
         estimatorParamMaps=ParamGridBuilder().build(),
@@ -220,23 +218,27 @@ def importances(model: PipelineModel) -> DataFrame:
 # ---- metrics -------------------------------------------------------------------------------
 
 
-def roc_auc(rows: DataFrame, score: str = "ml_lead_score", label: str = "converted") -> DataFrame:
-    """Area under the ROC curve by ranks, ties counting half; NULL with one label only."""
-    steps = score_steps(rows, score, label)
-    negatives = F.col("n") - F.col("pos")
+def _roc_auc_of_steps() -> Column:
     # Each negative is beaten by the positives above it and by half of those beside it.
+    negatives = F.col("n") - F.col("pos")
     won = F.sum(negatives * (F.col("pos_above") + F.col("pos") / F.lit(2.0)))
     pairs = F.max("all_pos").cast("double") * (F.max("all_n") - F.max("all_pos")).cast("double")
-    return steps.agg(F.try_divide(won, pairs).alias("roc_auc"))
+    return F.try_divide(won, pairs)
+
+
+def _average_precision_of_steps() -> Column:
+    precision = (F.col("pos_above") + F.col("pos")) / (F.col("n_above") + F.col("n"))
+    return F.try_divide(F.sum(F.col("pos") * precision), F.max("all_pos").cast("double"))
+
+
+def roc_auc(rows: DataFrame, score: str = "ml_lead_score", label: str = "converted") -> DataFrame:
+    """Area under the ROC curve by ranks, ties counting half; NULL with one label only."""
+    return score_steps(rows, score, label).agg(_roc_auc_of_steps().alias("roc_auc"))
 
 
 def average_precision(rows: DataFrame, score: str = "ml_lead_score", label: str = "converted") -> DataFrame:
     """Precision at every distinct score, weighted by the recall gained there."""
-    steps = score_steps(rows, score, label)
-    precision = (F.col("pos_above") + F.col("pos")) / (F.col("n_above") + F.col("n"))
-    return steps.agg(
-        F.try_divide(F.sum(F.col("pos") * precision), F.max("all_pos").cast("double")).alias("average_precision")
-    )
+    return score_steps(rows, score, label).agg(_average_precision_of_steps().alias("average_precision"))
 
 
 def precision_at(
@@ -251,7 +253,12 @@ def precision_at(
     The score at which the top ends is found on distinct scores. Only the rows of that one
     score are ranked, over many slices, so even a tie of most rows is no large group.
     """
-    steps = score_steps(rows, score, label)
+    return _precision_at(score_steps(rows, score, label), rows, share, score, label, keys)
+
+
+def _precision_at(
+    steps: DataFrame, rows: DataFrame, share: float, score: str, label: str, keys: Sequence[str]
+) -> DataFrame:
     top = F.greatest(F.lit(1).cast("bigint"), F.floor(F.col("all_n") * F.lit(share)))
     edge = (
         steps.withColumn("k", top)
@@ -292,10 +299,9 @@ def compare_with_rules(predicted: DataFrame) -> DataFrame:
 
 def evaluate(predicted: DataFrame, share: float = 0.1) -> dict[str, float]:
     """The three test metrics as plain numbers."""
-    top = precision_at(predicted, share).first()
-    return {
-        "roc_auc": roc_auc(predicted).first()["roc_auc"],
-        "average_precision": average_precision(predicted).first()["average_precision"],
-        "precision_at_k": top["precision_at_k"],
-        "k": top["k"],
-    }
+    steps = score_steps(predicted, "ml_lead_score", "converted")
+    areas = steps.agg(
+        _roc_auc_of_steps().alias("roc_auc"), _average_precision_of_steps().alias("average_precision")
+    ).first()
+    top = _precision_at(steps, predicted, share, "ml_lead_score", "converted", KEYS).first()
+    return {**areas.asDict(), **top.asDict()}

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from behavior_spark.session import materialized
+
 HASH_DIGITS = 3  # 16 ** 3 slices per group
 SCORE_SLICES = 256
 
@@ -71,6 +73,8 @@ def score_steps(rows: DataFrame, score: str, label: str) -> DataFrame:
         .groupBy(F.col(score).cast("double").alias("score"))
         .agg(F.sum(F.col(label).cast("bigint")).alias("pos"), F.count(F.lit(1)).alias("n"))
     )
+    # Written once: the rows behind it (often a model's output) are not computed again.
+    steps = materialized(steps)
     shares = [i / SCORE_SLICES for i in range(1, SCORE_SLICES)]
     bounds = sorted(set(steps.approxQuantile("score", shares, 1 / (2 * SCORE_SLICES))))
     number = _slice_number(F.col("score"), bounds)

@@ -56,6 +56,9 @@ RULE_LABELS = {
 }
 
 
+JOIN_SALTS = 64
+
+
 # ---- filters -------------------------------------------------------------------------------
 
 
@@ -287,10 +290,14 @@ def order_products(items: DataFrame, max_items: int = 10_000) -> DataFrame:
         .where(F.col("_n") > max_items)
         .select("order_id", F.ceil(F.col("_n") / F.lit(max_items)).cast("bigint").alias("_parts"))
     )
+    # Salted on both sides, so the items of a large order meet its one row in many tasks.
+    salts = F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1))
+    salted = large.withColumn("_salt", F.explode(salts))
     spread = F.xxhash64("event_id", "product_id", "position", "event_time")
     return (
         items.select("order_id", "product_id", spread.alias("_spread"))
-        .join(large, "order_id", "left")
+        .withColumn("_salt", F.pmod(F.shiftright("_spread", 32), F.lit(JOIN_SALTS)).cast("int"))
+        .join(salted, ["order_id", "_salt"], "left")
         .withColumn("part", F.pmod(F.col("_spread"), F.coalesce("_parts", F.lit(1).cast("bigint"))))
         .groupBy("order_id", "part")
         .agg(F.sort_array(F.collect_list("product_id")).alias("products"))

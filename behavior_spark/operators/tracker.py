@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from behavior_spark.functions import js_number, round_half_up, text_of
+from behavior_spark.functions import js_number, js_trim, parsed_once, round_half_up, text_of
+from behavior_spark.operators import carts
 from behavior_spark.operators.running import SLICE_SECONDS, Running, running
 from behavior_spark.operators.thinning import throttle
 
@@ -146,66 +147,9 @@ def cart_value(
 
     ``events`` holds ``event_type``, ``product_id``, ``quantity`` and ``price``. A purchase
     shows the value it buys and empties the cart. A product's quantity never falls below
-    zero, and its price is that of its last add.
-
-    With S the running signed quantity of a product since the last purchase, the quantity
-    is S minus the lowest S so far if that is below zero; the cart's value is the running
-    sum of the changes in quantity times price.
+    zero, and its price is that of its last add. See ``carts.py`` for how it is computed.
     """
-    columns = events.columns
-    order = ["event_time", "event_id"]
-    kind = F.col("event_type")
-    quantity = F.coalesce(F.col("quantity").cast("bigint"), F.lit(0).cast("bigint"))
-    actions = events.where(kind.isin("add_to_cart", "remove_from_cart", "purchase")).withColumns(
-        {
-            "_bought": F.when(kind == "purchase", 1).otherwise(0),
-            "_moved": F.when(kind == "add_to_cart", quantity)
-            .when(kind == "remove_from_cart", -quantity)
-            .otherwise(F.lit(0).cast("bigint")),
-            "_add_price": F.when(kind == "add_to_cart", F.col("price").cast("double")),
-        }
-    )
-    epochs = running(
-        actions, [session], order, [Running("_epoch", "sum", "_bought", before=True)], slice_seconds=slice_seconds
-    ).withColumn("_epoch", F.coalesce("_epoch", F.lit(0)))
-    # Purchases carry no product of their own; keep them apart from the products' rows.
-    epochs = epochs.withColumn("_product", F.when(F.col("_bought") == 0, F.col("product_id")))
-    cart = [session, "_epoch", "_product"]
-    stocked = running(
-        epochs,
-        cart,
-        order,
-        [
-            Running("_sum", "sum", "_moved"),
-            Running("_price", "last", "_add_price"),
-            Running("_price_before", "last", "_add_price", before=True),
-        ],
-        slice_seconds=slice_seconds,
-    )
-    lowest = running(
-        stocked,
-        cart,
-        order,
-        [Running("_low", "min", "_sum"), Running("_low_before", "min", "_sum", before=True)],
-        slice_seconds=slice_seconds,
-    )
-
-    def held(total: Column, low: Column) -> Column:
-        return total - F.least(F.lit(0).cast("bigint"), low)
-
-    after = held(F.col("_sum"), F.col("_low")) * F.coalesce("_price", F.lit(0.0))
-    prior = held(F.col("_sum") - F.col("_moved"), F.col("_low_before")) * F.coalesce("_price_before", F.lit(0.0))
-    change = F.when(F.col("_bought") == 0, after - prior).otherwise(F.lit(0.0))
-    valued = running(
-        lowest.withColumn("_change", change),
-        [session, "_epoch"],
-        order,
-        [Running("_total", "sum", "_change")],
-        slice_seconds=slice_seconds,
-    )
-    return valued.select(
-        *[c for c in columns if c != "cart_value"], round_half_up(F.col("_total"), 2).alias("cart_value")
-    )
+    return carts.cart_value(events, session, slice_seconds)
 
 
 # ---- call validation -----------------------------------------------------------------------
@@ -249,7 +193,7 @@ def validate_events(calls: DataFrame, lenient: bool = False) -> tuple[DataFrame,
     method = F.col("method")
     product = _filled(text("product_id"))
     order = _filled(text("order_id"))
-    query = F.regexp_replace(text_of(text("query")), r"(?U)^\s+|\s+$", "")
+    query = js_trim(text_of(text("query")))
     zero = F.lit(0.0)
     if lenient:
         price = F.coalesce(js_number(text("price"), has("price")), zero)
@@ -285,10 +229,8 @@ def validate_events(calls: DataFrame, lenient: bool = False) -> tuple[DataFrame,
         .otherwise(F.lit(False))
     )
     items = ("product_view", "add_to_cart", "remove_from_cart")
-    checked = (
-        calls.withColumn("_p", F.coalesce(F.from_json("payload", "MAP<STRING, STRING>"), F.create_map().cast("MAP<STRING, STRING>")))
-        .withColumn("_ok", accepted)
-    )
+    arguments = F.coalesce(F.from_json("payload", "MAP<STRING, STRING>"), F.create_map().cast("MAP<STRING, STRING>"))
+    checked = parsed_once(calls, "_p", arguments).withColumn("_ok", accepted)
     events = checked.where("_ok").select(
         *[c for c in calls.columns if c not in ("method", "payload")],
         method.alias("event_type"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings; none of them depends on the size of the data.
 SESSION_CONF = {
@@ -15,6 +15,8 @@ SESSION_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # The JVM compiles no method above 8000 bytes: wide projections are cut up instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -59,3 +61,18 @@ def work_dir(spark: SparkSession) -> str:
 def new_folder(spark: SparkSession, label: str) -> str:
     """A fresh, unused path below the shared work folder."""
     return f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def checkpoint_dir(spark: SparkSession) -> None:
+    """Make sure that Spark has a folder for checkpoints."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(work_dir(spark))
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """Write a frame to the shared checkpoint folder and read it from there from now on.
+
+    Unlike a cache it survives lost executors, and nothing before it runs a second time.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from behavior_spark.functions import json_object, parse_event_time
+from behavior_spark.functions import json_object, parse_event_time, parsed_once
 from behavior_spark.functions.jsontext import CORRUPT
 
 RAW = "raw_message"
@@ -53,7 +53,8 @@ def split_malformed(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Works on batch frames and on streams. Write the second frame to a quarantine table.
     """
-    return messages.where(~is_malformed()), messages.where(is_malformed())
+    marked = parsed_once(messages, "_malformed", is_malformed())
+    return marked.where("NOT _malformed").drop("_malformed"), marked.where("_malformed").drop("_malformed")
 
 
 def explode_batch(messages: DataFrame) -> DataFrame:
@@ -62,7 +63,7 @@ def explode_batch(messages: DataFrame) -> DataFrame:
     A message that is no envelope passes through as itself, so mixed topics stay whole.
     """
     envelope = F.from_json(F.col(RAW), "batch ARRAY<STRING>, sentAt STRING")
-    opened = messages.withColumn("_envelope", envelope).select(
+    opened = parsed_once(messages, "_envelope", envelope).select(
         *[c for c in messages.columns if c != RAW],
         F.explode(F.coalesce(F.col("_envelope.batch"), F.array(F.col(RAW)))).alias(RAW),
         parse_event_time(F.col("_envelope.sentAt")).alias("sent_at"),

@@ -114,13 +114,25 @@ def test_missing_ids(spark):
 
 
 def test_order_without_products_gives_a_blank_row(spark):
-    lists = [None, [], "none"]
+    lists = [None, [], "none", {"product_id": "x"}]
     df = frame(spark, [{"type": "purchase", "properties": {"order_id": f"o{i}", "products": p}} for i, p in enumerate(lists)])
     rows = ingest.purchase_items(df, NOW).collect()
-    assert sorted(r.order_id for r in rows) == ["o0", "o1", "o2"]
+    assert sorted(r.order_id for r in rows) == ["o0", "o1", "o2", "o3"]
     assert all(r.product_id == "" and r.price is None and r.event_id == "" for r in rows)
 
 
+def test_mixed_product_lists(spark):
+    df = frame(spark, [{"type": "purchase", "properties": {"products": [{"product_id": "a", "price": {"x": 1}}, 5, None, {"product_id": "b"}]}}])
+    assert sorted(r.product_id for r in ingest.purchase_items(df, NOW).collect()) == ["", "", "a", "b"]
+
+
+def test_properties_of_another_kind(spark):
+    kinds = [{"event_id": "a", "properties": [1]}, {"event_id": "b", "properties": 5, "price": 3}, {"event_id": "c", "properties": None}]
+    df = frame(spark, [*kinds, '{"event_id": "d", "properties": {"price": 1', '{"event_id": "e", "properties": {"price": "7"}}'])
+    rows = {r.event_id: r.price for r in ingest.normalize_events(df, NOW).collect()}
+    assert rows == {"a": None, "b": Decimal("3.00"), "c": None, "e": Decimal("7.00")}
+
+
 def test_purchase_message_filter(spark):
     kinds = [{"type": "purchase"}, {"type": "track", "event": "Order Completed"}, {"type": "track", "event": "purchase"}, {"type": "page"}]
     df = frame(spark, kinds)

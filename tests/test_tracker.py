@@ -134,7 +134,7 @@ def replay(actions):
 def test_cart_value_equals_replay(spark, slice_seconds):
     rng = random.Random(7)
     rows, expected, number = [], {}, 0
-    for session, count in [("hot", 700)] + [(f"s{i}", 60) for i in range(15)]:
+    for session, count in [("hot", 700), (None, 90)] + [(f"s{i}", 60) for i in range(15)]:
         at, actions, names = 1_700_000_000_000, [], []
         for _ in range(count):
             at += rng.choice([0, 40, 400, 3000])
