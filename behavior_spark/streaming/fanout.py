@@ -51,11 +51,12 @@ def write_fanout(
             paths.orders: ingest.orders(parsed, arrival),
         }
         folder = f"run={run_id}/ingest_batch={batch_id}"
+        # REBALANCE sizes the files by their data: without it every task writes a small file
+        # per table and month.
         for path, rows in tables.items():
-            rows.withColumn(MONTH, event_month(F.col("event_time"))).write.mode("overwrite").partitionBy(
-                MONTH
-            ).parquet(f"{path}/{folder}")
-        parsed.where("malformed").select(RAW).write.mode("overwrite").parquet(f"{paths.malformed}/{folder}")
+            monthly = rows.withColumn(MONTH, event_month(F.col("event_time"))).hint("rebalance", MONTH)
+            monthly.write.mode("overwrite").partitionBy(MONTH).parquet(f"{path}/{folder}")
+        parsed.where("malformed").select(RAW).hint("rebalance").write.mode("overwrite").parquet(f"{paths.malformed}/{folder}")
     finally:
         parsed.unpersist()
 
