@@ -212,7 +212,8 @@ def validate_events(calls: DataFrame, lenient: bool = False) -> tuple[DataFrame,
         counted = F.coalesce(quantity, F.lit(0)) > 0
         add_ok = product.isNotNull() & counted & price.isNotNull()
         remove_ok = product.isNotNull() & counted
-    products = _normal_items(text("items"), lenient)
+    # Only purchases have items to parse.
+    products = _normal_items(F.when(method == "purchase", text("items")), lenient)
     summed = F.aggregate(
         products, zero, lambda sofar, item: sofar + F.coalesce(item["price"], zero) * item["quantity"]
     )
