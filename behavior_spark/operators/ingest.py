@@ -9,7 +9,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from behavior_spark.functions import (
@@ -26,6 +27,7 @@ from behavior_spark.functions import (
     uint_of,
 )
 from behavior_spark.functions.jsontext import CORRUPT
+from behavior_spark.operators import quality
 from behavior_spark.schemas import CLICK_EVENTS, ORDERS, PURCHASE_ITEMS
 from behavior_spark.sources.dataset import (
     already_loaded,
@@ -35,7 +37,7 @@ from behavior_spark.sources.dataset import (
     with_source_row_num,
 )
 from behavior_spark.sources.messages import RAW, explode_batch, read_kafka, read_text_stream, split_malformed
-from behavior_spark.sources.tables import align, now_column
+from behavior_spark.sources.tables import align, dataset_table, now_column, stamped, write_batch
 
 __all__ = [
     "already_loaded",
@@ -43,6 +45,7 @@ __all__ = [
     "dataset_events",
     "dataset_properties",
     "explode_batch",
+    "import_dataset",
     "is_purchase",
     "load_batch_id",
     "normalize_events",
@@ -296,6 +299,44 @@ def dataset_categories(rows: DataFrame) -> DataFrame:
     )
 
 
+def import_dataset(
+    spark: SparkSession,
+    folder: str,
+    root: str,
+    now: Column | datetime | str | None = None,
+    totals: dict[str, int] | None = None,
+    distribution: dict[str, int] | None = None,
+) -> tuple[str, bool]:
+    """Load the four CSV files into the tables below ``root``; returns the batch id and
+    whether anything was written.
+
+    A batch that is already loaded is skipped. The event table is written last, as its rows
+    mark the batch as loaded: after a failure a rerun writes the same folders again.
+    ``totals`` and ``distribution`` are checked at the end and raise if they differ
+    (``quality.DATASET_TOTALS`` and ``quality.DATASET_EVENT_TYPES`` hold the public dataset's).
+    """
+    batch_id = load_batch_id(source_files(spark, folder))
+    try:
+        if already_loaded(dataset_table(spark, f"{root}/events", "events"), batch_id):
+            return batch_id, False
+    except AnalysisException:
+        pass  # the first import: there is no table yet
+    raw = {name: with_row_hash(rows) for name, rows in read_dataset_csv(spark, folder).items()}
+    typed = {
+        "category_tree": dataset_categories(raw["category_tree.csv"]),
+        "item_properties": dataset_properties(raw["item_properties_part1.csv"], raw["item_properties_part2.csv"]),
+        "events": dataset_events(raw["events.csv"]),
+    }
+    for name, rows in typed.items():
+        write_batch(stamped(rows, "ingested_at", now), f"{root}/{name}", batch_id)
+    stored = {name: dataset_table(spark, f"{root}/{name}", name) for name in typed}
+    if totals:
+        quality.require(quality.expect_counts(stored, totals))
+    if distribution:
+        quality.require(quality.expect_distribution(stored["events"], distribution))
+    return batch_id, True
+
+
 def start_fanout(*args, **kwargs):
     """See ``behavior_spark.streaming.fanout.start_fanout``."""
     from behavior_spark.streaming.fanout import start_fanout as start

@@ -68,6 +68,23 @@ def test_import(spark, files):
         quality.require(counts)
 
 
+def test_import_is_repeatable(spark, files, folder):
+    root = f"{folder}/tables"
+    totals = {"events": 3000, "item_properties": 21, "category_tree": 2}
+    batch, written = ingest.import_dataset(spark, files, root, "2024-01-01 00:00:00", totals, {"view": 1000, "addtocart": 1000, "transaction": 1000})
+    assert written
+    assert ingest.import_dataset(spark, files, root) == (batch, False)
+    stored = tables.dataset_table(spark, f"{root}/events", "events")
+    assert stored.count() == 3000 == tables.dataset_latest(stored, "events").count()
+    assert {r.load_batch_id for r in stored.select("load_batch_id").distinct().collect()} == {batch}
+    Path(files, "category_tree.csv").write_text("categoryid,parentid\n1338,\n")
+    second, written = ingest.import_dataset(spark, files, root)
+    assert written and second != batch
+    assert tables.dataset_table(spark, f"{root}/events", "events").count() == 6000
+    with pytest.raises(RuntimeError):
+        ingest.import_dataset(spark, files, f"{folder}/other", totals={"events": 1})
+
+
 def test_item_latest_keeps_every_item(spark):
     rows = [
         (1, "2024-01-01", "categoryid", "5"), (1, "2024-01-02", "categoryid", "18446744073709551615"),
