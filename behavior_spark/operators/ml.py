@@ -278,23 +278,23 @@ def _precision_at(
 
 
 def rule_baseline(labelled: DataFrame) -> DataFrame:
-    """Rule scores without the purchase signal, which would give the label away."""
-    blind = labelled.withColumns(
-        {
-            **{c: F.lit(0).cast("bigint") for c in ("page_views", "search_count", "purchase_count")},
-            "max_scroll_pct": F.lit(None).cast("float"),
-        }
-    )
-    scores = scoring.score(blind).select(*KEYS, F.col("lead_score").alias("rule_score"))
-    return labelled.join(scores, list(KEYS))
+    """Add ``rule_score`` without the purchase signal, which would give the label away."""
+    hidden = {
+        **{c: F.lit(0).cast("bigint") for c in ("page_views", "search_count", "purchase_count")},
+        "max_scroll_pct": F.lit(None).cast("float"),
+    }
+    whole = labelled.select(F.struct(*labelled.columns).alias("_row"), *labelled.columns).withColumns(hidden)
+    return whole.select("_row.*", scoring.lead_score().alias("rule_score"))
 
 
 def compare_with_rules(predicted: DataFrame) -> DataFrame:
     """ROC-AUC of the model, of the rules, and the difference, on the same rows."""
-    model_auc = roc_auc(predicted, "ml_lead_score").select(F.col("roc_auc").alias("model_roc_auc"))
-    rule_auc = roc_auc(rule_baseline(predicted), "rule_score").select(F.col("roc_auc").alias("rule_roc_auc"))
-    both = model_auc.withColumn("_one", F.lit(1)).join(rule_auc.withColumn("_one", F.lit(1)), "_one").drop("_one")
-    return both.withColumn("delta", F.col("model_roc_auc") - F.col("rule_roc_auc"))
+    areas = roc_auc(predicted, "ml_lead_score").withColumn("of", F.lit("model"))
+    areas = areas.unionByName(roc_auc(rule_baseline(predicted), "rule_score").withColumn("of", F.lit("rules")))
+    return areas.agg(
+        F.max(F.when(F.col("of") == "model", F.col("roc_auc"))).alias("model_roc_auc"),
+        F.max(F.when(F.col("of") == "rules", F.col("roc_auc"))).alias("rule_roc_auc"),
+    ).withColumn("delta", F.col("model_roc_auc") - F.col("rule_roc_auc"))
 
 
 def evaluate(predicted: DataFrame, share: float = 0.1) -> dict[str, float]:

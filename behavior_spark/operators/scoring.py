@@ -71,13 +71,18 @@ def contributions(rules: Sequence[Rule] = RULES) -> Column:
     return F.map_from_entries(F.transform(fired, lambda entry: F.struct(entry["name"], entry["delta"])))
 
 
+def lead_score(rules: Sequence[Rule] = RULES) -> Column:
+    """Sum of the deltas of the rules that fire, within 0..100."""
+    total = reduce(add, [r.flag() * r.delta for r in rules], F.lit(0))
+    return F.greatest(F.lit(LOWEST), F.least(F.lit(HIGHEST), total)).cast("int")
+
+
 def score(features: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """Score, tier and one 0/1 flag per rule for every session; no shuffle, no UDF."""
     keys = [c for c in SCORE_KEYS if c in features.columns]
-    flagged = features.select(*keys, *[r.flag().alias(r.column) for r in rules])
-    total = reduce(add, [F.col(r.column) * r.delta for r in rules], F.lit(0))
-    clamped = F.greatest(F.lit(LOWEST), F.least(F.lit(HIGHEST), total)).cast("int")
-    return flagged.withColumn("lead_score", clamped).select(
+    flags = [r.flag().alias(r.column) for r in rules]
+    scored = features.select(*keys, lead_score(rules).alias("lead_score"), *flags)
+    return scored.select(
         *keys, "lead_score", tier(F.col("lead_score")).alias("score_tier"), *[r.column for r in rules]
     )
 
