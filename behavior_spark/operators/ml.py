@@ -35,7 +35,7 @@ KEYS = ("source", "anonymous_user_id", "session_id")
 MODEL_VERSION = "gbt_v1"
 
 # Trees take no NULL: a missing scroll depth becomes -1 and sets its own flag.
-_INPUTS = ("scroll_known", "scroll_missing", *[f for f in FEATURES if f != "max_scroll_pct"])
+INPUTS = ("scroll_known", "scroll_missing", *[f for f in FEATURES if f != "max_scroll_pct"])
 _PREPARE = (
     "SELECT *, CAST(coalesce(max_scroll_pct, -1) AS DOUBLE) AS scroll_known, "
     "CAST(max_scroll_pct IS NULL AS DOUBLE) AS scroll_missing FROM __THIS__"
@@ -93,14 +93,14 @@ def stratified_split(
 def assemble(features: DataFrame) -> DataFrame:
     """Add the model's input vector as ``features``."""
     prepared = SQLTransformer(statement=_PREPARE).transform(features)
-    return VectorAssembler(inputCols=list(_INPUTS), outputCol="features").transform(prepared)
+    return VectorAssembler(inputCols=list(INPUTS), outputCol="features").transform(prepared)
 
 
 def _pipeline(params: TrainParams) -> Pipeline:
     return Pipeline(
         stages=[
             SQLTransformer(statement=_PREPARE),
-            VectorAssembler(inputCols=list(_INPUTS), outputCol="features"),
+            VectorAssembler(inputCols=list(INPUTS), outputCol="features"),
             GBTClassifier(
                 labelCol="converted",
                 featuresCol="features",
@@ -209,7 +209,7 @@ def importances(model: PipelineModel) -> DataFrame:
     """Impurity gain per input, largest first; the scroll value and its flag count together."""
     values = model.stages[-1].featureImportances.toArray()
     gains = dict.fromkeys(FEATURES, 0.0)
-    for name, value in zip(_INPUTS, values):
+    for name, value in zip(INPUTS, values):
         gains["max_scroll_pct" if name.startswith("scroll_") else name] += float(value)
     ordered = sorted(gains.items(), key=lambda item: (-item[1], item[0]))
     return SparkSession.active().createDataFrame(ordered, "feature STRING, importance DOUBLE")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from behavior_spark.operators import ml
@@ -52,10 +53,15 @@ def _(t):
     )
 
 
-@query("feature_matrix")
+@query("feature_matrix", sql("""
+    SELECT session_id, CAST(-1 AS DOUBLE) AS scroll_known, CAST(1 AS DOUBLE) AS scroll_missing,
+        CAST(product_views AS DOUBLE) AS product_views, CAST(add_to_cart_count AS DOUBLE) AS add_to_cart_count,
+        CAST(distinct_products_viewed AS DOUBLE) AS distinct_products_viewed, CAST(0 AS DOUBLE) AS search_count,
+        CAST(session_duration_seconds AS DOUBLE) AS session_duration_seconds FROM labelled"""))
 def _(t):
+    values = vector_to_array(F.col("features"))
     return ml.assemble(_labelled(t)).select(
-        "session_id", F.col("features").cast("string").alias("features")
+        "session_id", *[values[i].alias(name) for i, name in enumerate(ml.INPUTS)]
     )
 
 

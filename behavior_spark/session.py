@@ -20,10 +20,11 @@ SESSION_CONF = {
 }
 
 
-def configure(spark: SparkSession) -> SparkSession:
+def configure(spark: SparkSession, **conf: str) -> SparkSession:
     """Apply the runtime settings to an existing session (times are UTC throughout)."""
-    for key, value in SESSION_CONF.items():
-        spark.conf.set(key, value)
+    for key, value in {**SESSION_CONF, **conf}.items():
+        if spark.conf.isModifiable(key):
+            spark.conf.set(key, value)
     return spark
 
 
@@ -37,7 +38,7 @@ def get_session(app_name: str = "behavior_spark", master: str | None = None, **c
         builder = builder.master(master)
     for key, value in {**SESSION_CONF, **conf}.items():
         builder = builder.config(key, value)
-    return configure(builder.getOrCreate())
+    return configure(builder.getOrCreate(), **conf)
 
 
 def work_dir(spark: SparkSession) -> str:

@@ -30,7 +30,7 @@ def test_entry_gives_tiers(spark):
 def test_every_sql_has_a_query():
     assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
     without = set(entry_points.queries()) - set(entry_points.oracle_sql())
-    assert without == {"describe_features", "feature_matrix", "predict", "feature_importances", "cross_validate"}
+    assert without == {"describe_features", "predict", "feature_importances", "cross_validate"}
 
 
 @pytest.mark.parametrize("name", SAMPLE)
