@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from behavior_spark.llm.common import WORD, running, written
+from behavior_spark.llm.common import WORD, free_name, running, written
 
 BUCKET_ROWS = 20_000
 Schedule = tuple[tuple[float, float], ...]  # (time, weight), times rising from 0 to 1
@@ -122,7 +122,7 @@ def taken(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:  # noqa: B008
     return out
 
 
-def pieces(placed: DataFrame, mix: Mix = Mix()) -> DataFrame:  # noqa: B008
+def pieces(placed: DataFrame, mix: Mix = Mix(), sort: bool = True) -> DataFrame:  # noqa: B008
     """The takes in training order: one row per document and pass, with ``position`` (0..1) and ``words`` (of the document).
 
     Range-sorted by position; ties go by id.
@@ -136,4 +136,22 @@ def pieces(placed: DataFrame, mix: Mix = Mix()) -> DataFrame:  # noqa: B008
         position = F.when(F.col("schedule") == i, due(schedule, share)).otherwise(position)
     words = F.least(F.col("size"), F.col("taken") - F.col("pass") * F.col("size"))
     out = rows.select("doc_id", "digest", "source", "pass", words.alias("words"), "size", position.alias("position"))
+    if not sort:
+        return out
     return out.repartitionByRange(F.col("position"), F.col("doc_id")).sortWithinPartitions("position", "doc_id", "digest", "pass")
+
+
+def mixed_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:  # noqa: B008
+    """The mix as documents: all columns, one row per pass, range-sorted by training time.
+
+    Documents stay whole: the one document of a source that the end of its last pass cuts is taken if at least half of its words
+    are due. Documents without words are in no mix.
+    """
+    at, number, digest = (free_name(docs.columns, x) for x in ("position", "pass", "text_digest"))
+    due_ = pieces(taken(docs, mix), mix, sort=False).where(F.col("words") * 2 >= F.col("size")).distinct()
+    due_ = due_.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), F.col("source").alias("__source"), F.col("pass").alias(number), F.col("position").alias(at))
+    due_ = due_.groupBy("__id", "__digest", "__source", number).agg(F.min(at).alias(at))
+    rows = docs.withColumn(digest, F.xxhash64(F.col("text").cast("string")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col(digest) == F.col("__digest")) & F.col("source").cast("string").eqNullSafe(F.col("__source"))
+    joined = rows.join(due_, same)
+    return joined.repartitionByRange(F.col(at), F.col("doc_id")).sortWithinPartitions(at, "doc_id", digest, number).select(*docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from behavior_spark.llm import mixing, nearest, quality_rules, sentencepiece_codec, simhash_dedup, token_files
+from behavior_spark.llm import line_dedup, mixing, nearest, quality_rules, sentencepiece_codec, simhash_dedup, substring_dedup, token_files
 from behavior_spark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,11 @@ def mix_curriculum(spark: SparkSession, folder: str) -> DataFrame:
     return placed.select("doc_id", "size", "source_size", "target", "taken", "source", "offset")
 
 
+@query("op3_line_alignment")
+def line_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.report(table(spark, folder, "documents")).drop("text")
+
+
 @query("op4_simhash_classes")
 def simhash_classes(spark: SparkSession, folder: str) -> DataFrame:
     named = simhash_dedup.classes(table(spark, folder, "documents"))
@@ -54,6 +59,11 @@ def quality_cascade(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.plan(docs)).drop("rejected_by")
 
 
+@query("op8_recompression")
+def recompression(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.removed(table(spark, folder, "documents"))
+
+
 @query("op9_cross_polytope")
 def cross_polytope(spark: SparkSession, folder: str) -> DataFrame:
     return nearest.search(table(spark, folder, "embeddings"), F.col("id") % 50 == 0, 5)
