@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from behavior_spark.llm import line_dedup, mixing, nearest, quality_rules, sentencepiece_codec, simhash_dedup, substring_dedup, token_files
+from behavior_spark.llm import (
+    language_id,
+    line_dedup,
+    lm_scoring,
+    mixing,
+    nearest,
+    quality_rules,
+    sentencepiece_codec,
+    simhash_dedup,
+    substring_dedup,
+    token_files,
+)
 from behavior_spark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +48,16 @@ def mix_curriculum(spark: SparkSession, folder: str) -> DataFrame:
     return placed.select("doc_id", "size", "source_size", "target", "taken", "source", "offset")
 
 
+@query("op2_language_fusion")
+def language_fusion(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages, with markup and address, and all documents, with their source as host."""
+    docs, pages = table(spark, folder, "documents"), table(spark, folder, "pages")
+    named = language_id.fused(language_id.rows_of(pages, docs), language_id.train(docs))
+    is_page = F.col("kind") == "page"
+    ids = F.when(~is_page, F.col("id")).alias("doc_id"), F.when(is_page, F.col("id")).alias("page_id")
+    return named.select(*ids, "language", "confidence", "text_language", "declared", "host")
+
+
 @query("op3_line_alignment")
 def line_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.report(table(spark, folder, "documents")).drop("text")
@@ -53,6 +74,11 @@ def tokens(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read(token_files.write(table(spark, folder, "documents"), tokenizer("byte_bpe_50k.json")))
 
 
+@query("op6_pseudo_likelihood")
+def pseudo_likelihood(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_scoring.score(table(spark, folder, "documents"))
+
+
 @query("op7_quality_cascade")
 def quality_cascade(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
