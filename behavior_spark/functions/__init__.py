@@ -6,7 +6,9 @@ from behavior_spark.functions.numbers import (
     js_trim,
     round_half_even,
     round_half_up,
+    to_fixed,
     to_uint_or_null,
+    whole_number,
 )
 from behavior_spark.functions.texts import blank_to_null, digest_id, first_filled, url_hash
 from behavior_spark.functions.times import event_month, parse_event_time, span_seconds, to_millis
@@ -29,8 +31,10 @@ __all__ = [
     "round_half_up",
     "span_seconds",
     "text_of",
+    "to_fixed",
     "to_millis",
     "to_uint_or_null",
     "uint_of",
     "url_hash",
+    "whole_number",
 ]

@@ -15,7 +15,7 @@ from behavior_spark.functions.numbers import finite
 
 CORRUPT = "_corrupt_record"
 # Reject what is not JSON: single quotes, bare NaN, unquoted control characters.
-_STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 
 def json_fields(names: Iterable[str], **nested: Iterable[str]) -> str:
@@ -36,7 +36,7 @@ def json_object(col: Column, fields: Iterable[str], corrupt: bool = False, **nes
     the text if it is no JSON object, or if an inner object was none.
     """
     names = list(fields)
-    options = dict(_STRICT)
+    options = dict(STRICT)
     if corrupt:
         names.append(CORRUPT)
         options["columnNameOfCorruptRecord"] = CORRUPT
@@ -50,7 +50,7 @@ def json_objects(col: Column, fields: Iterable[str]) -> Column:
     names = list(fields)
     inner = ", ".join(f"`{name}`: STRING" for name in names)
     # One pass as a rule. Spark gives NULL for a mixed list, which is then read by element.
-    whole = F.from_json(col, f"ARRAY<STRUCT<{inner}>>", _STRICT)
+    whole = F.from_json(col, f"ARRAY<STRUCT<{inner}>>", STRICT)
     single = F.transform(json_array(col), lambda element: json_object(element, names))
     return F.when(F.startswith(col, F.lit("[")), F.coalesce(whole, single))
 
@@ -66,7 +66,7 @@ def parsed_once(df: DataFrame, name: str, parsed: Column) -> DataFrame:
 
 def json_array(col: Column) -> Column:
     """Parse a list; every element keeps its JSON text. NULL if it is no list."""
-    return F.from_json(col, "ARRAY<STRING>", _STRICT)
+    return F.from_json(col, "ARRAY<STRING>", STRICT)
 
 
 def text_of(col: Column) -> Column:
@@ -75,7 +75,9 @@ def text_of(col: Column) -> Column:
 
 
 def double_of(col: Column) -> Column:
-    return finite(col.try_cast("double"))
+    # Java would read a type letter at the end of a number.
+    plain = F.when(~F.right(F.trim(col), F.lit(1)).isin("d", "D", "f", "F"), col)
+    return finite(plain.try_cast("double"))
 
 
 def decimal_of(col: Column) -> Column:

@@ -29,6 +29,30 @@ def round_half_up(col: Column, digits: int = 0) -> Column:
     return F.floor(col * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale)
 
 
+def to_fixed(col: Column, digits: int = 2) -> Column:
+    """Round a double as a browser's ``toFixed`` does: by its exact binary value, halves away from zero.
+
+    2.675 is a little less than it reads, so it gives 2.67. The product with the power of ten is taken together with its rounding
+    error (Veltkamp's and Dekker's splitting, exact in doubles), and the two decide which side of the half the value is on.
+    Above 2**53 a double has no fraction and stays as it is.
+    """
+    scale = float(10**digits)
+    value = F.abs(col)
+    split = value * F.lit(134217729.0)
+    high = split - (split - value)
+    product = value * F.lit(scale)
+    error = (high * F.lit(scale) - product) + (value - high) * F.lit(scale)
+    whole = F.floor(product).cast("double")
+    up = (product - whole - F.lit(0.5)) + error >= 0
+    rounded = (whole + F.when(up, F.lit(1.0)).otherwise(F.lit(0.0))) / F.lit(scale)
+    return F.when(value >= F.lit(9007199254740992.0 / scale), col).otherwise(F.signum(col) * rounded)
+
+
+def whole_number(col: Column) -> Column:
+    """A double without a fraction as BIGINT, NULL if it does not fit."""
+    return F.when(F.abs(col) < F.lit(9223372036854775808.0), col).cast("bigint")
+
+
 def to_uint_or_null(col: Column) -> Column:
     """Digits-only text as an unsigned 64-bit whole number, NULL for anything else.
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +28,7 @@ from behavior_spark.functions import (
 from behavior_spark.functions.jsontext import CORRUPT
 from behavior_spark.operators import quality
 from behavior_spark.schemas import CLICK_EVENTS, ORDERS, PURCHASE_ITEMS
+from behavior_spark.session import folder_exists
 from behavior_spark.sources.dataset import (
     already_loaded,
     load_batch_id,
@@ -316,11 +316,9 @@ def import_dataset(
     (``quality.DATASET_TOTALS`` and ``quality.DATASET_EVENT_TYPES`` hold the public dataset's).
     """
     batch_id = load_batch_id(source_files(spark, folder))
-    try:
-        if already_loaded(dataset_table(spark, f"{root}/events", "events"), batch_id):
-            return batch_id, False
-    except AnalysisException:
-        pass  # the first import: there is no table yet
+    # Before the first import there is no table.
+    if folder_exists(spark, f"{root}/events") and already_loaded(dataset_table(spark, f"{root}/events", "events"), batch_id):
+        return batch_id, False
     raw = {name: with_row_hash(rows) for name, rows in read_dataset_csv(spark, folder).items()}
     typed = {
         "category_tree": dataset_categories(raw["category_tree.csv"]),

@@ -56,9 +56,6 @@ RULE_LABELS = {
 }
 
 
-JOIN_SALTS = 64
-
-
 # ---- filters -------------------------------------------------------------------------------
 
 
@@ -155,8 +152,13 @@ def scroll_bands(bins: DataFrame) -> DataFrame:
     )
 
 
+def _on_page(column: str) -> Column:
+    """The bin lies on the page once rounded; asked of the double, as stray values fit no whole number."""
+    return F.rint(F.col(column)).between(0, 100)
+
+
 def _whole_pct(column: str) -> Column:
-    return F.rint(F.col(column)).cast("int")
+    return F.when(_on_page(column), F.rint(F.col(column))).cast("int")
 
 
 def density_grid(bins: DataFrame) -> DataFrame:
@@ -165,13 +167,13 @@ def density_grid(bins: DataFrame) -> DataFrame:
     Bins are whole percents, so the one row this passes through holds at most 101 x 101
     cells. Without any bin the grid is the empty page.
     """
-    whole = bins.select(
+    whole = bins.where(_on_page("x_bin_pct") | _on_page("y_bin_pct")).select(
         _whole_pct("x_bin_pct").alias("x"), _whole_pct("y_bin_pct").alias("y"), F.col("event_count").cast("double").alias("n")
     )
     blank = F.sequence(F.lit(0), F.lit(100), F.lit(BIN_PCT))
 
     def axis(name: str) -> Column:
-        seen = F.collect_set(F.when(F.col(name).between(0, 100), F.col(name)))
+        seen = F.collect_set(F.col(name))
         return F.when(F.size(seen) > 0, seen).otherwise(blank)
 
     cell = F.struct(F.col("x"), F.col("y"))
@@ -196,7 +198,7 @@ def density_grid(bins: DataFrame) -> DataFrame:
 def to_pixels(bins: DataFrame, width: int, height: int) -> DataFrame:
     """Add pixel positions for a picture of the given size; bins outside 0..100 go."""
     x, y = _whole_pct("x_bin_pct"), _whole_pct("y_bin_pct")
-    return bins.where(x.between(0, 100) & y.between(0, 100)).withColumns(
+    return bins.where(_on_page("x_bin_pct") & _on_page("y_bin_pct")).withColumns(
         {"x_px": x * F.lit(int(width)) / F.lit(100), "y_px": y * F.lit(int(height)) / F.lit(100)}
     )
 
@@ -277,31 +279,20 @@ def catalog_search(products: DataFrame, query: str, name: str = "name") -> DataF
     return products.agg(F.count_if(hit).alias("results_count")).select(F.lit(query).alias("query"), "results_count")
 
 
-def order_products(items: DataFrame, max_items: int = 10_000) -> DataFrame:
-    """The products of every order as a sorted list, repeats included.
+def order_products(items: DataFrame) -> DataFrame:
+    """How often each product is in each order: one row per order and product.
 
-    An order of more than ``max_items`` items (such as the blank id that all purchases
-    without one share) is spread over several rows, numbered by ``part``; together they
-    are whole. Every other order is one row with part 0.
+    Counts combine in the map tasks, so the blank id that all purchases without one share costs no more than its
+    different products.
     """
-    large = (
-        items.groupBy("order_id")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > max_items)
-        .select("order_id", F.ceil(F.col("_n") / F.lit(max_items)).cast("bigint").alias("_parts"))
-    )
-    # Salted on both sides, so the items of a large order meet its one row in many tasks.
-    salts = F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1))
-    salted = large.withColumn("_salt", F.explode(salts))
-    spread = F.xxhash64("event_id", "product_id", "position", "event_time")
-    return (
-        items.select("order_id", "product_id", spread.alias("_spread"))
-        .withColumn("_salt", F.pmod(F.shiftright("_spread", 32), F.lit(JOIN_SALTS)).cast("int"))
-        .join(salted, ["order_id", "_salt"], "left")
-        .withColumn("part", F.pmod(F.col("_spread"), F.coalesce("_parts", F.lit(1).cast("bigint"))))
-        .groupBy("order_id", "part")
-        .agg(F.sort_array(F.collect_list("product_id")).alias("products"))
-    )
+    return items.groupBy("order_id", "product_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def products_of(items: DataFrame, order_id: str) -> DataFrame:
+    """The products of one order in one row, sorted, repeats included; no row if there is no such order."""
+    own = order_products(items.where(F.col("order_id") == order_id))
+    repeated = F.flatten(F.sort_array(F.collect_list(F.array_repeat("product_id", F.col("n").cast("int")))))
+    return own.groupBy("order_id").agg(repeated.alias("products"))
 
 
 # ---- leads ---------------------------------------------------------------------------------

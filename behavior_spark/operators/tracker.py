@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from behavior_spark.functions import js_number, js_trim, parsed_once, round_half_up, text_of
+from behavior_spark.functions import js_number, js_trim, parsed_once, round_half_up, text_of, to_fixed, whole_number
 from behavior_spark.operators import carts
 from behavior_spark.operators.running import SLICE_SECONDS, Running, running
 from behavior_spark.operators.thinning import throttle
@@ -25,7 +25,7 @@ def normalize_number(value: Column, present: Column | None = None) -> Column:
 def normalize_quantity(value: Column, present: Column | None = None) -> Column:
     """A finite number above zero, rounded half up, else NULL."""
     number = js_number(value, present)
-    return F.when(number > 0, round_half_up(number).cast("bigint"))
+    return whole_number(F.when((number > 0) & (number < F.lit(2.0**63)), round_half_up(number)))
 
 
 def coordinate_pct(position: Column, scroll: Column, size: Column) -> Column:
@@ -242,7 +242,7 @@ def validate_events(calls: DataFrame, lenient: bool = False) -> tuple[DataFrame,
         only(("product_view", "add_to_cart", "purchase"), currency).alias("currency"),
         only(("purchase",), order).alias("order_id"),
         only(("purchase",), products).alias("products"),
-        only(("purchase",), round_half_up(F.coalesce(total, summed), 2)).alias("total"),
+        only(("purchase",), to_fixed(F.coalesce(total, summed))).alias("total"),
         only(("search",), query).alias("search_query"),
         only(("search",), results).alias("results_count"),
     )

@@ -118,6 +118,7 @@ PROPERTY_CSV = {
 MOVES = {
     "event_id": "concat('m', lpad(CAST(n AS STRING), 12, '0'))",
     "session_id": "CASE WHEN n % 3 = 0 THEN 'hot' ELSE concat('t', CAST(floor(n / 300) AS BIGINT)) END",
+    "anonymous_user_id": "CASE WHEN n % 3 = 0 THEN 'nobody' ELSE concat('u', CAST(n % 2 AS STRING)) END",
     "move_ms": "1704067200000 + n * 23 + (n * 7919) % 61",
 }
 
@@ -318,7 +319,7 @@ class Inputs:
     @cached_property
     def moves(self) -> DataFrame:
         return self.base.selectExpr(*select_list(MOVES)).selectExpr(
-            "event_id", "session_id", "timestamp_millis(move_ms) AS event_time"
+            "event_id", "session_id", "anonymous_user_id", "timestamp_millis(move_ms) AS event_time"
         )
 
     @cached_property

@@ -180,19 +180,14 @@ def _(t):
     return both.select("order_id", "event_time", "anonymous_user_id", "session_id", "total", "discount")
 
 
-@query("order_products", sql("""
-    SELECT order_id, CAST(0 AS BIGINT) AS part, array_to_string(list(product_id ORDER BY product_id), ',') AS products
-    FROM items GROUP BY order_id"""))
+@query("order_products", sql("SELECT order_id, product_id, count(*) AS n FROM items GROUP BY order_id, product_id"))
 def _(t):
-    # A limit above the blank order's size gives one row per order, as the SQL does.
-    rows = reports.order_products(t.purchase_items, max_items=1_000_000_000)
-    return rows.withColumn("products", F.concat_ws(",", "products"))
+    return reports.order_products(t.purchase_items)
 
 
 @query("order_products_parts", sql("SELECT order_id, count(*) AS items FROM items GROUP BY order_id"))
 def _(t):
-    parts = reports.order_products(t.purchase_items, max_items=100)
-    return parts.groupBy("order_id").agg(F.sum(F.size("products")).alias("items"))
+    return reports.order_products(t.purchase_items).groupBy("order_id").agg(F.sum("n").alias("items"))
 
 
 @query("ga4_view", sql("""
@@ -309,13 +304,14 @@ def _(t):
 
 
 @query("parse_event_time", sql("""
-    SELECT n, CASE n % 6 WHEN 4 THEN NULL WHEN 2 THEN date_trunc('second', ts)
+    SELECT n, CASE n % 6 WHEN 4 THEN NULL WHEN 2 THEN date_trunc('second', ts) WHEN 5 THEN date_trunc('second', ts)
         ELSE date_trunc('millisecond', ts) END AS parsed FROM base"""))
 def _(t):
     forms = """CASE n % 6 WHEN 0 THEN concat(replace(CAST(ts AS STRING), ' ', 'T'), 'Z')
         WHEN 1 THEN concat(CAST(ts + INTERVAL 2 HOUR AS STRING), '+02:00')
         WHEN 2 THEN concat(' ', unix_seconds(ts)) WHEN 3 THEN CAST(unix_millis(ts) AS STRING)
-        WHEN 4 THEN concat('at ', n) ELSE CAST(ts AS STRING) END"""
+        WHEN 4 THEN CASE n % 4 WHEN 0 THEN concat('at ', n) ELSE '12:30' END
+        ELSE CASE n % 4 WHEN 1 THEN date_format(ts, 'yyyyMMddHHmmss') ELSE date_format(ts, "dd MMM yyyy HH:mm:ss 'GMT'") END END"""
     return t.base.selectExpr("n", f"{forms} AS text").select("n", parse_event_time(F.col("text")).alias("parsed"))
 
 

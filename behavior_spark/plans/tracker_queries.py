@@ -35,36 +35,48 @@ def _(t):
     return tracker.first_purchase(_purchases(t))
 
 
-@query("first_purchase_stream", sql("""
-    SELECT DISTINCT anonymous_user_id, order_id FROM click_events WHERE event_type = 'purchase'"""))
-def _(t):
-    # Which repeat arrives first depends on the files' rows; the users and orders do not.
-    folder = new_folder(t.spark, "purchases")
-    rows = _purchases(t)
-    rows.write.parquet(f"{folder}/in")
-    stream = t.spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+def _streamed(t, rows, turn, keys, operator):
+    """Run a stream operator over ``rows`` in four rounds of files (a key's rows of a round in one file), several micro-batches each."""
+    folder = new_folder(t.spark, "stream")
+    numbered = rows.withColumn("turn", turn)
+    stored = f"{folder}/rounds"
+    numbered.repartition(2, *keys).write.partitionBy("turn").parquet(stored)
+    for n in range(4):
+        t.spark.read.schema(rows.schema).parquet(f"{stored}/turn={n}").repartition(2, *keys).write.mode("append").parquet(f"{folder}/in")
+    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     run = (
-        tracker.first_purchase_stream(stream, "60 days")
+        operator(stream)
         .writeStream.format("parquet")
         .option("checkpointLocation", f"{folder}/checkpoint")
         .trigger(availableNow=True)
         .start(f"{folder}/out")
     )
     run.awaitTermination()
-    return t.spark.read.schema(rows.schema).parquet(f"{folder}/out").select("anonymous_user_id", "order_id")
+    return t.spark.read.schema(rows.schema).parquet(f"{folder}/out")
+
+
+# Purchases arrive by the minute of the hour: many come before earlier ones, and repeats come rounds apart.
+@query("first_purchase_stream", sql("""
+    SELECT event_id, anonymous_user_id, order_id, event_time FROM (SELECT *, row_number() OVER (
+        PARTITION BY anonymous_user_id, order_id ORDER BY (minute(event_time) + 1) % 4, event_time, event_id) AS nth
+    FROM click_events WHERE event_type = 'purchase' AND order_id <> '') WHERE nth = 1"""))
+def _(t):
+    turn = ((F.minute("event_time") + 1) % 4).cast("int")
+    return _streamed(t, _purchases(t), turn, ["anonymous_user_id", "order_id"], tracker.first_purchase_stream)
 
 
 # Every row points to the first row 100 ms or more later; the kept rows are reached from the first.
 _THINNED = sql(
-    "SELECT session_id, make_timestamp(move_ms * 1000) AS event_time, first_id AS event_id "
-    "FROM hops JOIN distinct_moves USING (session_id, move_ms)",
+    "SELECT session_id, anonymous_user_id, make_timestamp(move_ms * 1000) AS event_time, first_id AS event_id "
+    "FROM hops JOIN distinct_moves USING (session_id, anonymous_user_id, move_ms)",
     recursive=True,
-    distinct_moves="SELECT session_id, move_ms, min(event_id) AS first_id FROM moves GROUP BY ALL",
-    links="""SELECT session_id, move_ms, min(move_ms) OVER (PARTITION BY session_id ORDER BY move_ms
+    distinct_moves="SELECT session_id, anonymous_user_id, move_ms, min(event_id) AS first_id FROM moves GROUP BY ALL",
+    links="""SELECT session_id, anonymous_user_id, move_ms, min(move_ms) OVER (PARTITION BY session_id, anonymous_user_id ORDER BY move_ms
         RANGE BETWEEN 100 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_ms FROM distinct_moves""",
-    hops="""SELECT session_id, min(move_ms) AS move_ms FROM moves GROUP BY session_id
-        UNION ALL SELECT links.session_id, links.next_ms FROM hops
-        JOIN links ON links.session_id = hops.session_id AND links.move_ms = hops.move_ms WHERE links.next_ms IS NOT NULL""",
+    hops="""SELECT session_id, anonymous_user_id, min(move_ms) AS move_ms FROM moves GROUP BY session_id, anonymous_user_id
+        UNION ALL SELECT links.session_id, links.anonymous_user_id, links.next_ms FROM hops
+        JOIN links ON links.session_id = hops.session_id AND links.anonymous_user_id = hops.anonymous_user_id
+            AND links.move_ms = hops.move_ms WHERE links.next_ms IS NOT NULL""",
 )
 
 
@@ -75,20 +87,13 @@ def _(t):
 
 @query("mousemove_throttle_stream", _THINNED)
 def _(t):
-    # One micro-batch, so that a session's rows arrive in order.
-    folder = new_folder(t.spark, "moves")
+    # Four stretches of time, one after the other: the state carries over from one to the next.
     rows = t.moves
-    rows.write.parquet(f"{folder}/in")
-    stream = t.spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
-    run = (
-        tracker.throttle_stream(stream, keys=("session_id",), ttl_ms=None)
-        .writeStream.format("parquet")
-        .option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(availableNow=True)
-        .start(f"{folder}/out")
-    )
-    run.awaitTermination()
-    return t.spark.read.schema(rows.schema).parquet(f"{folder}/out")
+    span = rows.agg(F.min("event_time").alias("lo"), F.max("event_time").alias("hi")).first()
+    lo, width = F.unix_millis(F.lit(span.lo)), F.unix_millis(F.lit(span.hi)) - F.unix_millis(F.lit(span.lo)) + 1
+    turn = F.floor((F.unix_millis("event_time") - lo) * 4 / width).cast("int")
+    keys = ["session_id", "anonymous_user_id"]
+    return _streamed(t, rows, turn, keys, tracker.throttle_stream)
 
 
 @query("consent_gate", sql("""

@@ -70,10 +70,37 @@ def checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(work_dir(spark))
 
 
+def _hadoop_path(spark: SparkSession, path: str):
+    """A path and the file system it is on, whatever the store."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    found, files = _hadoop_path(spark, path)
+    return files.exists(found)
+
+
+_MATERIALIZED: list[str] = []
+
+
 def materialized(df: DataFrame) -> DataFrame:
-    """Write a frame to the shared checkpoint folder and read it from there from now on.
+    """Write a frame as Parquet to the shared work folder and read it from there from now on.
 
-    Unlike a cache it survives lost executors, and nothing before it runs a second time.
+    Unlike a cache it survives lost executors, and nothing before it runs a second time. Unlike a checkpoint it is columnar
+    and has sizes that AQE can use. ``release`` removes the files.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    folder = new_folder(spark, "step")
+    df.write.parquet(folder)
+    _MATERIALIZED.append(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def release(spark: SparkSession) -> int:
+    """Remove everything this process has written by ``materialized``; frames that read it are no longer usable."""
+    removed = 0
+    while _MATERIALIZED:
+        found, files = _hadoop_path(spark, _MATERIALIZED.pop())
+        removed += bool(files.delete(found, True))
+    return removed

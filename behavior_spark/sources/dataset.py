@@ -50,9 +50,9 @@ def already_loaded(table: DataFrame, batch_id: str) -> bool:
 def with_source_row_num(rows: DataFrame) -> DataFrame:
     """Add ``source_file`` and ``source_row_num`` to rows freshly read from split text files.
 
-    Every split is numbered on its own and shifted by the rows of the splits before it,
-    so no task sees more than one split. Not for ``multiLine`` files. If the two passes
-    cut a file differently the job fails instead of giving wrong numbers.
+    Rows are counted where they are read: a task's running id less the split's first id is the place in the split, and a
+    short table (one row per split) says how many rows of the file come before it. No row is shuffled. Not for
+    ``multiLine`` files. If the two passes cut a file differently the job fails instead of giving wrong numbers.
     """
     located = rows.select(
         *rows.columns,
@@ -63,18 +63,14 @@ def with_source_row_num(rows: DataFrame) -> DataFrame:
         F.monotonically_increasing_id().alias("_seen"),
     )
     split = ["_path", "_block", "_length"]
-    sizes = located.groupBy(*split).agg(F.count(F.lit(1)).alias("_rows"))
+    sizes = located.groupBy(*split).agg(F.count(F.lit(1)).alias("_rows"), F.min("_seen").alias("_first"))
     before = Window.partitionBy("_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*split, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
-    inside = F.row_number().over(Window.partitionBy(*split).orderBy("_seen"))
-    offset = F.coalesce(
-        F.col("_offset"), F.raise_error(F.lit("file splits changed between two passes")).cast("bigint")
-    )
-    return (
-        located.withColumn("_inside", inside)
-        .join(offsets, split, "left")
-        .select(*rows.columns, "source_file", (offset + F.col("_inside") + F.lit(FIRST_ROW - 1)).alias("source_row_num"))
-    )
+    offsets = sizes.select(*split, "_rows", "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
+    place = F.col("_seen") - F.col("_first")
+    checked = F.when(place.between(0, F.col("_rows") - 1), F.col("_offset") + place + F.lit(FIRST_ROW))
+    changed = F.raise_error(F.lit("file splits changed between two passes")).cast("bigint")
+    number = F.coalesce(checked, changed).alias("source_row_num")
+    return located.join(offsets, split, "left").select(*rows.columns, "source_file", number)
 
 
 def read_dataset_csv(spark: SparkSession, folder: str, number_rows: bool = True) -> dict[str, DataFrame]:

@@ -6,9 +6,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from behavior_spark.functions import json_object, parse_event_time, parsed_once
-from behavior_spark.functions.jsontext import CORRUPT
+from behavior_spark.functions.jsontext import CORRUPT, STRICT
 
 RAW = "raw_message"
+# What a micro-batch takes at most, so that its size does not depend on how long a query was down.
+OFFSETS_PER_TRIGGER, FILES_PER_TRIGGER = 5_000_000, 1_000
+
+
+def kafka_options(brokers: str, topic: str, starting_offsets: str = "earliest", **options: str) -> dict[str, str]:
+    """The source's options; what is given wins over the defaults."""
+    defaults = {
+        "kafka.bootstrap.servers": brokers,
+        "subscribe": topic,
+        "startingOffsets": starting_offsets,
+        "maxOffsetsPerTrigger": str(OFFSETS_PER_TRIGGER),
+    }
+    return {**defaults, **options}
 
 
 def read_kafka(
@@ -23,22 +36,15 @@ def read_kafka(
     Offsets live in the query's checkpoint, which takes the place of a consumer group.
     Without ``minPartitions`` there is one task per topic partition.
     """
-    reader = (
-        spark.readStream.format("kafka")
-        .option("kafka.bootstrap.servers", brokers)
-        .option("subscribe", topic)
-        .option("startingOffsets", starting_offsets)
-    )
-    for key, value in options.items():
+    reader = spark.readStream.format("kafka")
+    for key, value in kafka_options(brokers, topic, starting_offsets, **options).items():
         reader = reader.option(key, value)
     return reader.load().select(F.col("value").cast("string").alias(RAW))
 
 
-def read_text_stream(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
-    """Stream of messages from text files, one message per line."""
-    reader = spark.readStream.format("text")
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
+def read_text_stream(spark: SparkSession, folder: str, max_files: int = FILES_PER_TRIGGER) -> DataFrame:
+    """Stream of messages from text files, one message per line; a micro-batch takes ``max_files`` at most."""
+    reader = spark.readStream.format("text").option("maxFilesPerTrigger", max_files)
     return reader.load(folder).select(F.col("value").alias(RAW))
 
 
@@ -62,7 +68,7 @@ def explode_batch(messages: DataFrame) -> DataFrame:
 
     A message that is no envelope passes through as itself, so mixed topics stay whole.
     """
-    envelope = F.from_json(F.col(RAW), "batch ARRAY<STRING>, sentAt STRING")
+    envelope = F.from_json(F.col(RAW), "batch ARRAY<STRING>, sentAt STRING", STRICT)
     opened = parsed_once(messages, "_envelope", envelope).select(
         *[c for c in messages.columns if c != RAW],
         F.explode(F.coalesce(F.col("_envelope.batch"), F.array(F.col(RAW)))).alias(RAW),

@@ -1,4 +1,4 @@
-"""Tracker rules on live streams; the state is one number per key, or bounded by a watermark."""
+"""Tracker rules on live streams; the state is one number or flag per key."""
 
 from __future__ import annotations
 
@@ -30,11 +30,16 @@ class _Throttle(StatefulProcessor):
         self.last = handle.getValueState("last_kept", schema, ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # Spark renames columns that start with an underscore here, so the plan's order counts.
-        parts = [part.set_axis([*self.columns, "row_ms"], axis=1) for part in rows if len(part)]
-        if not parts:
+        # Spark renames columns that start with an underscore here, so the plan's order counts. Only the first
+        # row of a millisecond can be kept: memory follows the time that a micro-batch spans, not its rows.
+        batch = None
+        for part in rows:
+            if len(part):
+                part = part.set_axis([*self.columns, "row_ms"], axis=1)
+                both = part if batch is None else pd.concat([batch, part], ignore_index=True)
+                batch = both.sort_values(["row_ms", *self.order], kind="stable").drop_duplicates("row_ms")
+        if batch is None:
             return
-        batch = pd.concat(parts, ignore_index=True).sort_values(["row_ms", *self.order], kind="stable")
         times = batch["row_ms"].to_numpy(dtype=np.int64)
         free_from = self.last.get()[0] + self.ms if self.last.exists() else times[0]
         kept = []
@@ -56,15 +61,15 @@ def throttle_stream(
     keys: Sequence[str] = ("session_id", "anonymous_user_id"),
     time: str = "event_time",
     order: Sequence[str] = ("event_id",),
-    ttl_ms: int | None = 3_600_000,
+    ttl_ms: int | None = None,
 ) -> DataFrame:
     """Thin a live stream: keep a row if ``ms`` or more passed since the last kept row.
 
     Rows are taken in the order of their time within a micro-batch; a row that arrives
-    after a later one was kept counts as too early. State is dropped after ``ttl_ms``
-    without a kept row; give None for a run that ends (``availableNow``), as expiry keeps a
-    query going without new data. A task holds one key's rows of one micro-batch, which the source's
-    rate limit bounds; the user is part of the key so that the unknown session is spread.
+    after a later one was kept counts as too early, so a stream equals the batch operator as long as no key's rows
+    arrive in an earlier order than in the micro-batches before. State, one number per key, is kept for ever; with ``ttl_ms`` it is
+    dropped after that time without a kept row, and then a replay of late data keeps other rows. The user is part of the key so that
+    the unknown session is spread.
     """
     spark = stream.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
@@ -83,15 +88,47 @@ def throttle_stream(
     )
 
 
+class _First(StatefulProcessor):
+    """Lets the first row of a key pass, once and for all."""
+
+    def __init__(self, columns: Sequence[str], order: Sequence[str]):
+        self.columns, self.order = list(columns), list(order)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", T.StructType([T.StructField("seen", T.BooleanType())]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        known, first = self.seen.exists(), None
+        for part in rows:
+            if len(part) and not known:
+                part = part.set_axis(self.columns, axis=1)
+                both = part if first is None else pd.concat([first, part], ignore_index=True)
+                first = both.sort_values(self.order, kind="stable").head(1)
+        if first is not None:
+            self.seen.update((True,))
+            yield first
+
+    def close(self) -> None:
+        pass
+
+
 def first_purchase_stream(
     stream: DataFrame,
-    delay: str = "1 hour",
     keys: Sequence[str] = ("anonymous_user_id", "order_id"),
     time: str = "event_time",
+    order: Sequence[str] = ("event_id",),
 ) -> DataFrame:
-    """The first purchase per user and order seen by the stream; state lasts for ``delay``."""
+    """The first purchase per user and order that the stream sees, however late it arrives; no repeat ever passes.
+
+    The state is one flag per user and order and is never dropped: an order is known for ever, as it is to the
+    batch operator. Within a micro-batch the earliest by ``time`` and ``order`` passes.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in stream.schema])
     return (
         stream.where(F.col("order_id").isNotNull() & (F.col("order_id") != ""))
-        .withWatermark(time, delay)
-        .dropDuplicatesWithinWatermark(list(keys))
+        .groupBy(*keys)
+        .transformWithStateInPandas(
+            statefulProcessor=_First(stream.columns, [time, *order]), outputStructType=schema, outputMode="Append", timeMode="None"
+        )
     )

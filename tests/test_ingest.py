@@ -61,7 +61,9 @@ def test_flat_and_nested_fields(golden):
 def test_line_items_and_orders(golden):
     items = ingest.purchase_items(golden, NOW)
     assert items.count() == 4
-    assert reports.order_products(items).first().products == ["SKU-100", "SKU-100", "SKU-200", "SKU-200"]
+    assert sorted((r.product_id, r.n) for r in reports.order_products(items).collect()) == [("SKU-100", 2), ("SKU-200", 2)]
+    order = items.first().order_id
+    assert reports.products_of(items, order).first().products == ["SKU-100", "SKU-100", "SKU-200", "SKU-200"]
     headers = ingest.orders(golden, NOW)
     assert headers.count() == 2
     kept = tables.orders_latest(headers).collect()
@@ -193,15 +195,15 @@ def test_latest_takes_highest_version_then_tiebreak(spark):
     assert found == {("a", 2, 3), ("b", 1, 0)}
 
 
-def test_large_orders_are_spread_but_whole(spark):
+def test_large_orders_are_one_row_per_product(spark):
     items = spark.range(1000).selectExpr(
         "concat('e', id) AS event_id", "CASE WHEN id < 900 THEN '' ELSE concat('o', id % 10) END AS order_id",
         "concat('p', id % 7) AS product_id", "id AS position", "timestamp_seconds(id) AS event_time",
     )
-    rows = reports.order_products(items, max_items=50).collect()
+    rows = reports.order_products(items).collect()
     blank = [r for r in rows if r.order_id == ""]
-    assert len(blank) > 5 and sum(len(r.products) for r in blank) == 900
-    assert all(r.part == 0 and len(r.products) == 10 for r in rows if r.order_id)
+    assert len(blank) == 7 and sum(r.n for r in blank) == 900
+    assert sum(r.n for r in rows) == 1000
 
 
 # ---- streams -------------------------------------------------------------------------------

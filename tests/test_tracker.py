@@ -45,7 +45,7 @@ def test_throttle_equals_loop(spark, ms, gap, arrow_rows):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(arrow_rows))
     try:
         df = timed(spark, rows, "session_id STRING, event_id STRING").withColumn("extra", F.lit(2**60 + 1))
-        found = tracker.throttle(df, ms).collect()
+        found = tracker.throttle(df, ms, ["session_id"]).collect()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert sorted(r.event_id for r in found) == sorted(thinned(rows, ms))
@@ -55,7 +55,7 @@ def test_throttle_equals_loop(spark, ms, gap, arrow_rows):
 def test_throttle_splits_a_hot_session(spark):
     """The large rows are shuffled by session and slice, never by the session alone."""
     df = timed(spark, [(1, "s", "e")], "session_id STRING, event_id STRING")
-    plan = tracker.throttle(df)._jdf.queryExecution().optimizedPlan().toString()
+    plan = tracker.throttle(df, keys=["session_id"])._jdf.queryExecution().optimizedPlan().toString()
     by_session = [line for line in plan.splitlines() if "RepartitionByExpression" in line and "_slice" not in line]
     assert len(by_session) == 1  # the short rows, one per slice
     assert thinning.SLICE_MS == 60_000
