@@ -4,11 +4,15 @@ With S the running signed quantity of a product since the last purchase, the qua
 is S minus the lowest S so far if that is below zero. The cart's value is the running sum
 of the changes in quantity times price.
 
-Sessions are cut into time slices. A short table says for every slice and product it
+Sessions are cut into slices by position (``running.by_position``), so no task holds a busy session or instant. A short table says for every slice and product it
 touches what the slice does to the product after its last purchase: the change d, the
 lowest point on the way, the last price. From these the carts at the slice borders follow.
 Each slice is then replayed on its own: it starts with rows that put the held quantities of
-the products it touches, and the value of the whole cart, in place.
+the products it touches, and the value of the whole cart, in place. The actions and the two short tables are written
+once and read again: the events are scanned once.
+
+Money is decimal: sums are exact and the same for every slicing. A purchase that repeats an order of its user is no
+purchase: it empties nothing.
 """
 
 from __future__ import annotations
@@ -17,6 +21,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from behavior_spark.operators.running import by_position
+from behavior_spark.session import materialized
+
+MONEY, VALUE = "decimal(18,2)", "decimal(38,2)"
+
 _SO_FAR = (Window.unboundedPreceding, Window.currentRow)
 _BEFORE = (Window.unboundedPreceding, -1)
 
@@ -29,21 +38,44 @@ def _held(total: Column, lowest: Column) -> Column:
     return total - F.least(_whole(), lowest)
 
 
-def _actions(events: DataFrame, session: str, slice_seconds: int) -> DataFrame:
+def _zero() -> Column:
+    return F.lit(0).cast(VALUE)
+
+
+def _worth(held: Column, unit: Column) -> Column:
+    return (held.cast("decimal(19,0)") * F.coalesce(unit, F.lit(0).cast(MONEY))).cast(VALUE)
+
+
+def _buys(actions: DataFrame, user: str) -> DataFrame:
+    """Add ``_bought``: 1 for a purchase, unless its user has bought the same order before."""
+    kind = F.col("event_type") == "purchase"
+    if not {user, "order_id"} <= set(actions.columns):
+        return actions.withColumn("_bought", kind.cast("int"))
+    named = kind & (F.coalesce("order_id", F.lit("")) != "")
+    firsts = (
+        actions.where(named)
+        .groupBy(F.col(user).alias("_user"), F.col("order_id").alias("_order"))
+        .agg(F.min(F.struct("event_time", "event_id")).alias("_first"))
+    )
+    same = named & F.col(user).eqNullSafe(F.col("_user")) & (F.col("order_id") == F.col("_order"))
+    repeat = F.col("_first").isNotNull() & (F.col("_first") != F.struct("event_time", "event_id"))
+    joined = actions.join(firsts, same, "left")
+    return joined.withColumn("_bought", (kind & ~repeat).cast("int")).drop("_user", "_order", "_first")
+
+
+def _actions(events: DataFrame, session: str, user: str) -> DataFrame:
     kind = F.col("event_type")
     quantity = F.coalesce(F.col("quantity").cast("bigint"), _whole())
-    return events.where(kind.isin("add_to_cart", "remove_from_cart", "purchase")).withColumns(
+    return _buys(events.where(kind.isin("add_to_cart", "remove_from_cart", "purchase")), user).withColumns(
         {
             # The keys are joined on, so neither is NULL.
             "_session": F.coalesce(F.concat(F.lit("s"), F.col(session).cast("string")), F.lit("none")),
-            "_slice": F.coalesce(F.floor(F.unix_seconds("event_time") / F.lit(slice_seconds)).cast("bigint"), _whole(-(2**40))),
-            "_bought": F.when(kind == "purchase", 1).otherwise(0),
             # Purchases have no product of their own.
             "_product": F.when(kind != "purchase", F.coalesce("product_id", F.lit(""))),
             "_moved": F.when(kind == "add_to_cart", quantity)
             .when(kind == "remove_from_cart", -quantity)
             .otherwise(_whole()),
-            "_add_price": F.when(kind == "add_to_cart", F.col("price").cast("double")),
+            "_add_price": F.when(kind == "add_to_cart", F.col("price").cast(MONEY)),
         }
     )
 
@@ -61,7 +93,7 @@ def _slice_products(actions: DataFrame) -> DataFrame:
     )
     priced = F.col("_after") & F.col("_add_price").isNotNull()
     return (
-        rows.where("_bought = 0")
+        rows.where("_product IS NOT NULL")
         .groupBy("_session", "_slice", "_product")
         .agg(
             F.coalesce(F.sum(F.when(F.col("_after"), F.col("_moved"))), _whole()).alias("d"),
@@ -83,9 +115,9 @@ def _slice_epochs(actions: DataFrame) -> DataFrame:
     )
 
 
-def _product_states(actions: DataFrame) -> DataFrame:
+def _product_states(actions: DataFrame, epochs: DataFrame) -> DataFrame:
     """Per session, slice and product: the state before the slice and the change of value."""
-    products = _slice_products(actions).join(_slice_epochs(actions), ["_session", "_slice"])
+    products = _slice_products(actions).join(epochs, ["_session", "_slice"])
     in_epoch = Window.partitionBy("_session", "_product", "epoch").orderBy("_slice").rowsBetween(*_SO_FAR)
     by_slice = Window.partitionBy("_session", "_product").orderBy("_slice")
     total = F.sum("d").over(in_epoch)
@@ -94,7 +126,7 @@ def _product_states(actions: DataFrame) -> DataFrame:
         .withColumn("lowest", F.min(F.col("total") - F.col("d") + F.col("low")).over(in_epoch))
         .withColumn("held", _held(F.col("total"), F.col("lowest")))
         .withColumn("unit", F.last("price", ignorenulls=True).over(in_epoch))
-        .withColumn("value", F.col("held") * F.coalesce("unit", F.lit(0.0)))
+        .withColumn("value", _worth(F.col("held"), F.col("unit")))
         .withColumn("prior", F.lag(F.struct("epoch", "held", "unit", "value")).over(by_slice))
     )
     still = F.col("prior.epoch") == F.col("epoch_before")
@@ -106,29 +138,29 @@ def _product_states(actions: DataFrame) -> DataFrame:
         "epoch",
         F.when(still, F.col("prior.held")).alias("start_held"),
         F.when(still, F.col("prior.unit")).alias("start_unit"),
-        (F.col("value") - F.coalesce(F.when(same, F.col("prior.value")), F.lit(0.0))).alias("change"),
+        (F.col("value") - F.coalesce(F.when(same, F.col("prior.value")), _zero())).cast(VALUE).alias("change"),
     )
 
 
-def _start_values(actions: DataFrame, states: DataFrame) -> DataFrame:
+def _start_values(epochs: DataFrame, states: DataFrame) -> DataFrame:
     """Per session and slice: the value of the whole cart before the slice."""
     changes = states.groupBy("_session", "_slice").agg(F.sum("change").alias("change"))
     ordered = Window.partitionBy("_session").orderBy("_slice")
     in_epoch = Window.partitionBy("_session", "epoch").orderBy("_slice").rowsBetween(*_SO_FAR)
     return (
-        _slice_epochs(actions)
-        .join(changes, ["_session", "_slice"], "left")
-        .withColumn("after", F.sum(F.coalesce("change", F.lit(0.0))).over(in_epoch))
+        epochs.join(changes, ["_session", "_slice"], "left")
+        .withColumn("after", F.sum(F.coalesce("change", _zero())).over(in_epoch).cast(VALUE))
         .select("_session", "_slice", F.lag("after").over(ordered).alias("start_value"))
     )
 
 
-def cart_value(events: DataFrame, session: str, slice_seconds: int) -> DataFrame:
+def cart_value(events: DataFrame, session: str, parts: int | None = None, user: str = "anonymous_user_id") -> DataFrame:
     """See ``tracker.cart_value``."""
     columns = events.columns
     kept = [c for c in columns if c != "cart_value"]
-    actions = _actions(events, session, slice_seconds)
-    states = _product_states(actions)
+    actions = by_position(_actions(events, session, user), ["_session"], ["event_time", "event_id"], parts)
+    epochs = materialized(_slice_epochs(actions))
+    states = materialized(_product_states(actions, epochs))
 
     # `_own`: 0 the cart's value, 1 a product's state, 2 a row of the events.
     working = ["_session", "_slice", "_product", "_bought", "_moved", "_add_price"]
@@ -146,15 +178,15 @@ def cart_value(events: DataFrame, session: str, slice_seconds: int) -> DataFrame
             value.alias("_start"),
         )
 
-    none, no_number = F.lit(None).cast("string"), F.lit(None).cast("double")
+    none, no_number = F.lit(None).cast("string"), F.lit(None).cast(VALUE)
     values = start_rows(
-        _start_values(actions, states).where("start_value <> 0"), 0, none, _whole(), no_number, F.col("start_value")
+        _start_values(epochs, states).where("start_value <> 0"), 0, none, _whole(), F.lit(None).cast(MONEY), F.col("start_value")
     )
     products = start_rows(
         states.where("start_held <> 0"), 1, F.col("_product"), F.col("start_held"), F.col("start_unit"), no_number
     )
     rows = (
-        actions.select(*kept, *working, F.lit(2).alias("_own"), F.lit(None).cast("double").alias("_start"))
+        actions.select(*kept, *working, F.lit(2).alias("_own"), F.lit(None).cast(VALUE).alias("_start"))
         .unionByName(products)
         .unionByName(values)
     )
@@ -167,15 +199,15 @@ def cart_value(events: DataFrame, session: str, slice_seconds: int) -> DataFrame
     stocked = (
         epochs.withColumn("_sum", F.sum("_moved").over(upto))
         .withColumn("_unit", F.last("_add_price", ignorenulls=True).over(upto))
-        .withColumn("_value", _held(F.col("_sum"), F.min("_sum").over(upto)) * F.coalesce("_unit", F.lit(0.0)))
-        .withColumn("_change", F.col("_value") - F.coalesce(F.lag("_value").over(cart), F.lit(0.0)))
+        .withColumn("_value", _worth(_held(F.col("_sum"), F.min("_sum").over(upto)), F.col("_unit")))
+        .withColumn("_change", F.col("_value") - F.coalesce(F.lag("_value").over(cart), _zero()))
     )
     # The cart's start value already holds the products' states.
-    change = F.when(F.col("_own") == 2, F.col("_change")).otherwise(F.coalesce("_start", F.lit(0.0)))
+    change = F.when(F.col("_own") == 2, F.col("_change")).otherwise(F.coalesce("_start", _zero()))
     so_far = Window.partitionBy("_session", "_slice", "_epoch").orderBy(*order).rowsBetween(*_SO_FAR)
     total = F.sum(change).over(so_far)
     return (
         stocked.withColumn("_total", total)
         .where("_own = 2")
-        .select(*kept, (F.floor(F.col("_total") * 100 + 0.5) / 100).alias("cart_value"))
+        .select(*kept, F.col("_total").cast(VALUE).alias("cart_value"))
     )

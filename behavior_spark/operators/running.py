@@ -1,9 +1,10 @@
 """Running values over ordered rows that stay parallel inside one large group.
 
-A plain window puts a whole group into one task. Here every group is cut into time slices:
-the window runs inside a slice, and a slice starts from what the slices before it add up
+A plain window puts a whole group into one task. Here the rows are range-partitioned by group and order, and the
+partitions are the slices: they are even whatever the groups and whatever the clock, also if all rows are of one group and one instant.
+The window runs inside a slice, and a slice starts from what the slices before it add up
 to. Those totals are pre-aggregated, one short row per group and slice, and enter the
-window as the slice's first row, so the large rows are shuffled once and not joined.
+window as the slice's first row, so the large rows are not joined.
 """
 
 from __future__ import annotations
@@ -15,8 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SLICE_SECONDS = 600
-
+from behavior_spark.session import materialized
 
 @dataclass(frozen=True)
 class Running:
@@ -47,28 +47,30 @@ class Running:
         return {"sum": F.sum, "min": F.min, "max": F.max}[self.kind](value)
 
 
+def by_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], parts: int | None = None) -> DataFrame:
+    """The rows with ``_slice``: range partitions of ``keys`` and ``order``, written once so that the borders are fixed.
+
+    Without ``parts`` the session's shuffle partitions are the upper limit and AQE joins small ones.
+    """
+    columns = [*keys, *order]
+    ranged = df.repartitionByRange(parts, *columns) if parts else df.repartitionByRange(*columns)
+    return materialized(ranged.withColumn("_slice", F.spark_partition_id()))
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
     values: Sequence[Running],
-    time: str = "event_time",
-    slice_seconds: int = SLICE_SECONDS,
+    parts: int | None = None,
 ) -> DataFrame:
-    """Add running values per ``keys``, rows taken in ``order`` (which starts with ``time``).
-
-    ``order`` must settle ties. A group's rows inside one slice share a task; choose
-    ``slice_seconds`` so that this is little even for the busiest group.
-    """
-    if list(order)[0] != time:
-        raise ValueError("order must start with the time column")
+    """Add running values per ``keys``, rows taken in ``order``, which must settle ties."""
     if any(v.kind not in ("sum", "min", "max", "last") for v in values):
         raise ValueError("kind must be sum, min, max or last")
     columns = df.columns
-    seconds = F.unix_seconds(F.col(time))
-    sliced = df.withColumn("_slice", F.floor(seconds / F.lit(slice_seconds)).cast("bigint"))
+    sliced = by_position(df, keys, order, parts)
 
-    # One row per group and slice; rows without a time form the slice NULL, which sorts first.
+    # One row per group and slice.
     totals = sliced.groupBy(*keys, "_slice").agg(*[v.total(order).alias(v.name) for v in values])
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(

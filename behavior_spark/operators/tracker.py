@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from behavior_spark.functions import js_number, js_trim, parsed_once, round_half_up, text_of, to_fixed, whole_number
 from behavior_spark.operators import carts
-from behavior_spark.operators.running import SLICE_SECONDS, Running, running
+from behavior_spark.operators.running import Running, running
 from behavior_spark.operators.thinning import throttle
 
 # ---- scalar rules --------------------------------------------------------------------------
@@ -71,7 +71,7 @@ def selector(events: DataFrame) -> DataFrame:
 # ---- ordered rules -------------------------------------------------------------------------
 
 
-def running_max_scroll(events: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+def running_max_scroll(events: DataFrame, parts: int | None = None) -> DataFrame:
     """Scroll events with the deepest scroll of the session so far (never below 0)."""
     scrolls = events.where((F.col("event_type") == "scroll") & F.col("scroll_pct").isNotNull())
     deepest = running(
@@ -79,7 +79,7 @@ def running_max_scroll(events: DataFrame, slice_seconds: int = SLICE_SECONDS) ->
         ["session_id"],
         ["event_time", "event_id"],
         [Running("max_scroll_pct", "max", "scroll_pct")],
-        slice_seconds=slice_seconds,
+        parts=parts,
     )
     floor = F.lit(0).cast(events.schema["scroll_pct"].dataType)
     return deepest.withColumn("max_scroll_pct", F.greatest(floor, "max_scroll_pct"))
@@ -105,7 +105,7 @@ def consent_gate(
     changes: DataFrame,
     default: bool,
     user: str = "anonymous_user_id",
-    slice_seconds: int = SLICE_SECONDS,
+    parts: int | None = None,
 ) -> DataFrame:
     """Events whose latest consent change at or before them says yes.
 
@@ -134,22 +134,20 @@ def consent_gate(
         [user],
         ["event_time", "_kind", "_order"],
         [Running("_allowed", "last", "_state")],
-        slice_seconds=slice_seconds,
+        parts=parts,
     )
     allowed = F.coalesce(F.col("_allowed"), F.lit(int(default))) == 1
     return gated.where((F.col("_kind") == 1) & allowed).select(*columns)
 
 
-def cart_value(
-    events: DataFrame, session: str = "session_id", slice_seconds: int = SLICE_SECONDS
-) -> DataFrame:
+def cart_value(events: DataFrame, session: str = "session_id", parts: int | None = None) -> DataFrame:
     """Replay carts: every add, remove and purchase with the cart's value after it.
 
     ``events`` holds ``event_type``, ``product_id``, ``quantity`` and ``price``. A purchase
-    shows the value it buys and empties the cart. A product's quantity never falls below
-    zero, and its price is that of its last add. See ``carts.py`` for how it is computed.
+    shows the value it buys and empties the cart; one that repeats an order of its user changes nothing. A product's
+    quantity never falls below zero, and its price is that of its last add. See ``carts.py`` for how it is computed.
     """
-    return carts.cart_value(events, session, slice_seconds)
+    return carts.cart_value(events, session, parts)
 
 
 # ---- call validation -----------------------------------------------------------------------

@@ -116,13 +116,15 @@ def _(t):
 
 @query("cart_value", sql(
     """SELECT event_id, event_type, session_id,
-        floor(sum(after_row - before_row) OVER (PARTITION BY session_id, epoch ORDER BY event_time, event_id
-            ROWS UNBOUNDED PRECEDING) * 100 + 0.5) / 100 AS cart_value FROM worth""",
-    actions="""SELECT *, coalesce(sum(CAST(event_type = 'purchase' AS INT)) OVER (PARTITION BY session_id
+        CAST(100 * sum(after_row - before_row) OVER (PARTITION BY session_id, epoch ORDER BY event_time, event_id
+            ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cart_cents FROM worth""",
+    buys="""SELECT *, event_type = 'purchase' AND (coalesce(order_id, '') = '' OR row_number() OVER (
+            PARTITION BY event_type, anonymous_user_id, order_id ORDER BY event_time, event_id) = 1) AS bought FROM click_events""",
+    actions="""SELECT *, coalesce(sum(CAST(bought AS INT)) OVER (PARTITION BY session_id
             ORDER BY event_time, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS epoch,
         CASE event_type WHEN 'add_to_cart' THEN quantity WHEN 'remove_from_cart' THEN -quantity ELSE 0 END AS moved,
-        CASE event_type WHEN 'add_to_cart' THEN CAST(price AS DOUBLE) END AS add_price
-        FROM click_events WHERE event_type IN ('add_to_cart', 'remove_from_cart', 'purchase')""",
+        CASE event_type WHEN 'add_to_cart' THEN CAST(price AS DECIMAL(18,2)) END AS add_price
+        FROM buys WHERE event_type IN ('add_to_cart', 'remove_from_cart', 'purchase')""",
     sums="""SELECT *, sum(moved) OVER steps AS total, last_value(add_price IGNORE NULLS) OVER steps AS unit_price FROM actions
         WINDOW steps AS (PARTITION BY session_id, epoch, product_id ORDER BY event_time, event_id ROWS UNBOUNDED PRECEDING)""",
     stock="""SELECT *, (total - least(0, min(total) OVER steps)) * coalesce(unit_price, 0) AS after_row FROM sums
@@ -131,7 +133,8 @@ def _(t):
         ORDER BY event_time, event_id), 0) AS before_row FROM stock""",
 ))
 def _(t):
-    return tracker.cart_value(t.click_events).select("event_id", "event_type", "session_id", "cart_value")
+    replayed = tracker.cart_value(t.click_events)
+    return replayed.select("event_id", "event_type", "session_id", (F.col("cart_value") * 100).cast("bigint").alias("cart_cents"))
 
 
 @query("normalize_coordinates", sql("""

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from behavior_spark import tracker
 from behavior_spark.operators import thinning
-from behavior_spark.operators.running import Running, running
+from behavior_spark.operators.running import Running, by_position, running
+from behavior_spark.session import release
 
 
 def timed(spark, rows, columns):
@@ -69,9 +70,9 @@ def test_throttle_needs_a_positive_interval(spark):
 # ---- running values ------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("slice_seconds", [1, 60, 10_000])
-def test_running_values_equal_loop(spark, slice_seconds):
-    rng = random.Random(slice_seconds)
+@pytest.mark.parametrize("parts", [1, 7, 40])
+def test_running_values_equal_loop(spark, parts):
+    rng = random.Random(parts)
     rows = [
         (1_700_000_000_000 + rng.randrange(0, 400_000, 500), rng.choice(["hot", "hot", "x", None]), f"e{i:04d}",
          rng.choice([None, rng.randrange(-50, 50)]))
@@ -80,7 +81,7 @@ def test_running_values_equal_loop(spark, slice_seconds):
     df = timed(spark, rows, "k STRING, event_id STRING, v INT")
     values = [Running("s", "sum", "v"), Running("lo", "min", "v"), Running("hi", "max", "v"), Running("l", "last", "v"),
               Running("prior", "last", "v", before=True), Running("s0", "sum", "v", before=True)]
-    out = running(df, ["k"], ["event_time", "event_id"], values, slice_seconds=slice_seconds)
+    out = running(df, ["k"], ["event_time", "event_id"], values, parts=parts)
     found = {r.event_id: (r.s, r.lo, r.hi, r.l, r.prior, r.s0) for r in out.collect()}
     expected = {}
     for key in {r[1] for r in rows}:
@@ -96,10 +97,16 @@ def test_running_values_equal_loop(spark, slice_seconds):
     assert found == expected
 
 
+def test_one_instant_of_one_key_is_shared_out(spark):
+    df = spark.range(1_000_000).selectExpr("'k' AS k", "timestamp_seconds(0) AS event_time", "concat('e', id) AS event_id", "1 AS v")
+    sliced = by_position(df, ["k"], ["event_time", "event_id"], 16)
+    sizes = [r["count"] for r in sliced.groupBy("_slice").count().collect()]
+    assert sum(sizes) == 1_000_000 and max(sizes) < 150_000
+    assert release(spark) > 0
+
+
 def test_running_checks_its_arguments(spark):
     df = timed(spark, [(1, "s", "e")], "k STRING, event_id STRING")
-    with pytest.raises(ValueError):
-        running(df, ["k"], ["event_id"], [Running("x", "sum", "k")])
     with pytest.raises(ValueError):
         running(df, ["k"], ["event_time"], [Running("x", "mean", "k")])
 
@@ -130,8 +137,8 @@ def replay(actions):
     return values
 
 
-@pytest.mark.parametrize("slice_seconds", [2, 600])
-def test_cart_value_equals_replay(spark, slice_seconds):
+@pytest.mark.parametrize("parts", [None, 23])
+def test_cart_value_equals_replay(spark, parts):
     rng = random.Random(7)
     rows, expected, number = [], {}, 0
     for session, count in [("hot", 700), (None, 90)] + [(f"s{i}", 60) for i in range(15)]:
@@ -150,7 +157,7 @@ def test_cart_value_equals_replay(spark, slice_seconds):
         expected.update(zip(names, replay(actions)))
     rng.shuffle(rows)
     df = timed(spark, rows, "session_id STRING, event_id STRING, event_type STRING, product_id STRING, quantity INT, price DOUBLE")
-    found = {r.event_id: r.cart_value for r in tracker.cart_value(df, slice_seconds=slice_seconds).collect()}
+    found = {r.event_id: r.cart_value for r in tracker.cart_value(df, parts=parts).collect()}
     assert found == expected
 
 
@@ -168,7 +175,7 @@ def test_consent_gate_equals_loop(spark, default):
         timed(spark, events, "anonymous_user_id STRING, event_id STRING"),
         timed(spark, changes, "anonymous_user_id STRING, consented BOOLEAN"),
         default,
-        slice_seconds=1,
+        parts=9,
     )
     assert gated.columns == ["anonymous_user_id", "event_id", "event_time"]
     assert {r.event_id for r in gated.collect()} == expected
