@@ -19,6 +19,7 @@ from behavior_spark import schemas
 from behavior_spark.operators import scoring
 from behavior_spark.operators.features import by_source
 from behavior_spark.operators.ranking import hash_rank, score_steps
+from behavior_spark.operators.running import Running, running
 from behavior_spark.session import checkpoint_dir, materialized
 from behavior_spark.sources.tables import stamped, write_scored
 
@@ -44,10 +45,14 @@ _PREPARE = (
 
 @dataclass(frozen=True)
 class TrainParams:
-    """Model size; a tree of depth 6 has up to 64 leaves."""
+    """Model size; a tree of depth 6 has up to 64 leaves.
 
-    trees: int = 400
-    learning_rate: float = 0.05
+    Few trees with large steps: MLlib grows them one after another, each in some passes over all training rows, so on a large
+    table time follows their number. The default is what every named query and ``train`` use.
+    """
+
+    trees: int = 20
+    learning_rate: float = 0.3
     depth: int = 6
     min_rows: int = 20
     seed: int = 42
@@ -73,8 +78,30 @@ def class_balance(labelled: DataFrame) -> DataFrame:
 
 
 def describe(features: DataFrame) -> DataFrame:
-    """Count, mean, spread, extremes and quartiles of the model's inputs."""
-    return features.select(*FEATURES).summary()
+    """Per input of the model: count, mean, sample deviation, extremes and exact quartiles (between neighbours in proportion).
+
+    Equal values are one row with a count. Running counts over these rows, in slices of the order, say which value a rank falls on.
+    """
+    pairs = ", ".join(f"'{name}', CAST({name} AS DOUBLE)" for name in FEATURES)
+    long = features.selectExpr(f"stack({len(FEATURES)}, {pairs}) AS (feature, value)").where("value IS NOT NULL")
+    counts = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    value = F.col("value")
+    overall = long.groupBy("feature").agg(
+        F.count(F.lit(1)).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max")
+    )
+    placed = running(counts, ["feature"], ["value"], [Running("below", "sum", "n", before=True)])
+    placed = placed.withColumn("below", F.coalesce("below", F.lit(0))).join(overall, "feature")
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("below") <= rank) & (rank < F.col("below") + F.col("n")), value))
+
+    def quartile(share: float) -> Column:
+        place = (F.col("count") - 1) * F.lit(share)
+        low = at(F.floor(place))
+        return low + F.max(place - F.floor(place)) * (at(F.ceil(place)) - low)
+
+    found = placed.groupBy("feature").agg(*[quartile(q).alias(name) for q, name in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))])
+    return overall.join(found, "feature").select("feature", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def stratified_split(
@@ -160,9 +187,9 @@ def cross_validate(
 
 
 def predict(features: DataFrame, model: PipelineModel) -> DataFrame:
-    """Add ``ml_lead_score``, the probability of a purchase."""
+    """Add ``ml_lead_score``, the probability of a purchase (the score table's writer cuts it to 32 bits)."""
     columns = features.columns
-    probability = vector_to_array("probability")[1].cast("float")
+    probability = vector_to_array("probability")[1]
     return model.transform(features).select(*columns, probability.alias("ml_lead_score"))
 
 
@@ -182,11 +209,12 @@ def score_batch(
 ) -> DataFrame:
     """Score the sessions of a source and append them to the score table at ``path``.
 
-    ``dry_run`` prints ten rows and the number of rows and writes nothing.
+    ``dry_run`` prints ten rows and the number of rows and writes nothing. The scores are worked out once and written
+    before they are shown, appended or returned.
     """
-    scores = (
+    scores = materialized(
         predict(by_source(features, source), model)
-        .select("session_id", "anonymous_user_id", "source", "ml_lead_score")
+        .select("session_id", "anonymous_user_id", "source", F.col("ml_lead_score").cast("float").alias("ml_lead_score"))
         .withColumn("model_version", F.lit(model_version))
     )
     if dry_run:

@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from behavior_spark.operators import ml
 from behavior_spark.plans.oracle import sql
 from behavior_spark.plans.registry import query
+from behavior_spark.session import new_folder
 
-# A small model: the checks ask whether it works, not how good 400 trees are.
-SMALL = ml.TrainParams(trees=10)
 _KEYS = "source, anonymous_user_id, session_id"
 
 
@@ -30,9 +29,13 @@ def _(t):
     return ml.class_balance(_labelled(t))
 
 
-@query("describe_features")
+@query("describe_features", sql(" UNION ALL ".join(
+    f"""SELECT '{name}' AS feature, count({name}) AS count, avg(CAST({name} AS DOUBLE)) AS mean, stddev_samp(CAST({name} AS DOUBLE)) AS std,
+        CAST(min({name}) AS DOUBLE) AS min, quantile_cont(CAST({name} AS DOUBLE), 0.25) AS q25, quantile_cont(CAST({name} AS DOUBLE), 0.5) AS q50,
+        quantile_cont(CAST({name} AS DOUBLE), 0.75) AS q75, CAST(max({name}) AS DOUBLE) AS max FROM all_sessions HAVING count({name}) > 0"""
+    for name in ml.FEATURES), all_sessions="SELECT * FROM live UNION ALL BY NAME SELECT * FROM dataset"))
 def _(t):
-    return ml.describe(_labelled(t))
+    return ml.describe(t.sessions)
 
 
 _SPLIT = {
@@ -54,13 +57,14 @@ def _(t):
 
 
 @query("feature_matrix", sql("""
-    SELECT session_id, CAST(-1 AS DOUBLE) AS scroll_known, CAST(1 AS DOUBLE) AS scroll_missing,
+    SELECT session_id, CAST(coalesce(max_scroll_pct, -1) AS DOUBLE) AS scroll_known, CAST(max_scroll_pct IS NULL AS DOUBLE) AS scroll_missing,
         CAST(product_views AS DOUBLE) AS product_views, CAST(add_to_cart_count AS DOUBLE) AS add_to_cart_count,
-        CAST(distinct_products_viewed AS DOUBLE) AS distinct_products_viewed, CAST(0 AS DOUBLE) AS search_count,
-        CAST(session_duration_seconds AS DOUBLE) AS session_duration_seconds FROM labelled"""))
+        CAST(distinct_products_viewed AS DOUBLE) AS distinct_products_viewed, CAST(search_count AS DOUBLE) AS search_count,
+        CAST(session_duration_seconds AS DOUBLE) AS session_duration_seconds FROM all_sessions""",
+    all_sessions="SELECT * FROM live UNION ALL BY NAME SELECT * FROM dataset"))
 def _(t):
     values = vector_to_array(F.col("features"))
-    return ml.assemble(_labelled(t)).select(
+    return ml.assemble(t.sessions).select(
         "session_id", *[values[i].alias(name) for i, name in enumerate(ml.INPUTS)]
     )
 
@@ -128,13 +132,25 @@ def _(t):
 
 def _model(t):
     train, test = ml.stratified_split(_labelled(t))
-    return ml.train(train, SMALL), test
+    return ml.train(train), test
 
 
-@query("predict")
+@query("predict", sql(f"SELECT {_KEYS}, converted, 1 AS in_range FROM ranked WHERE nth <= round(label_rows * 0.2)", **_SPLIT))
 def _(t):
     model, test = _model(t)
-    return ml.predict(test, model).select(*ml.KEYS, "converted", "ml_lead_score")
+    in_range = F.col("ml_lead_score").between(0, 1).cast("int").alias("in_range")
+    return ml.predict(test, model).select(*ml.KEYS, "converted", in_range)
+
+
+# A model that was saved and loaded gives every test session the same score.
+@query("stored_model", sql("SELECT count(*) AS scored, CAST(0 AS BIGINT) AS differing FROM ranked WHERE nth <= round(label_rows * 0.2)", **_SPLIT))
+def _(t):
+    model, test = _model(t)
+    folder = new_folder(t.spark, "model")
+    ml.save_model(model, folder)
+    again = ml.predict(test, ml.load_model(folder)).select(*ml.KEYS, F.col("ml_lead_score").alias("again"))
+    both = ml.predict(test, model).join(again, list(ml.KEYS))
+    return both.agg(F.count("*").alias("scored"), F.count_if(~F.col("again").eqNullSafe(F.col("ml_lead_score"))).alias("differing"))
 
 
 @query("score_batch", sql(f"SELECT {_KEYS}, 'gbt_v1' AS model_version, 1 AS in_range FROM live"))
@@ -144,11 +160,17 @@ def _(t):
     return scores.select(*ml.KEYS, "model_version", F.col("ml_lead_score").between(0, 1).cast("int").alias("in_range"))
 
 
-@query("feature_importances")
+@query("feature_importances", sql("SELECT unnest([" + ", ".join(f"'{f}'" for f in ml.FEATURES) + """]) AS feature, 1 AS in_range,
+    CAST(1 AS DOUBLE) AS total FROM (SELECT 1 FROM labelled LIMIT 1)"""))
 def _(t):
-    return ml.importances(_model(t)[0])
+    found = ml.importances(_model(t)[0])
+    total = found.agg(F.round(F.sum("importance"), 9).alias("total"))
+    return found.select("feature", F.col("importance").between(0, 1).cast("int").alias("in_range")).join(total)
 
 
-@query("cross_validate")
+@query("cross_validate", sql("SELECT 5 AS folds, 1 AS in_range, 1 AS spread_known FROM (SELECT 1 FROM labelled LIMIT 1)"))
 def _(t):
-    return ml.cross_validate(ml.stratified_split(_labelled(t))[0], ml.TrainParams(trees=3, depth=3), folds=5)
+    found = ml.cross_validate(ml.stratified_split(_labelled(t))[0], folds=5)
+    return found.select(
+        "folds", F.col("mean_roc_auc").between(0, 1).cast("int").alias("in_range"), (F.col("std_roc_auc") >= 0).cast("int").alias("spread_known")
+    )

@@ -6,6 +6,7 @@ import pytest
 import __spark_entry__ as entry_points
 import check
 from behavior_spark import session
+from behavior_spark.plans import catalog
 
 FOLDER = "/root/testdata/sf0.001"
 SAMPLE = [
@@ -30,7 +31,7 @@ def test_entry_gives_tiers(spark):
 def test_every_sql_has_a_query():
     assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
     without = set(entry_points.queries()) - set(entry_points.oracle_sql())
-    assert without == {"describe_features", "predict", "feature_importances", "cross_validate"}
+    assert not any(name in catalog.QUERIES for name in without)
 
 
 @pytest.mark.parametrize("name", SAMPLE)
