@@ -5,6 +5,7 @@ from behavior_spark.plans import (  # noqa: F401
     model_queries,
     report_queries,
     session_queries,
+    storage_queries,
     tracker_queries,
 )
 from behavior_spark.plans.registry import ORACLES, QUERIES

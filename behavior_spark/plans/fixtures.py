@@ -108,7 +108,9 @@ DATASET_CSV = {
 PROPERTY_CSV = {
     "timestamp": "CAST({ms} AS STRING)",
     "itemid": "CAST(l_partkey % 300 AS STRING)",
-    "property": "CASE l_linenumber % 3 WHEN 0 THEN 'categoryid' WHEN 1 THEN 'available' ELSE '790' END",
+    # Every seventh item has no category.
+    "property": """CASE l_linenumber % 3 WHEN 0 THEN CASE WHEN l_partkey % 300 % 7 = 0 THEN '790' ELSE 'categoryid' END
+        WHEN 1 THEN 'available' ELSE '790' END""",
     "value": """CASE l_linenumber % 3
         WHEN 0 THEN CASE WHEN l_suppkey % 10 = 0 THEN concat('n', l_suppkey, ':x') ELSE CAST(l_suppkey AS STRING) END
         WHEN 1 THEN CAST(l_orderkey % 2 AS STRING) ELSE CAST(CAST(l_quantity AS INT) AS STRING) END""",
@@ -261,7 +263,7 @@ class Inputs:
 
     @cached_property
     def property_parts(self) -> tuple[DataFrame, DataFrame]:
-        rows = self.table("lineitem").where("l_partkey % 7 <> 0")
+        rows = self.table("lineitem")
         parts = []
         for part, condition in ((1, "l_orderkey % 2 = 0"), (2, "l_orderkey % 2 = 1")):
             parts.append(

@@ -144,7 +144,7 @@ BLOCKS = {
         CAST(itemid AS BIGINT) AS item_id, property, value, source_file FROM (
         SELECT {_columns(fx.PROPERTY_CSV, ms='(epoch_us(l_shipdate) // 1000)')},
             CASE WHEN l_orderkey % 2 = 0 THEN 'item_properties_part1.csv' ELSE 'item_properties_part2.csv' END AS source_file
-        FROM lineitem WHERE l_partkey % 7 <> 0)""",
+        FROM lineitem)""",
     "item_latest": """SELECT item_id, CASE WHEN regexp_full_match(c, '[0-9]+') THEN TRY_CAST(c AS BIGINT) END AS category_id,
         coalesce(a, '') AS available FROM (
         SELECT item_id, max_by(value, (event_time, value)) FILTER (WHERE property = 'categoryid') AS c,

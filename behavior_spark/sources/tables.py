@@ -164,8 +164,8 @@ def append_ml_scores(df: DataFrame, path: str) -> None:
 
 
 def write_batch(df: DataFrame, path: str, batch_id: str) -> None:
-    """Write one load batch to its own folder; a rerun replaces the same folder."""
-    df.drop("load_batch_id").write.mode("overwrite").parquet(f"{path}/load_batch_id={batch_id}")
+    """Write one load batch to its own folder; a rerun replaces the same folder. AQE sizes the files."""
+    df.drop("load_batch_id").hint("rebalance").write.mode("overwrite").parquet(f"{path}/load_batch_id={batch_id}")
 
 
 def write_scored(df: DataFrame, path: str, now: Column | datetime | None = None) -> None:
@@ -180,6 +180,8 @@ def register_views(
     click_events: DataFrame,
     dataset_events: DataFrame,
     item_properties: DataFrame | None = None,
+    orders: DataFrame | None = None,
+    ml_scores: DataFrame | None = None,
 ) -> list[str]:
     """(Re)create the named views over the given tables and return their names."""
     from behavior_spark.operators import features, reports, scoring
@@ -198,6 +200,10 @@ def register_views(
     }
     if item_properties is not None:
         views["item_latest"] = features.item_latest(item_properties)
+    if orders is not None:
+        views["orders"] = orders_latest(orders)
+    if ml_scores is not None:
+        views["ml_scores"] = ml_scores_latest(ml_scores)
     for name, frame in views.items():
         frame.createOrReplaceTempView(name)
     return list(views)
