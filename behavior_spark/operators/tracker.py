@@ -210,8 +210,9 @@ def validate_events(calls: DataFrame, lenient: bool = False) -> tuple[DataFrame,
         counted = F.coalesce(quantity, F.lit(0)) > 0
         add_ok = product.isNotNull() & counted & price.isNotNull()
         remove_ok = product.isNotNull() & counted
-    # Only purchases have items to parse.
-    products = _normal_items(F.when(method == "purchase", text("items")), lenient)
+    # Only purchases have items to parse; the list is used twice and parsed once.
+    listed = _normal_items(F.when(method == "purchase", text("items")), lenient)
+    products = F.col("_items")
     summed = F.aggregate(
         products, zero, lambda sofar, item: sofar + F.coalesce(item["price"], zero) * item["quantity"]
     )
@@ -229,8 +230,9 @@ def validate_events(calls: DataFrame, lenient: bool = False) -> tuple[DataFrame,
     )
     items = ("product_view", "add_to_cart", "remove_from_cart")
     arguments = F.coalesce(F.from_json("payload", "MAP<STRING, STRING>"), F.create_map().cast("MAP<STRING, STRING>"))
-    checked = parsed_once(calls, "_p", arguments).withColumn("_ok", accepted)
-    events = checked.where("_ok").select(
+    parsed = parsed_once(calls, "_p", arguments)
+    checked = parsed.withColumn("_ok", accepted)
+    events = parsed_once(checked.where("_ok"), "_items", listed).select(
         *[c for c in calls.columns if c not in ("method", "payload")],
         method.alias("event_type"),
         only(items, product).alias("product_id"),

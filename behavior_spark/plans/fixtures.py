@@ -151,7 +151,7 @@ CALLS = {
         ',"order_id":', CASE n % 8 WHEN 0 THEN 'null' ELSE concat('"o', n, '"') END,
         ',"query":"', CASE n % 9 WHEN 0 THEN '  ' ELSE concat(' find ', k, ' ') END,
         '","results_count":', CASE n % 4 WHEN 0 THEN 'null' ELSE concat('', n % 3) END,
-        CASE n % 3 WHEN 0 THEN concat(',"total":', k, '.25') WHEN 1 THEN '' ELSE ',"total":-1' END,
+        CASE n % 3 WHEN 0 THEN concat(',"total":', CASE n % 12 WHEN 0 THEN '2.675' WHEN 3 THEN '10.235' WHEN 6 THEN '0.125' ELSE concat(k, '.25') END) WHEN 1 THEN '' ELSE ',"total":-1' END,
         ',"items":[{"product_id":"a', k, '","price":2.5,"quantity":', k % 3, '},{"product_id":"","price":9},{"product_id":"b","price":-4,"quantity":2}]}')""",
 }
 

@@ -37,15 +37,11 @@ def _(t):
 
 
 @query("split_malformed", sql(
-    "SELECT 'good' AS side, count(*) FILTER (WHERE is_json) AS messages FROM checked_messages "
-    "UNION ALL SELECT 'bad', count(*) FILTER (WHERE NOT is_json) FROM checked_messages"
+    "SELECT CASE WHEN is_json THEN 'good' ELSE 'bad' END AS side, raw_message FROM checked_messages"
 ))
 def _(t):
     good, bad = ingest.split_malformed(t.messages)
-    both = good.agg(F.count("*").alias("messages")).withColumn("side", F.lit("good"))
-    return both.unionByName(bad.agg(F.count("*").alias("messages")).withColumn("side", F.lit("bad"))).select(
-        "side", "messages"
-    )
+    return good.withColumn("side", F.lit("good")).unionByName(bad.withColumn("side", F.lit("bad"))).select("side", "raw_message")
 
 
 @query("explode_batch", sql("""

@@ -40,10 +40,10 @@ def _(t):
 
 
 @query("real_sessions", sql("""
-    SELECT count(*) AS events FROM click_events
+    SELECT event_id, session_id, anonymous_user_id FROM click_events
     WHERE session_id NOT IN ('', 'unknown_session') AND anonymous_user_id <> ''"""))
 def _(t):
-    return t.click_events.where(features.real_session()).agg(F.count("*").alias("events"))
+    return t.click_events.where(features.real_session()).select("event_id", "session_id", "anonymous_user_id")
 
 
 @query("conform_features", sql(f"SELECT {_FEATURES} FROM live"))

@@ -188,9 +188,11 @@ _CHECKED = {
         trim(json_extract_string(payload, '$.query')) AS query,
         TRY_CAST(json_extract_string(payload, '$.results_count') AS DOUBLE) AS results,
         TRY_CAST(json_extract_string(payload, '$.total') AS DOUBLE) AS total,
+        json_extract_string(payload, '$.items[0].product_id') AS first_product,
         CAST(json_extract(payload, '$.items[0].quantity') AS DOUBLE) AS first_quantity FROM calls""",
     "tidy": """SELECT *, CASE WHEN price_text IS NULL THEN 0 WHEN price_number >= 0 THEN price_number END AS price,
-        CASE WHEN quantity_number > 0 THEN CAST(floor(quantity_number + 0.5) AS BIGINT) END AS quantity FROM args""",
+        CASE WHEN quantity_number > 0 THEN CAST(floor(quantity_number + 0.5) AS BIGINT) END AS quantity,
+        CASE WHEN total >= 0 THEN total ELSE 2.5 * CASE WHEN first_quantity > 0 THEN first_quantity ELSE 1 END END AS asked FROM args""",
     "judged": """SELECT *, coalesce(CASE method WHEN 'product_view' THEN product_id IS NOT NULL
         WHEN 'add_to_cart' THEN product_id IS NOT NULL AND quantity > 0 AND price IS NOT NULL
         WHEN 'remove_from_cart' THEN product_id IS NOT NULL AND quantity > 0
@@ -204,9 +206,9 @@ _CHECKED = {
         CASE WHEN method IN ('product_view', 'add_to_cart') THEN CAST(price AS DOUBLE) END AS price,
         CASE WHEN method IN ('add_to_cart', 'remove_from_cart') THEN quantity END AS quantity,
         CASE WHEN method = 'purchase' THEN order_id END AS order_id,
-        CASE WHEN method = 'purchase' THEN 2 END AS products,
-        CASE WHEN method = 'purchase' THEN floor(CASE WHEN total >= 0 THEN total
-            ELSE 2.5 * CASE WHEN first_quantity > 0 THEN first_quantity ELSE 1 END END * 100 + 0.5) / 100 END AS total,
+        CASE WHEN method = 'purchase' THEN first_product || ':2.5:' || CAST(CASE WHEN first_quantity > 0 THEN first_quantity ELSE 1 END AS BIGINT) || ';b::2' END AS products,
+        CASE WHEN method = 'purchase' THEN CASE WHEN asked * 8 = floor(asked * 8) THEN floor(asked * 100 + 0.5) / 100
+            ELSE CAST(printf('%.2f', asked) AS DOUBLE) END END AS total,
         CASE WHEN method = 'search' THEN query END AS search_query,
         CASE WHEN method = 'search' THEN CAST(coalesce(results, 0) AS BIGINT) END AS results_count
     FROM judged WHERE ok""",
@@ -214,8 +216,8 @@ _CHECKED = {
 ))
 def _(t):
     events, _rejects = tracker.validate_events(t.calls)
-    counted = F.when(F.col("products").isNotNull(), F.size("products"))
-    return events.withColumn("products", counted).drop("currency")
+    shown = F.transform("products", lambda p: F.concat_ws(":", p["product_id"], F.coalesce(p["price"].cast("string"), F.lit("")), p["quantity"].cast("string")))
+    return events.withColumn("products", F.when(F.col("products").isNotNull(), F.concat_ws(";", shown))).drop("currency")
 
 
 @query("rejected_calls", sql("SELECT call_id, method FROM judged WHERE NOT ok", **_CHECKED))
