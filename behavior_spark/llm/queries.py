@@ -13,6 +13,7 @@ from behavior_spark.llm import (
     lm_scoring,
     mixing,
     nearest,
+    oracle,
     quality_rules,
     sentencepiece_codec,
     simhash_dedup,
@@ -79,13 +80,13 @@ def pseudo_likelihood(spark: SparkSession, folder: str) -> DataFrame:
     return lm_scoring.score(table(spark, folder, "documents"))
 
 
-@query("op7_quality_cascade")
+@query("op7_quality_cascade", oracle.QUALITY)
 def quality_cascade(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return quality_rules.judge(docs, quality_rules.plan(docs)).drop("rejected_by")
 
 
-@query("op8_recompression")
+@query("op8_recompression", oracle.SUBSTRINGS)
 def recompression(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.removed(table(spark, folder, "documents"))
 
