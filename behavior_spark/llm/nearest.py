@@ -176,7 +176,7 @@ def probes_needed(hashes: Hash, asked: dict[int, np.ndarray], true: dict[int, np
     return int(min(most, ranks[min(len(ranks) - 1, math.ceil(conf.recall * len(ranks)) - 1)]))
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 5, conf: CrossPolytope = CrossPolytope(), ident: str = "vec_id", vector: str = "embedding") -> DataFrame:  # noqa: B008, E501
+def search(vectors: DataFrame, is_query: Column | str, k: int = 5, conf: CrossPolytope = CrossPolytope(), ident: str = "vec_id", vector: str = "embedding") -> DataFrame:  # noqa: B008, E501
     """(query_id, rank, vec_id, score): the k nearest rows found for each row for which ``is_query`` (on column id) holds."""
     rows = written(valid(vectors, ident, vector), "vectors")
     queries = rows.where(is_query)
@@ -232,7 +232,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, conf: CrossPolytope
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def brute_force(vectors: DataFrame, is_query: Column, k: int = 5, ident: str = "vec_id", vector: str = "embedding") -> pd.DataFrame:
+def brute_force(vectors: DataFrame, is_query: Column | str, k: int = 5, ident: str = "vec_id", vector: str = "embedding") -> pd.DataFrame:
     """The exact answer for small tables, on the driver; for tests and for measuring recall."""
     rows = valid(vectors, ident, vector)
     table = rows.toPandas().sort_values("id")

@@ -1,9 +1,8 @@
 import numpy as np
-from pyspark.sql import functions as F
 
 from behavior_spark.llm import nearest as N
 
-QUERY = F.col("id") % 50 == 0
+QUERY = "id % 50 = 0"
 
 
 def rows_of(frame):
