@@ -154,8 +154,10 @@ def fused(rows: DataFrame, model: TextModel) -> DataFrame:
     """
     n, conf = len(model.languages), model.conf
     if not n:
-        return rows.select("kind", "id", F.lit(None).cast("string").alias("language"), F.lit(None).cast("double").alias("confidence"),
-                           F.lit(None).cast("string").alias("text_language"), "declared", "host")
+        unknown = F.lit(None).cast("string")
+        return described(rows, model).select(
+            "kind", "id", unknown.alias("language"), F.lit(None).cast("double").alias("confidence"), unknown.alias("text_language"), "declared", "host"
+        )
     names = F.array(*[F.lit(x) for x in model.languages])
     base = written(described(rows, model).withColumn("p", _softmax(F.col("text_evidence"))), "evidence")
     total = base.agg(*[F.coalesce(F.sum(F.col("p")[i]), F.lit(0.0)).alias(f"s{i}") for i in range(n)]).first()
