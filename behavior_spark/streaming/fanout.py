@@ -40,8 +40,11 @@ def write_fanout(
     """Write one micro-batch to every table.
 
     A message is parsed once. The folder names the run and the batch and is overwritten, so
-    a batch that is replayed after a failure replaces itself.
+    a batch that is replayed after a failure replaces itself. Ids must come out the same when a lost part of the batch is
+    computed again, so random ones are refused.
     """
+    if new_id != "digest":
+        raise ValueError("a stream's missing ids must be digests: random ones differ between its tables and replays")
     arrival = now if now is not None else datetime.now(timezone.utc)
     parsed = ingest.parse_messages(batch).persist(StorageLevel.MEMORY_AND_DISK)
     try:
