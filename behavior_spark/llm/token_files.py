@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from behavior_spark.llm.common import sliced, texts_of, written
+from behavior_spark.llm.common import sliced, written
 from behavior_spark.session import new_folder
 
 MAGIC, BLOCK, NULL_ID = b"S8BTOK01", 1 << 16, -(2**63)
@@ -44,20 +44,29 @@ ESCAPE = 15
 
 
 def pack(ids: np.ndarray) -> np.ndarray:
-    """The words of one block."""
+    """The words of one block: from each place on, the selector that holds the most ids."""
     m = len(ids)
     if not m:
         return np.zeros(0, np.uint64)
     ids = ids.astype(np.uint64)
-    choice, step = np.full(m, ESCAPE, np.int64), np.ones(m, np.int64)
-    at, open_ = np.arange(m), np.ones(m, bool)
-    for s, (count, bits) in enumerate(SELECTORS):
-        wide = np.where(ids >= np.uint64(1) << np.uint64(bits), at, m)
-        run = np.minimum.accumulate(wide[::-1])[::-1] - at  # ids from here on that are narrow enough
-        need = np.minimum(count, m - at)
-        fits = open_ & (run >= need)
-        choice[fits], step[fits] = s, need[fits]
-        open_ &= ~fits
+    choice, step = np.full(m, ESCAPE, np.int8), np.ones(m, np.int32)
+    at = np.arange(m, dtype=np.int32)
+    for s in reversed(range(len(SELECTORS))):  # selectors with more ids overrule
+        count, bits = SELECTORS[s]
+        narrow = ids < np.uint64(1) << np.uint64(bits)
+        wide = np.flatnonzero(~narrow)
+        longest = m if not len(wide) else max(int(wide[0]), m - 1 - int(wide[-1]), int(np.diff(wide).max(initial=1)) - 1)
+        if longest < min(count, m):
+            continue
+        nxt = np.full(m, m, np.int32)
+        nxt[wide] = wide
+        run = np.minimum.accumulate(nxt[::-1])[::-1] - at  # ids from here on that are narrow enough
+        fits = run >= count
+        choice[fits], step[fits] = s, count
+        tail = at[max(0, m - count + 1) :]
+        tail = tail[run[tail] == m - tail]
+        tail = tail[step[tail] <= m - tail]
+        choice[tail], step[tail] = s, m - tail
     starts, i, steps = [], 0, step.tolist()
     while i < m:
         starts.append(i)
@@ -65,16 +74,19 @@ def pack(ids: np.ndarray) -> np.ndarray:
     starts = np.array(starts)
     chosen = choice[starts]
     escapes = chosen == ESCAPE
-    place = np.cumsum(np.where(escapes, 2, 1)) - np.where(escapes, 2, 1)
-    words = np.zeros(int(place[-1]) + (2 if escapes[-1] else 1), np.uint64)
+    size = np.where(escapes, 2, 1)
+    place = np.cumsum(size) - size
+    words = np.zeros(int(size.sum()), np.uint64)
     padded = np.concatenate([ids, np.zeros(60, np.uint64)])
     for s, (count, bits) in enumerate(SELECTORS):
         own = np.flatnonzero(chosen == s)
         if len(own):
             held = padded[starts[own][:, None] + np.arange(count)]
-            held[np.arange(count) >= step[starts[own]][:, None]] = 0
-            shifted = held << (np.arange(count) * bits).astype(np.uint64)
-            words[place[own]] = np.bitwise_or.reduce(shifted, axis=1) | np.uint64(s) << np.uint64(60)
+            cut = step[starts[own]] < count
+            if cut.any():
+                held[np.arange(count) >= step[starts[own]][:, None]] = 0
+            held <<= (np.arange(count) * bits).astype(np.uint64)
+            words[place[own]] = np.bitwise_or.reduce(held, axis=1) | np.uint64(s) << np.uint64(60)
     words[place[escapes]] = np.uint64(ESCAPE) << np.uint64(60)
     words[place[escapes] + 1] = ids[starts[escapes]]
     return words
@@ -117,7 +129,7 @@ class Writer:
         out.write(MAGIC)
 
     def _flush(self, last: bool = False) -> None:
-        ids = np.concatenate(self.waiting) if self.waiting else np.zeros(0, np.uint64)
+        ids = np.concatenate(self.waiting) if self.waiting else np.zeros(0, np.uint32)
         at = 0
         while len(ids) - at >= BLOCK or (last and at < len(ids)):
             words = pack(ids[at : at + BLOCK])
@@ -129,7 +141,7 @@ class Writer:
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         self.docs.append((NULL_ID if doc_id is None else doc_id, len(ids)))
-        self.waiting.append(ids.astype(np.uint64))
+        self.waiting.append(ids)
         self.held += len(ids)
         self.n_ids += len(ids)
         if self.held >= 4 * BLOCK:
@@ -183,12 +195,11 @@ class Encoder:
     """The tokenizers library, asked once for each short stretch of text.
 
     Byte-level BPE cuts a text before a single space between two other characters, and around a single newline between two.
-    Between such cuts the library encodes the stretch, and the worker remembers it. A text with any other white space, or
-    with something that looks like a special token, goes to the library whole.
+    The stretches between such cuts that a worker does not remember go to the library joined by newlines, and its newline
+    ids part the answers. A text with any other white space, or with a special token, goes to the library whole.
     """
 
-    REMEMBERED, SHORT = 500_000, 48
-    OTHER = re.compile(r"\s\s|[^\S \n]|<\||^\s|\s$")
+    REMEMBERED, JOINED = 400_000, 1_000  # stretches in each of two generations (about 90 MB), and in one question
 
     def __init__(self, path: str):
         import os
@@ -197,32 +208,60 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}  # by stretch, with the newline or (left out) space before it
+        self.older: dict[str, bytes] = {}
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        newline = self._ask("\n")
+        self.newline = newline[0] if len(newline) == 1 and self._ask("a\n b\nc") == [*self._ask("a"), *newline, *self._ask(" b"), *newline, *self._ask("c")] else None
+        if any(x.split() != [x] for x in self.special):
+            self.newline = None  # cannot be told from a stretch: every text goes to the library
 
     def _ask(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
-    def _stretch(self, key: str) -> tuple[int, ...]:
-        """Key: a newline and the text after it, or the text after a (left out) space."""
-        ids = (*self._ask("\n"), *self._ask(key[1:])) if key[0] == "\n" else tuple(self._ask(" " + key))
-        if len(key) <= self.SHORT:
-            if len(self.known) >= self.REMEMBERED:
-                self.known.clear()
-            self.known[key] = ids
-        return ids
+    def _plain(self, key: str) -> bool:
+        body = key[1:] if key[:1] == "\n" else key
+        return body.split() == [body] and not any(s in body for s in self.special)
+
+    def _learn(self, keys: list[str]) -> None:
+        """Ask for stretches that are all plain."""
+        for at in range(0, len(keys), self.JOINED):
+            some = keys[at : at + self.JOINED]
+            asked = "a" + "".join([k if k[0] == "\n" else "\n " + k for k in some])
+            ids = np.array(self.library.encode_batch_fast([asked], add_special_tokens=False)[0].ids, "<u4")
+            edges = [*np.flatnonzero(ids == self.newline).tolist(), len(ids)]
+            if len(edges) != len(some) + 1:
+                raise ValueError("the tokenizer does not part stretches at newlines")
+            for key, a, b in zip(some, edges, edges[1:], strict=False):
+                self.known[key] = ids[a if key[0] == "\n" else a + 1 : b].tobytes()
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        if self.newline is None:
+            return [np.array(self._ask(t), "<u4") for t in texts]
+        if len(self.known) >= self.REMEMBERED:
+            self.known, self.older = {}, self.known
+        # The first stretch is looked up as if a newline were before it.
+        split = [("\n" + t).replace("\n", " \n")[1:].split(" ") for t in texts]
+        missing = set().union(*split).difference(self.known)
+        again = missing.intersection(self.older)
+        self.known.update({k: self.older[k] for k in again})
+        missing -= again
+        missing -= {"", "\n"}
+        together = "".join([k[1:] if k[0] == "\n" else k for k in missing])
+        if missing and together.split() != [together] or any(s in together for s in self.special):
+            missing = {k for k in missing if self._plain(k)}
+        self._learn(list(missing))
+        out, known = [], self.known.__getitem__
+        for text, keys in zip(texts, split, strict=True):
+            try:
+                out.append(np.frombuffer(b"".join(map(known, keys)), "<u4")[1:])
+            except KeyError:
+                out.append(np.array(self._ask(text), "<u4"))
+        return out
 
     def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        if self.OTHER.search(text) or any(s in text for s in self.special):
-            return self._ask(text)
-        first, *keys = text.replace("\n", " \n").split(" ")
-        ids = list(self._ask(first))
-        known, stretch = self.known.get, self._stretch
-        for key in keys:
-            ids += known(key) or stretch(key)
-        return ids
+        return self.encode_many([text])[0].tolist()
 
 
 @lru_cache(maxsize=2)
@@ -252,8 +291,9 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: in
                 writer = Writer(files.open_output_stream(hidden))
                 e = encoder(tokenizer)
             for piece in sliced(batch, "text"):
-                for doc_id, raw in zip(piece.column("doc_id").to_pylist(), texts_of(piece), strict=True):
-                    writer.add(doc_id, np.array([*e.encode(raw.decode()), end_id], np.uint64))
+                texts = [x or "" for x in piece.column("text").to_pylist()]
+                for doc_id, ids in zip(piece.column("doc_id").to_pylist(), e.encode_many(texts), strict=True):
+                    writer.add(doc_id, np.append(ids, np.uint32(end_id)))
         if writer is not None:
             writer.close()
             files.move(hidden, path)
