@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from behavior_spark.llm.common import WORD, free_name, running, written
 
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 Schedule = tuple[tuple[float, float], ...]  # (time, weight), times rising from 0 to 1
 
 
