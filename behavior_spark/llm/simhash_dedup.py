@@ -49,20 +49,28 @@ class SimHash:
         return [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
-    """Bit i is set if it is set in over half of the shingles' hashes."""
+def shingle_hashes(text: bytes, shingle: int, seed: int) -> np.ndarray:
+    """XXH64 of each run of ``shingle`` words, as rows of 8 bytes; a shorter text is one run, a text without words has none."""
     import xxhash
 
     words = text.lower().split()  # of bytes: A-Z only
     if not words:
-        return 0
+        return np.zeros((0, 8), np.uint8)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     n = max(1, len(words) - shingle + 1)
     starts = [0, *(ends[: n - 1] + 1).tolist()]
     stops = ends[min(shingle, len(words)) - 1 :].tolist()
     digest = xxhash.xxh64_digest
-    hashes = np.frombuffer(b"".join([digest(joined[a:b], seed) for a, b in zip(starts, stops, strict=True)]), np.uint8).reshape(n, 8)
+    return np.frombuffer(b"".join([digest(joined[a:b], seed) for a, b in zip(starts, stops, strict=True)]), np.uint8).reshape(n, 8)
+
+
+def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
+    """Bit i is set if it is set in over half of the shingles' hashes."""
+    hashes = shingle_hashes(text, shingle, seed)
+    n = len(hashes)
+    if not n:
+        return 0
     counts = np.zeros(BITS, np.int64)
     for at in range(0, n, 1 << 14):
         counts += np.unpackbits(hashes[at : at + (1 << 14)], axis=1).sum(axis=0, dtype=np.int64)
@@ -217,8 +225,13 @@ def deduplicated(docs: DataFrame, conf: SimHash = SimHash()) -> DataFrame:  # no
 
     Of rows that repeat id and text the first by their columns stays.
     """
+    return first_of_each(docs, classes(docs, conf))
+
+
+def first_of_each(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that come first in their group; ``named`` has doc_id, digest and root of each."""
     this = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
-    kept = classes(docs, conf).groupBy("root").agg(F.min(this).alias("k"))
+    kept = named.groupBy("root").agg(F.min(this).alias("k"))
     kept = kept.select(F.col("k.doc_id").alias("__id"), F.col("k.digest").alias("__digest"))
     digest, rank = free_name(docs.columns, "text_digest"), free_name(docs.columns, "repeat")
     rows = docs.withColumn(digest, F.xxhash64(F.col("text").cast("string")))

@@ -1,0 +1,74 @@
+import random
+
+import corpus_pipeline as C
+from behavior_spark.llm import near_copies as N
+from behavior_spark.llm import simhash_dedup as S
+from tests.llm.helpers import awkward, frame
+
+
+def shingles(text):
+    words = (text or "").encode().lower().split()
+    return frozenset(b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def groups(texts):
+    """The smallest index that each text reaches over pairs of Jaccard 0.8 or more, by comparing all pairs."""
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) * 5 >= len(sets[i] | sets[j]) * 4:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(texts))]
+
+
+def copies(seed, families, each, most):
+    rng = random.Random(seed)
+    out = []
+    for _ in range(families):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(100, 400))]
+        out.append(base)
+        for _ in range(each):
+            words = list(rng.choice(out[-3:]) if rng.random() < 0.3 else base)
+            for at in rng.sample(range(len(words)), rng.randint(1, most)):
+                words[at] = f"x{rng.randrange(10**6)}"
+            out.append(words)
+    return [" ".join(x) for x in out]
+
+
+def rows_of(texts):
+    return [(i, t, "en", "s", len(t), "", 0, "", 0, "") for i, t in enumerate(texts)]
+
+
+def test_stage_keeps_one_of_each_group_of_all_pairs(spark):
+    texts = copies(3, 30, 6, 9) + copies(4, 1, 80, 4) + ["", " ", "one two", "One  two", "one two three"]
+    docs = frame(spark, rows_of(texts))
+    stage = dict(C.STAGES)["near-duplicates"]
+    want = set(groups(texts))
+    assert {r.doc_id for r in stage(spark, docs, "").collect()} == want
+    # Four bits of SimHash leave most of the copies in.
+    assert S.deduplicated(docs).count() > 1.5 * len(want)
+
+
+def test_tables_equal_all_pairs(spark):
+    given = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id")
+    rows = [(r.doc_id, r.text) for r in given.collect()]
+    found = groups([t for _, t in rows])
+    want = {rows[i][0] for i in found}
+    assert {r.doc_id for r in N.deduplicated(given).collect()} == want
+    few = N.Likeness(sample=10, sample_part=1000, common=5)  # another order, the same result
+    assert {r.doc_id for r in N.deduplicated(given, few).collect()} == want
+
+
+def test_awkward_rows(spark):
+    docs = frame(spark)
+    kept = N.deduplicated(docs)
+    texts = [r[1] for r in awkward()]
+    assert kept.columns == docs.columns and kept.count() == len(set(groups(texts)))
+    assert N.deduplicated(frame(spark, [])).count() == 0
