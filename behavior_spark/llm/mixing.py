@@ -135,12 +135,35 @@ def pieces(placed: DataFrame, mix: Mix = Mix(), sort: bool = True) -> DataFrame:
     for i, schedule in enumerate(mix.schedules):
         position = F.when(F.col("schedule") == i, due(schedule, share)).otherwise(position)
     words = F.least(F.col("size"), F.col("taken") - F.col("pass") * F.col("size"))
-    out = rows.select("doc_id", "digest", "source", "pass", words.alias("words"), "size", position.alias("position"))
+    out = rows.select("doc_id", "digest", "source", "offset", "pass", words.alias("words"), "size", position.alias("position"))
     if not sort:
         return out
     return out.repartitionByRange(F.col("position"), F.col("doc_id")).sortWithinPartitions("position", "doc_id", "digest", "pass")
 
 
+def scheduled(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:  # noqa: B008
+    """The rows of ``taken`` as the training order has them: ``taken`` is the sum of the row's pieces.
+
+    ``first_position`` and ``last_position`` are the times of its first and last pass, ``first_rank`` is the number of pieces
+    ahead of the first one; null where nothing is taken. Ties go by id, digest, source, offset and pass.
+    """
+    placed = written(taken(docs, mix), "placed")
+    order = [F.col(c) for c in ("position", "doc_id", "digest", "source", "offset", "pass")]
+    ranked = running(pieces(placed, mix, sort=False).withColumn("one", F.lit(1).cast("long")), order, ["one"])
+    # Rows with words have an offset of their own in their source.
+    keys = ("doc_id", "digest", "source", "offset")
+    sums = ranked.groupBy(*keys).agg(
+        F.sum("words").alias("words"), F.min("position").alias("first_position"), F.max("position").alias("last_position"), F.min("before_one").alias("first_rank"),
+    )
+    same = None
+    for key in keys:
+        sums = sums.withColumnRenamed(key, f"__{key}")
+        equal = placed[key].eqNullSafe(F.col(f"__{key}"))
+        same = equal if same is None else same & equal
+    out = placed.drop("taken").join(sums, (placed["size"] > 0) & same, "left").drop(*[f"__{key}" for key in keys])
+    return out.withColumn("taken", F.coalesce("words", F.lit(0))).drop("words")
+
+
 def mixed_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:  # noqa: B008
     """The mix as documents: all columns, one row per pass, range-sorted by training time.
 

@@ -45,8 +45,8 @@ def tokenizer(name: str) -> str:
 
 @query("op1_mix_curriculum")
 def mix_curriculum(spark: SparkSession, folder: str) -> DataFrame:
-    placed = mixing.taken(table(spark, folder, "documents"))
-    return placed.select("doc_id", "size", "source_size", "target", "taken", "source", "offset")
+    placed = mixing.scheduled(table(spark, folder, "documents"))
+    return placed.select("doc_id", "size", "source_size", "target", "taken", "source", "offset", "first_position", "last_position", "first_rank")
 
 
 @query("op2_language_fusion")
