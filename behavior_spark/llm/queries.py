@@ -14,6 +14,7 @@ from behavior_spark.llm import (
     mixing,
     nearest,
     oracle,
+    periodic_runs,
     quality_rules,
     sentencepiece_codec,
     simhash_dedup,
@@ -99,3 +100,15 @@ def cross_polytope(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_sentencepiece")
 def sentencepiece_ids(spark: SparkSession, folder: str) -> DataFrame:
     return sentencepiece_codec.encode(table(spark, folder, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
+@query("op11_periodic_runs")
+def periodic(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic_runs.found(periodic_runs.planted(table(spark, folder, "documents").select("doc_id", "text")))
+    best = periodic_runs.strongest(F.col("runs"))
+    listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"), F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
