@@ -32,3 +32,22 @@ kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS s FROM words ANTI
 lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
 SELECT doc_id, len(w) AS n_words, coalesce(lost.n, 0) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
 FROM d LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+COLLOCATIONS = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents),
+d AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM d GROUP BY lang),
+f AS (SELECT lang, array_to_string(w[p : p + k - 1], ' ') AS phrase, k, count(*) AS f
+    FROM d, unnest(range(1, 6)) AS t(k), unnest(range(1, len(w) - k + 2)) AS u(p) GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, phrase, k AS m, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+kept AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM c AS x
+    WHERE x.lang = c.lang AND x.m > c.m AND x.a >= c.a AND contains(' ' || x.phrase || ' ', ' ' || c.phrase || ' '))),
+cuts AS (SELECT kept.lang, kept.phrase, a, t.k AS k, l.f AS l, r.f AS r, n, ((1000::HUGEINT * a * n) // (l.f::HUGEINT * r.f))::BIGINT AS score
+    FROM kept, unnest(range(1, m)) AS t(k), f AS l, f AS r, total
+    WHERE l.lang = kept.lang AND l.phrase = array_to_string(kept.w[1 : t.k], ' ') AND r.lang = kept.lang
+    AND r.phrase = array_to_string(kept.w[t.k + 1 :], ' ') AND total.lang = kept.lang),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM best QUALIFY rank <= 2000"""

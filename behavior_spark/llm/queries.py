@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from behavior_spark.llm import (
+    collocations,
     language_id,
     line_dedup,
     lm_scoring,
@@ -112,3 +113,8 @@ def periodic(spark: SparkSession, folder: str) -> DataFrame:
         F.col("best.period").alias("period"), F.expr("1000 * best.length div best.period").alias("exponent_milli"),
         F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@query("op13_collocations", oracle.COLLOCATIONS)
+def phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
