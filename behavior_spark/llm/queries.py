@@ -16,6 +16,7 @@ from behavior_spark.llm import (
     nearest,
     oracle,
     periodic_runs,
+    quality_gam,
     quality_rules,
     sentencepiece_codec,
     simhash_dedup,
@@ -115,6 +116,11 @@ def periodic(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op12_quality_gam")
+def gam(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_gam.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query("op13_collocations", oracle.COLLOCATIONS)
 def phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.collocations(table(spark, folder, "documents"))
