@@ -6,8 +6,11 @@ offline dataset.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from behavior_spark import schemas
 from behavior_spark.functions import span_seconds, to_uint_or_null
@@ -68,6 +71,63 @@ def live_sessions(events: DataFrame) -> DataFrame:
     return align(rows, schemas.SESSION_FEATURES)
 
 
+# Partial features of a session: one row per product that it touched, so that no row holds a set.
+SESSION_PARTIALS = T.StructType(
+    [T.StructField(name, T.StringType()) for name in ("session_id", "anonymous_user_id", "product_id")]
+    + [T.StructField(name, T.LongType()) for name in ("page_views", "product_views", "add_to_cart_count", "purchase_count", "search_count")]
+    + [T.StructField("max_scroll_pct", T.FloatType())]
+    + [T.StructField(name, T.TimestampType()) for name in ("first_event_at", "last_event_at")]
+)
+_PARTIAL_KEYS = ["session_id", "anonymous_user_id", "product_id"]
+_COUNTERS = {
+    "page_views": "page_view", "product_views": "product_view", "add_to_cart_count": "add_to_cart", "purchase_count": "purchase", "search_count": "search",
+}
+
+
+def session_partials(events: DataFrame, also: Sequence[Column] = ()) -> DataFrame:
+    """What a batch of live events adds to its sessions: counters and extremes per session, user and product (and ``also``)."""
+    return (
+        events.where(real_session())
+        .groupBy(*_PARTIAL_KEYS, *also)
+        .agg(
+            *[_count_of(kind).alias(name) for name, kind in _COUNTERS.items()],
+            F.max(F.when(F.col("event_type") == "scroll", F.col("scroll_pct"))).alias("max_scroll_pct"),
+            F.min("event_time").alias("first_event_at"),
+            F.max("event_time").alias("last_event_at"),
+        )
+    )
+
+
+def _combined() -> list[Column]:
+    return [
+        *[F.sum(name).alias(name) for name in _COUNTERS],
+        F.max("max_scroll_pct").alias("max_scroll_pct"),
+        F.min("first_event_at").alias("first_event_at"),
+        F.max("last_event_at").alias("last_event_at"),
+    ]
+
+
+def combine_partials(partials: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+    """Partial rows of the same session, user and product (and ``also``) as one."""
+    return partials.groupBy(*_PARTIAL_KEYS, *also).agg(*_combined())
+
+
+def merged_sessions(partials: DataFrame) -> DataFrame:
+    """The features of ``live_sessions`` from partial rows, whatever batches they were counted in and in which order."""
+    rows = (
+        partials.groupBy("session_id", "anonymous_user_id")
+        .agg(*_combined(), F.count_distinct("product_id").alias("distinct_products_viewed"))
+        .withColumns(
+            {
+                "cart_abandoned": cart_abandoned(F.col("add_to_cart_count"), F.col("purchase_count")),
+                "session_duration_seconds": span_seconds(F.col("first_event_at"), F.col("last_event_at")),
+                "source": F.lit(schemas.SOURCE_LIVE),
+            }
+        )
+    )
+    return align(rows, schemas.SESSION_FEATURES)
+
+
 def dataset_sessions(events: DataFrame) -> DataFrame:
     """Features per visitor and UTC day of the dataset; it has no pages, searches or scrolls."""
     carts, purchases = _count_of("addtocart"), _count_of("transaction")

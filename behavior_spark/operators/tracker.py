@@ -249,6 +249,13 @@ def validate_events(calls: DataFrame, lenient: bool = False) -> tuple[DataFrame,
     return events, checked.where("NOT _ok").select(*calls.columns)
 
 
+def throttle_by_event_time(*args, **kwargs) -> DataFrame:
+    """See ``behavior_spark.streaming.stateful.throttle_by_event_time``."""
+    from behavior_spark.streaming.stateful import throttle_by_event_time as thin
+
+    return thin(*args, **kwargs)
+
+
 def throttle_stream(*args, **kwargs) -> DataFrame:
     """See ``behavior_spark.streaming.stateful.throttle_stream``."""
     from behavior_spark.streaming.stateful import throttle_stream as thin

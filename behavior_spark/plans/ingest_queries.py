@@ -44,12 +44,21 @@ def _(t):
     return good.withColumn("side", F.lit("good")).unionByName(bad.withColumn("side", F.lit("bad"))).select("side", "raw_message")
 
 
+# An envelope that a broken element makes unreadable stays one row as it is; a broken element that is a string leaves its neighbours whole.
 @query("explode_batch", sql("""
     SELECT TIMESTAMP '2024-02-01 00:00:00' AS sent_at, json_extract_string(j, '$.type') AS message_type,
         json_extract_string(j, '$.event') AS event, json_extract_string(j, '$.userId') AS user_id,
         json_extract_string(j, '$.anonymousId') AS anonymous_id, json_extract_string(j, '$.timestamp') AS event_timestamp,
-        json_extract_string(j, '$.properties.page_url') AS page_url, json_extract_string(j, '$.event_id') AS event_id
-    FROM checked_messages WHERE n % 50 <> 0"""))
+        json_extract_string(j, '$.properties.page_url') AS page_url, json_extract_string(j, '$.event_id') AS event_id,
+        CASE WHEN NOT is_json THEN sha256(raw_message) END AS broken_sha256
+    FROM enveloped WHERE readable
+    UNION ALL SELECT DISTINCT NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, sha256(envelope) FROM enveloped WHERE NOT readable""",
+    elements="""SELECT *, CAST(floor(n / 20) AS BIGINT) AS batch_no, CASE WHEN NOT is_json AND CAST(floor(n / 20) AS BIGINT) % 2 = 1
+        THEN concat('"', raw_message, '"') ELSE raw_message END AS element FROM checked_messages""",
+    envelope_texts="""SELECT batch_no, concat('{"batch":[', string_agg(element, ',' ORDER BY n), '],"sentAt":"2024-02-01T00:00:00.000Z"}') AS envelope
+        FROM elements GROUP BY batch_no""",
+    enveloped="SELECT *, json_valid(envelope) AS readable FROM elements JOIN envelope_texts USING (batch_no)",
+))
 def _(t):
     return ingest.explode_batch(t.envelopes).select(
         "sent_at",
@@ -60,6 +69,7 @@ def _(t):
         "event_timestamp",
         F.get_json_object("properties", "$.page_url").alias("page_url"),
         F.get_json_object("raw_message", "$.event_id").alias("event_id"),
+        F.when(is_malformed(), F.sha2("raw_message", 256)).alias("broken_sha256"),
     )
 
 

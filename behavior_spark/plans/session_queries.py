@@ -172,8 +172,8 @@ def _(t):
     return reports.score_comparison(t.scored, t.ml_scores)
 
 
-# Sessions shared by several users: the match on the session alone gives every pair.
-_SHARED = "concat('w', CAST(abs(length(anonymous_user_id)) % 2 AS VARCHAR))"
+# Sessions shared by several users, of both sources: the match on the session alone gives every pair.
+_SHARED = "concat('w', right(anonymous_user_id, 1))"
 
 
 @query("score_comparison_shared", sql(
@@ -182,19 +182,16 @@ _SHARED = "concat('w', CAST(abs(length(anonymous_user_id)) % 2 AS VARCHAR))"
     FROM shared_rules r JOIN shared_ml m ON r.session_id = m.session_id
     ORDER BY m.ml_lead_score DESC, r.session_id, m.source, m.anonymous_user_id, r.source, r.anonymous_user_id LIMIT 25""",
     shared_rules=f"""SELECT {_SHARED} AS session_id, concat(anonymous_user_id, '/', session_id) AS anonymous_user_id, source,
-        lead_score, score_tier FROM scored WHERE source = 'live'""",
+        lead_score, score_tier FROM scored""",
     shared_ml=f"""SELECT {_SHARED} AS session_id, concat(anonymous_user_id, '/', session_id) AS anonymous_user_id, source,
-        ml_lead_score FROM ml_latest WHERE source = 'live'""",
+        ml_lead_score FROM ml_latest""",
 ))
 def _(t):
     shared = {
-        "session_id": F.concat(F.lit("w"), (F.length("anonymous_user_id") % 2).cast("string")),
+        "session_id": F.concat(F.lit("w"), F.right(F.col("anonymous_user_id"), F.lit(1))),
         "anonymous_user_id": F.concat_ws("/", "anonymous_user_id", "session_id"),
     }
-    live = F.col("source") == schemas.SOURCE_LIVE
-    return reports.score_comparison(
-        t.scored.where(live).withColumns(shared), t.ml_scores.where(live).withColumns(shared), n=25
-    )
+    return reports.score_comparison(t.scored.withColumns(shared), t.ml_scores.withColumns(shared), n=25)
 
 
 @query("ml_summary", sql(f"""

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 
 from behavior_spark import schemas
 from behavior_spark.operators import features, ingest
-from behavior_spark.plans.ingest_queries import ARRIVAL, _event_stream, _ingested
-from behavior_spark.plans.oracle import sql
+from behavior_spark.plans.ingest_queries import _NORMALIZED, _ORDER_COLUMNS, ARRIVAL, _event_stream, _ingested
+from behavior_spark.plans.oracle import BLOCKS, sql
 from behavior_spark.plans.registry import query
 from behavior_spark.session import new_folder
-from behavior_spark.sources import tables
+from behavior_spark.sources import at_rest, manifest, tables
+from behavior_spark.sources.messages import read_text_stream
+from behavior_spark.streaming import fanout
 
 _START, _END = datetime(2024, 1, 8), datetime(2024, 1, 15, 12)
 
@@ -106,3 +108,96 @@ def _(t):
     """Features over the event table that a stream has written."""
     stored = _ingested(t, _event_stream(t), "events")
     return features.live_sessions(stored).select("session_id", "anonymous_user_id", "product_views", "add_to_cart_count", "purchase_count")
+
+
+# ---- micro-batches, merged -----------------------------------------------------------------
+
+
+def _many_batches(t, compact_every=None):
+    """All messages as a stream of eight files, out of order, one file per micro-batch."""
+    folder = new_folder(t.spark, "stream")
+    spread = F.pmod(F.xxhash64("n"), F.lit(8))
+    t.numbered_messages.repartitionByRange(8, spread).select("raw_message").write.text(f"{folder}/in")
+    paths = fanout.Paths.below(folder)
+    stream = read_text_stream(t.spark, f"{folder}/in", max_files=1)
+    fanout.start_fanout(stream, paths, f"{folder}/checkpoint", {"availableNow": True}, ARRIVAL, compact_every=compact_every).awaitTermination()
+    return paths
+
+
+@query("compacted_events", sql(f"SELECT {_NORMALIZED}, event_payload FROM normalized"))
+def _(t):
+    """The events of many micro-batches: some merged while the stream ran, some afterwards, none twice."""
+    paths = _many_batches(t, compact_every=3)
+    fanout.compact_fanout(t.spark, paths)
+    return tables.events(t.spark, paths.events).drop("received_at")
+
+
+@query("compacted_folders", sql("""
+    SELECT CAST(year(event_time) * 100 + month(event_time) AS VARCHAR) AS event_month, CAST(1 AS BIGINT) AS folders FROM normalized GROUP BY 1"""))
+def _(t):
+    """One folder per month is left to read."""
+    paths = _many_batches(t)
+    fanout.compact_fanout(t.spark, paths)
+    months = F.regexp_extract(F.input_file_name(), "event_month=([0-9]+)", 1).alias("event_month")
+    place = F.regexp_replace(F.input_file_name(), "/[^/]*$", "").alias("place")
+    return tables.events(t.spark, paths.events, ["event_id"]).select(months, place).groupBy("event_month").agg(F.count_distinct("place").alias("folders"))
+
+
+_FRESH = {"fresh": BLOCKS["live"].replace("FROM click_events", "FROM normalized")}
+
+
+@query("fresh_features", sql("SELECT * FROM fresh", **_FRESH))
+def _(t):
+    """All session features from the partial sums that a stream keeps, without its events."""
+    return features.merged_sessions(tables.session_partials(t.spark, _many_batches(t).sessions))
+
+
+@query("fresh_features_compacted", sql("SELECT * FROM fresh", **_FRESH))
+def _(t):
+    paths = _many_batches(t, compact_every=3)
+    fanout.compact_fanout(t.spark, paths)
+    return features.merged_sessions(tables.session_partials(t.spark, paths.sessions))
+
+
+# ---- latest rows at rest -------------------------------------------------------------------
+
+
+@query("orders_at_rest", sql(f"SELECT {_ORDER_COLUMNS} FROM latest_orders"))
+def _(t):
+    """Order messages in four batches, merged by key as they are written; one batch comes twice."""
+    folder, rows = new_folder(t.spark, "orders"), t.orders
+    for i in (2, 0, 3, 1, 0):
+        at_rest.upsert_orders(rows.where(F.pmod(F.xxhash64("anonymous_user_id", "total"), F.lit(4)) == i), folder, f"batch {i}", buckets=8, most_folders=3)
+    return at_rest.orders(t.spark, folder).drop("products_json")
+
+
+@query("ml_scores_at_rest", sql("SELECT * REPLACE (CAST(ml_lead_score AS DOUBLE) AS ml_lead_score) FROM ml_latest"))
+def _(t):
+    folder = new_folder(t.spark, "scores")
+    for run in (2, 1):  # the older run arrives last
+        at_rest.upsert_ml_scores(t.ml_scores.where(F.col("model_version") == f"gbt_v{run}"), folder, f"run {run}", buckets=8)
+    return at_rest.ml_scores(t.spark, folder)
+
+
+@query("dataset_at_rest", sql("""
+    SELECT *, 'b2' AS load_batch_id, TIMESTAMP '2024-02-01 02:00:00' AS ingested_at FROM dataset_events"""))
+def _(t):
+    folder = new_folder(t.spark, "dataset")
+    for n in (1, 2):
+        load = t.dataset_events.withColumns({"load_batch_id": F.lit(f"b{n}"), "ingested_at": F.lit(f"2024-02-01 0{n}:00:00").cast("timestamp")})
+        at_rest.upsert_dataset(load, folder, "events", f"b{n}", buckets=8)
+    return at_rest.dataset_table(t.spark, folder, "events")
+
+
+# ---- writes that count once ----------------------------------------------------------------
+
+
+@query("scores_written_twice", sql("""
+    SELECT * REPLACE (CAST(ml_lead_score AS DOUBLE) AS ml_lead_score), CAST(2 AS BIGINT) AS commits FROM ml_scores"""))
+def _(t):
+    """Two scoring runs, each stored twice, as after a failure that was noticed too late."""
+    folder = new_folder(t.spark, "scores")
+    for run in (1, 1, 2, 2):
+        tables.write_scored(t.ml_scores.where(F.col("model_version") == f"gbt_v{run}"), folder, F.col("scored_at"), run=f"run {run}")
+    commits = manifest.load(t.spark, folder).version
+    return tables.ml_scores(t.spark, folder).withColumn("commits", F.lit(commits).cast("bigint"))

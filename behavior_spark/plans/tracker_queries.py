@@ -96,6 +96,25 @@ def _(t):
     return _streamed(t, rows, turn, keys, tracker.throttle_stream)
 
 
+@query("mousemove_throttle_by_event_time", _THINNED)
+def _(t):
+    """Rows come up to forty seconds late, in any order; they wait for the watermark."""
+    rows, folder = t.moves, new_folder(t.spark, "moves")
+    ms = F.unix_millis("event_time")
+    lo, hi = rows.agg(F.min(ms), F.max(ms)).first()
+    arrival = ms - lo + F.pmod(F.xxhash64("event_id"), F.lit(40_000))
+    turn = F.floor(arrival * 6 / (hi - lo + 40_000)).cast("int")
+    # The last file has a row of a far future, behind which nothing is left to wait for.
+    end = rows.limit(1).select(*[F.lit("end").alias(c) if c != "event_time" else F.lit("2040-01-01").cast("timestamp").alias(c) for c in rows.columns])
+    for i in range(7):
+        part = end if i == 6 else rows.where(turn == i)
+        part.select(*rows.columns).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    out = tracker.throttle_by_event_time(stream, "40 seconds").writeStream.format("parquet").option("path", f"{folder}/out")
+    out.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema(rows.schema).parquet(f"{folder}/out").where("session_id <> 'end'")
+
+
 @query("consent_gate", sql("""
     SELECT event_id, e.anonymous_user_id, e.event_time FROM click_events e ASOF LEFT JOIN consent_changes c
         ON e.anonymous_user_id = c.anonymous_user_id AND e.event_time >= c.event_time

@@ -52,6 +52,8 @@ PURCHASE_ITEMS = _schema(
     "price MONEY, quantity BIGINT, position BIGINT, currency STRING"
 )
 
+MALFORMED = _schema("raw_message STRING")
+
 ORDERS = _schema(
     "order_id STRING, event_time TIMESTAMP, anonymous_user_id STRING, session_id STRING, "
     "total MONEY, revenue MONEY, tax MONEY, shipping MONEY, "

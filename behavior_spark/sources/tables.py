@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from behavior_spark import schemas
 from behavior_spark.functions import event_month
+from behavior_spark.sources import manifest
 
 MONTH = "event_month"
 
@@ -42,10 +43,39 @@ def _read(
 ) -> DataFrame:
     # The schema is given, so nothing is inferred; columns that old files lack read as NULL.
     stored = T.StructType([*schema.fields, T.StructField(MONTH, T.IntegerType())])
-    rows = in_time_range(spark.read.schema(stored).parquet(path), start, end)
+    rows = in_time_range(stored_rows(spark, path, stored), start, end)
     return rows.select(*(columns or schema.names))
 
 
+def stored_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """All rows of a table: what its manifest names and the micro-batches after it, or every file if it has no manifest."""
+    known = manifest.load(spark, path)
+    if known is None:
+        return spark.read.schema(schema).parquet(path)
+    rows = merged_rows(spark, path, schema, known)
+    fresh = [
+        f"{run}/{batch}" for run in manifest.listed(spark, path) if run.startswith("run=")
+        for batch in manifest.listed(spark, f"{path}/{run}") if batch.startswith("ingest_batch=")
+        and int(batch.removeprefix("ingest_batch=")) > known.merged.get(run.removeprefix("run="), -1)
+    ]
+    return rows.unionByName(batches(spark, path, schema, fresh)) if fresh else rows
+
+
+def batches(spark: SparkSession, path: str, schema: T.StructType, folders: Sequence[str]) -> DataFrame:
+    """Rows of some micro-batch folders."""
+    return spark.read.schema(schema).option("basePath", path).parquet(*[f"{path}/{f}" for f in folders]).select(*schema.names)
+
+
+def merged_rows(spark: SparkSession, path: str, schema: T.StructType, known: manifest.Manifest, groups=None) -> DataFrame:
+    """Rows of the folders that a manifest names, of all groups or some."""
+    base, months = f"{path}/{manifest.PARTS}", MONTH in schema.names
+    chosen = known.folders if groups is None else {g: known.folders.get(g, []) for g in groups}
+    folders = [f"{base}/{f}/{MONTH}={g}" if months else f"{base}/{f}" for g, some in chosen.items() for f in some]
+    if not folders:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", base).parquet(*folders).select(*schema.names)
+
+
 def events(spark, path, columns=None, start=None, end=None) -> DataFrame:
     """Scan of the event table with a column subset and a time range (months are pruned)."""
     return _read(spark, path, schemas.CLICK_EVENTS, columns, start, end)
@@ -55,13 +85,26 @@ def purchase_items(spark, path, columns=None, start=None, end=None) -> DataFrame
     return _read(spark, path, schemas.PURCHASE_ITEMS, columns, start, end)
 
 
+def session_partials(spark: SparkSession, path: str) -> DataFrame:
+    """The partial session features that a stream has written; ``features.merged_sessions`` makes features of them."""
+    from behavior_spark.operators.features import SESSION_PARTIALS
+
+    stored = T.StructType([*SESSION_PARTIALS.fields, T.StructField(MONTH, T.IntegerType())])
+    return stored_rows(spark, path, stored).drop(MONTH)
+
+
+def malformed(spark: SparkSession, path: str) -> DataFrame:
+    return stored_rows(spark, path, schemas.MALFORMED)
+
+
 def orders(spark, path, columns=None, start=None, end=None) -> DataFrame:
     """Every stored order message; see ``orders_latest`` for one row per order."""
     return _read(spark, path, schemas.ORDERS, columns, start, end)
 
 
 def ml_scores(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.ML_SCORES).parquet(path)
+    """Every stored score, of runs that were committed and of plain appends to a table without a manifest."""
+    return stored_rows(spark, path, schemas.ML_SCORES)
 
 
 def dataset_table(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -168,8 +211,28 @@ def write_batch(df: DataFrame, path: str, batch_id: str) -> None:
     df.drop("load_batch_id").hint("rebalance").write.mode("overwrite").parquet(f"{path}/load_batch_id={batch_id}")
 
 
-def write_scored(df: DataFrame, path: str, now: Column | datetime | None = None) -> None:
-    append_ml_scores(stamped(df, "scored_at", now), path)
+def append_once(df: DataFrame, path: str, token: str) -> bool:
+    """Append rows under a token; a token that is there already adds nothing. Returns whether rows were added.
+
+    The rows become visible together with their token, by one commit. A run that died before it leaves a folder that is not read, so
+    repeating the run adds its rows once. Use it for all writes of a table or for none.
+    """
+    spark = df.sparkSession
+    known = manifest.load(spark, path)
+    if known is not None and token in known.tokens:
+        return False
+    part = manifest.new_part()
+    df.hint("rebalance").write.parquet(f"{path}/{manifest.PARTS}/{part}")
+    return manifest.commit_part(spark, path, part, token)
+
+
+def write_scored(df: DataFrame, path: str, now: Column | datetime | None = None, run: str | None = None) -> None:
+    """Store a scoring run. With the name of the ``run`` a repeated write adds nothing."""
+    rows = stamped(df, "scored_at", now)
+    if run is None:
+        append_ml_scores(rows, path)
+    else:
+        append_once(align(rows, schemas.ML_SCORES), path, f"run={run}")
 
 
 # ---- views ---------------------------------------------------------------------------------

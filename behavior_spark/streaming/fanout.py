@@ -6,14 +6,17 @@ from dataclasses import dataclass
 from datetime import datetime, timezone
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from behavior_spark import schemas
 from behavior_spark.functions import event_month
-from behavior_spark.operators import ingest
+from behavior_spark.operators import features, ingest
+from behavior_spark.sources.manifest import Manifest
 from behavior_spark.sources.messages import RAW
 from behavior_spark.sources.tables import MONTH
+from behavior_spark.streaming.compaction import compact
 
 # Fixed value: the client's flush interval.
 FLUSH = {"processingTime": "5 seconds"}
@@ -21,16 +24,17 @@ FLUSH = {"processingTime": "5 seconds"}
 
 @dataclass(frozen=True)
 class Paths:
-    """Where the tables go. ``malformed`` takes the messages that are no JSON object."""
+    """Where the tables go. ``malformed`` takes the messages that are no JSON object, ``sessions`` the partial session features."""
 
     events: str
     items: str
     orders: str
     malformed: str
+    sessions: str
 
     @classmethod
     def below(cls, folder: str) -> Paths:
-        return cls(*[f"{folder}/{name}" for name in ("events", "items", "orders", "malformed")])
+        return cls(*[f"{folder}/{name}" for name in ("events", "items", "orders", "malformed", "sessions")])
 
 
 def write_fanout(
@@ -48,8 +52,9 @@ def write_fanout(
     arrival = now if now is not None else datetime.now(timezone.utc)
     parsed = ingest.parse_messages(batch).persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        events = ingest.normalize_events(parsed, arrival, new_id)
         tables = {
-            paths.events: ingest.normalize_events(parsed, arrival, new_id),
+            paths.events: events,
             paths.items: ingest.purchase_items(parsed, arrival),
             paths.orders: ingest.orders(parsed, arrival),
         }
@@ -59,11 +64,27 @@ def write_fanout(
         for path, rows in tables.items():
             monthly = rows.withColumn(MONTH, event_month(F.col("event_time"))).hint("rebalance", MONTH)
             monthly.write.mode("overwrite").partitionBy(MONTH).parquet(f"{path}/{folder}")
+        partials = features.session_partials(events, [event_month(F.col("event_time")).alias(MONTH)])
+        partials.hint("rebalance", MONTH).write.mode("overwrite").partitionBy(MONTH).parquet(f"{paths.sessions}/{folder}")
         parsed.where("malformed").select(RAW).hint("rebalance").write.mode("overwrite").parquet(f"{paths.malformed}/{folder}")
     finally:
         parsed.unpersist()
 
 
+def compact_fanout(spark: SparkSession, paths: Paths, folders_per_month: int = 1) -> dict[str, Manifest | None]:
+    """Merge the closed micro-batches of all tables (see ``compaction.compact``)."""
+    return {
+        paths.events: compact(spark, paths.events, schemas.CLICK_EVENTS, ["page_url", "event_type", "event_time"], folders_per_month),
+        paths.items: compact(spark, paths.items, schemas.PURCHASE_ITEMS, ["order_id", "product_id", "event_time"], folders_per_month),
+        paths.orders: compact(spark, paths.orders, schemas.ORDERS, ["order_id", "event_time"], folders_per_month),
+        paths.malformed: compact(spark, paths.malformed, schemas.MALFORMED, (), folders_per_month, by_month=False),
+        paths.sessions: compact(
+            spark, paths.sessions, features.SESSION_PARTIALS, ["session_id", "anonymous_user_id"], folders_per_month,
+            lambda rows: features.combine_partials(rows, [MONTH]),
+        ),
+    }
+
+
 def start_fanout(
     stream: DataFrame,
     paths: Paths,
@@ -71,11 +92,13 @@ def start_fanout(
     trigger: dict | None = None,
     now: Column | datetime | str | None = None,
     new_id: str = "digest",
+    compact_every: int | None = None,
 ) -> StreamingQuery:
     """Start the continuous ingest; ``trigger`` defaults to the client's 5 second flush.
 
     The run id is the id Spark keeps in the checkpoint: the same after a restart, a new one
-    if the checkpoint is lost and batch numbers start again.
+    if the checkpoint is lost and batch numbers start again. With ``compact_every`` the folders of
+    so many micro-batches are merged before the next one is written.
     """
     run: dict[str, str] = {}
 
@@ -83,6 +106,8 @@ def start_fanout(
         if "id" not in run:
             stored = batch.sparkSession.read.schema("id STRING").json(f"{checkpoint}/metadata").first()
             run["id"] = stored["id"]
+        if compact_every and batch_id and batch_id % compact_every == 0:
+            compact_fanout(batch.sparkSession, paths)
         write_fanout(batch, batch_id, run["id"], paths, now, new_id)
 
     return (

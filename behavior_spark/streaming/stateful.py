@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -132,3 +133,115 @@ def first_purchase_stream(
             statefulProcessor=_First(stream.columns, [time, *order]), outputStructType=schema, outputMode="Append", timeMode="None"
         )
     )
+
+
+class _InOrder(StatefulProcessor):
+    """Holds rows until the watermark has passed them, then thins them in the order of their time.
+
+    Two values per key: the time of the last kept row, and the waiting rows as Arrow bytes, one row per millisecond at most.
+    """
+
+    def __init__(self, ms: int, columns: Sequence[str], order: Sequence[str]):
+        self.ms, self.columns, self.order = ms, list(columns), list(order)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last_kept", T.StructType([T.StructField("ms", T.LongType())]))
+        self.held = handle.getValueState("held", T.StructType([T.StructField("rows", T.BinaryType())]))
+
+    def _waiting(self) -> pd.DataFrame | None:
+        if not self.held.exists():
+            return None
+        with pa.ipc.open_stream(self.held.get()[0]) as stored:
+            return stored.read_pandas()
+
+    def _keep(self, rows: pd.DataFrame) -> None:
+        if not len(rows):
+            self.held.clear()
+            return
+        sink = pa.BufferOutputStream()
+        table = pa.Table.from_pandas(rows, preserve_index=False)
+        with pa.ipc.new_stream(sink, table.schema) as stored:
+            stored.write_table(table)
+        self.held.update((sink.getvalue().to_pybytes(),))
+
+    def _first_per_ms(self, rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.sort_values(["row_ms", *self.order], kind="stable").drop_duplicates("row_ms")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        waiting = before = self._waiting()
+        for part in rows:
+            if not len(part):
+                continue
+            part = part.set_axis([*self.columns, "row_ms"], axis=1)
+            late = part["row_ms"] < passed
+            if late.any():
+                yield part[late][self.columns].assign(late=True)
+            part = part[~late]
+            waiting = self._first_per_ms(part if waiting is None else pd.concat([waiting, part], ignore_index=True))
+        if waiting is None or not len(waiting):
+            return
+        self._keep(waiting)
+        first = int(waiting["row_ms"].iloc[0])
+        if before is None or first < int(before["row_ms"].iloc[0]):
+            if before is not None:
+                self.handle.deleteTimer(int(before["row_ms"].iloc[0]))
+            self.handle.registerTimer(first)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        waiting = self._waiting()
+        if waiting is None:
+            return
+        times = waiting["row_ms"].to_numpy(dtype=np.int64)
+        ready = int(np.searchsorted(times, timerValues.getCurrentWatermarkInMs(), side="left"))
+        # A row at the watermark itself may still get company; the timer that fired is for one before it or at it.
+        ready = max(ready, int(np.searchsorted(times, expiredTimerInfo.getExpiryTimeInMs(), side="right")))
+        at = int(np.searchsorted(times, self.last.get()[0] + self.ms, side="left")) if self.last.exists() else 0
+        kept = []
+        while at < ready:
+            kept.append(at)
+            at = int(np.searchsorted(times, times[at] + self.ms, side="left"))
+        rest = waiting.iloc[ready:]
+        self._keep(rest)
+        if len(rest):
+            self.handle.registerTimer(int(rest["row_ms"].iloc[0]))
+        if kept:
+            self.last.update((int(times[kept[-1]]),))
+            yield waiting.iloc[kept][self.columns].assign(late=False)
+
+    def close(self) -> None:
+        pass
+
+
+def throttle_by_event_time(
+    stream: DataFrame,
+    delay: str = "10 seconds",
+    ms: int = 100,
+    keys: Sequence[str] = ("session_id", "anonymous_user_id"),
+    time: str = "event_time",
+    order: Sequence[str] = ("event_id",),
+) -> DataFrame:
+    """Thin a live stream in the order of event time, whatever order its rows arrive in.
+
+    A row waits until the watermark (the latest time seen, less ``delay``) has passed it; then it is kept if ``ms`` or more passed since the
+    last kept row of its key, exactly as the batch operator decides. Rows that arrive behind the watermark come out unthinned with
+    ``late`` set, for a side table; all others have it unset. Rows without a time are dropped.
+
+    State per key is the last kept time and the rows of the last ``delay``, one per millisecond, so it does not grow with the
+    rows that a hot key sends.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in stream.schema])
+    columns = [F.col(c) if c != time else (F.col(c) + F.expr("INTERVAL 0 SECONDS")).alias(c) for c in stream.columns]
+    return (
+        stream.where(F.col(time).isNotNull())
+        .withWatermark(time, delay)
+        # The shifted copy carries no watermark, so Spark leaves late rows to the processor instead of dropping them.
+        .select(*columns, F.unix_millis(F.col(time)).alias("row_ms"))
+        .groupBy(*keys)
+        .transformWithStateInPandas(
+            statefulProcessor=_InOrder(ms, stream.columns, order), outputStructType=schema.add("late", T.BooleanType()),
+            outputMode="Append", timeMode="EventTime",
+        )
+    )
