@@ -83,27 +83,30 @@ def running(df: DataFrame, order: list[Column], values: list[str], group: list[s
     summed, the short table of partition sums gives the offsets (one row per partition and group, windowed per
     group), and rows are summed inside their partition only. ``order`` must settle ties for a repeatable result. A null group counts as a group.
     """
+    from pyspark.sql import Window
+
     group = group or []
     keys = [F.col(g) for g in group] + order
+    part = free_name(df.columns, "__part")
     ranged = df.repartitionByRange(parts, *keys) if parts else df.repartitionByRange(*keys)
-    ranged = written(ranged.withColumn("__part", F.spark_partition_id()), "ranged")
-    from pyspark.sql import Window
-
-    sums = ranged.groupBy("__part", *group).agg(*[F.sum(v).alias(f"__sum_{v}") for v in values])
-    across = Window.orderBy("__part") if not group else Window.partitionBy(*group).orderBy("__part")
+    ranged = written(ranged.withColumn(part, F.spark_partition_id()), "ranged")
+    sums = ranged.groupBy(part, *group).agg(*[F.sum(v).alias(f"sum_{i}") for i, v in enumerate(values)])
+    across = Window.orderBy(part) if not group else Window.partitionBy(*group).orderBy(part)
     across = across.rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(
-        F.col("__part").alias("__p"), *[F.col(g).alias(f"__g_{i}") for i, g in enumerate(group)],
-        *[F.coalesce(F.sum(f"__sum_{v}").over(across), F.lit(0)).alias(f"__at_{v}") for v in values],
+    # One column holds all that the join adds, so no name of the frame can be in its way.
+    at = F.struct(
+        F.col(part).alias("part"), *[F.col(g).alias(f"g_{i}") for i, g in enumerate(group)],
+        *[F.coalesce(F.sum(f"sum_{i}").over(across), F.lit(0)).alias(f"at_{i}") for i in range(len(values))],
     )
-    same = F.col("__part") == F.col("__p")
+    offset = free_name(ranged.columns, "__offset")
+    offsets = sums.select(at.alias(offset))
+    same = F.col(part) == F.col(f"{offset}.part")
     for i, g in enumerate(group):
-        same = same & F.col(g).eqNullSafe(F.col(f"__g_{i}"))
-    inside = Window.partitionBy("__part", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = ranged
-    for v in values:
-        out = out.withColumn(f"__in_{v}", F.coalesce(F.sum(v).over(inside), F.lit(0)))
+        same = same & F.col(g).eqNullSafe(F.col(f"{offset}.g_{i}"))
+    inside = Window.partitionBy(part, *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = free_name([*ranged.columns, offset], "__ahead")
+    out = ranged.withColumn(ahead, F.struct(*[F.coalesce(F.sum(v).over(inside), F.lit(0)).alias(f"in_{i}") for i, v in enumerate(values)]))
     out = out.join(offsets, same)
-    for v in values:
-        out = out.withColumn(f"before_{v}", F.col(f"__at_{v}") + F.col(f"__in_{v}"))
-    return out.drop(*[c for c in out.columns if c.startswith("__")])
+    for i, v in enumerate(values):
+        out = out.withColumn(f"before_{v}", F.col(f"{offset}.at_{i}") + F.col(f"{ahead}.in_{i}"))
+    return out.drop(part, offset, ahead)

@@ -170,11 +170,17 @@ def mixed_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:  # noqa: B0
     Documents stay whole: the one document of a source that the end of its last pass cuts is taken if at least half of its words
     are due. Documents without words are in no mix.
     """
-    at, number, digest = (free_name(docs.columns, x) for x in ("position", "pass", "text_digest"))
-    due_ = pieces(taken(docs, mix), mix, sort=False).where(F.col("words") * 2 >= F.col("size")).distinct()
-    due_ = due_.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), F.col("source").alias("__source"), F.col("pass").alias(number), F.col("position").alias(at))
-    due_ = due_.groupBy("__id", "__digest", "__source", number).agg(F.min(at).alias(at))
+    at, copy, digest, due_at = (free_name(docs.columns, x) for x in ("position", "copy", "text_digest", "due"))
+    keys = ("doc_id", "digest", "source")
+    takes = pieces(taken(docs, mix), mix, sort=False).where(F.col("words") * 2 >= F.col("size"))
+    # Rows that repeat id, text and source have places of their own in the source; the nth copy takes the nth place.
+    takes = takes.withColumn("copy", F.dense_rank().over(Window.partitionBy(*keys).orderBy("offset")))
+    takes = takes.select(F.struct(*keys, "copy", "pass", "position").alias(due_at))
+    source = F.col("source").cast("string")
+    order = [c for c in docs.columns if docs.schema[c].dataType.typeName() not in ("map", "variant", "void")]
     rows = docs.withColumn(digest, F.xxhash64(F.col("text").cast("string")))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col(digest) == F.col("__digest")) & F.col("source").cast("string").eqNullSafe(F.col("__source"))
-    joined = rows.join(due_, same)
-    return joined.repartitionByRange(F.col(at), F.col("doc_id")).sortWithinPartitions(at, "doc_id", digest, number).select(*docs.columns)
+    rows = rows.withColumn(copy, F.row_number().over(Window.partitionBy(F.col("doc_id").cast("long"), digest, source).orderBy(*order)))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(f"{due_at}.doc_id")) & (F.col(digest) == F.col(f"{due_at}.digest"))
+    same = same & source.eqNullSafe(F.col(f"{due_at}.source")) & (F.col(copy) == F.col(f"{due_at}.copy"))
+    joined = rows.join(takes, same).withColumn(at, F.col(f"{due_at}.position"))
+    return joined.repartitionByRange(F.col(at), F.col("doc_id")).sortWithinPartitions(at, "doc_id", digest, copy).select(*docs.columns)

@@ -127,8 +127,7 @@ def measure(docs: DataFrame, rules: tuple[Rule, ...], sample: int = SAMPLE) -> l
     texts = docs.select(F.col("text").cast("string").alias("text"), F.xxhash64(F.col("doc_id"), F.lit(7)).alias("h"))
     rows = texts.count()
     if rows > sample:
-        edge = int(sample / rows * 2**63)
-        texts = texts.where(F.col("h").between(0, 2 * edge))
+        texts = texts.where(F.pmod("h", F.lit(rows)) < sample)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         verdicts, seconds = [], []

@@ -7,8 +7,10 @@ the narrow radius of a range is what makes this bound prune. The top of each tre
 small sample of fingerprints, names shards. A fingerprint lives in its home shard and is sent as a query to those shards that its
 radius overlaps; the rest of the tree is grown inside the shard. Pairs at the leaves are compared on all 64 bits.
 
-Equal fingerprints are one before any search, and a shard returns stars instead of all pairs, so a group
-of copies costs no more than its number. Components are linked over distinct fingerprints.
+Equal fingerprints are one before any search, so a group of copies costs no more than its number. A shard returns a spanning forest of its
+links, fewer edges than it has fingerprints, however many pairs there are. A shard with many home points (a large family of
+like fingerprints, which no tree can part) is cut into blocks of them, each of which gets all queries: work that grows with the square of such a family is
+spread over tasks, and none holds it. Components are linked over distinct fingerprints.
 
 Defined results: null texts and texts without words have fingerprint 0, linked like any other. Rows that repeat id
 and text share the result. Null ids come after all others (a component of only null ids has a null id). An empty table gives an
@@ -38,6 +40,8 @@ class SimHash:
     segments: int = 3
     shard_rows: int = 50_000  # fingerprints that live in a shard, on average
     sample_per_shard: int = 16  # fingerprints sampled for each shard when the top of the trees is grown
+    most_depth: int = 16  # of the tops: 2^16 shards and a million sampled fingerprints at most
+    block_rows: int = 20_000  # home points of a shard that one task compares, about
     seed: int = 42
 
     @property
@@ -129,53 +133,81 @@ LEAF = 256
 BLOCK = 4096
 
 
-def _stars(home: np.ndarray, query: np.ndarray, limit: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Stars that connect what the pairs (home, query) within the limit connect."""
-    found = []
+class Forest:
+    """Links among distinct values (sorted), of which only those are kept that connect what was apart."""
+
+    def __init__(self, values: np.ndarray):
+        self.values, self.root = values, np.arange(len(values))
+        self.a: list[np.ndarray] = []
+        self.b: list[np.ndarray] = []
+
+    def link(self, near: np.ndarray, home: np.ndarray, query: np.ndarray) -> None:
+        """Take the links of a matrix (home, query) of places in ``values``: a star per row, less what is one tree already."""
+        for row in np.flatnonzero(near.any(axis=1)):
+            mine = self.root[home[row]]
+            others = query[near[row]]
+            others = others[self.root[others] != mine]
+            if len(others):
+                roots, first = np.unique(self.root[others], return_index=True)
+                self.a.append(np.full(len(roots), home[row]))
+                self.b.append(others[first])
+                self._join(mine, roots)
+
+    def _join(self, mine: int, roots: np.ndarray) -> None:
+        # Every value knows its root: few joins, many look-ups.
+        if len(roots) == 1:
+            self.root[self.root == roots[0]] = mine
+        else:
+            self.root[np.isin(self.root, roots)] = mine
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.a:
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return self.values[np.concatenate(self.a)], self.values[np.concatenate(self.b)]
+
+
+def _stars(forest: Forest, home: np.ndarray, query: np.ndarray, limit: int) -> None:
+    """Compare all home values with all queries (places in the forest's values)."""
     for i in range(0, len(home), LEAF):
         h = home[i : i + LEAF]
         for j in range(0, len(query), BLOCK):
             q = query[j : j + BLOCK]
-            near = np.bitwise_count(h[:, None] ^ q[None, :]) <= limit
+            near = np.bitwise_count(forest.values[h][:, None] ^ forest.values[q][None, :]) <= limit
             near &= h[:, None] != q[None, :]
-            for row in np.flatnonzero(near.any(axis=1)):
-                others = q[near[row]]
-                found.append((others, np.full(len(others), h[row])))
-    return found
+            forest.link(near, h, q)
 
 
-def search(home: np.ndarray, query: np.ndarray, mask: int, radius: int, limit: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The rest of a tree: split home points and queries at the median distance to a vantage point, compare at the leaves."""
-    whole = (1 << BITS) - 1
-    found, stack = [], [(home, query, mask, radius)]
+def search(forest: Forest, home: np.ndarray, query: np.ndarray, mask: int, radius: int, limit: int) -> None:
+    """The rest of a tree: split home points and queries (places) at the median distance to a vantage point, compare at the leaves."""
+    whole, values = (1 << BITS) - 1, forest.values
+    stack = [(home, query, mask, radius)]
     while stack:
         home, query, mask, radius = stack.pop()
         if not len(home) or not len(query):
             continue
         if len(home) <= LEAF:
-            found += _stars(home, query, limit)
+            _stars(forest, home, query, limit)
             continue
-        point = int(home[len(home) // 2])
-        d, e = distances(home, point, mask), distances(query, point, mask)
+        point = int(values[home[len(home) // 2]])
+        d, e = distances(values[home], point, mask), distances(values[query], point, mask)
         m = int(np.median(d))
         if (d <= m).all():
             m -= 1
         if not (d <= m).any():
             if mask == whole:
-                found += _stars(home, query, limit)
+                _stars(forest, home, query, limit)
             else:  # all alike in this range: go on with all bits
                 stack.append((home, query, whole, limit))
             continue
         stack.append((home[d <= m], query[e - radius <= m], mask, radius))
         stack.append((home[d > m], query[e + radius > m], mask, radius))
-    return found
 
 
 def links(fps: DataFrame, conf: SimHash = SimHash()) -> DataFrame:  # noqa: B008
     """Edges (a, b) among distinct fingerprints (column fp) that connect exactly what the limit connects."""
     spark = fps.sparkSession
     rows = fps.count()
-    depth = max(0, (max(1, rows // conf.shard_rows) - 1).bit_length())
+    depth = min(conf.most_depth, max(0, (max(1, rows // conf.shard_rows) - 1).bit_length()))
     wanted = conf.sample_per_shard << depth
     share = min(1.0, wanted / max(rows, 1))
     sample = fps.where(F.xxhash64("fp", F.lit(conf.seed)) < F.lit(int(-(2**63) + share * (2**64 - 2**12)))).select("fp")
@@ -194,16 +226,20 @@ def links(fps: DataFrame, conf: SimHash = SimHash()) -> DataFrame:  # noqa: B008
                 yield pa.RecordBatch.from_arrays(columns, ["tree", "shard", "fp", "home"])
 
     def within(group: pd.DataFrame) -> pd.DataFrame:
-        values = group["fp"].to_numpy().view(np.uint64)
-        found = search(values[group["home"].to_numpy()], values, masks[int(group["tree"].iloc[0])], radius, limit)
-        if not found:
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        a, b = (np.concatenate([x[i] for x in found]) for i in (0, 1))
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-        return pd.DataFrame({"a": pairs[0].view(np.int64), "b": pairs[1].view(np.int64)})
-
-    dealt = fps.select("fp").mapInArrow(deal, "tree int, shard long, fp long, home boolean")
-    return dealt.groupBy("tree", "shard").applyInPandas(within, "a long, b long")
+        values, place = np.unique(group["fp"].to_numpy().view(np.uint64), return_inverse=True)
+        forest, home = Forest(values), np.unique(place[group["home"].to_numpy()])
+        search(forest, home, np.arange(len(values)), masks[int(group["tree"].iloc[0])], radius, limit)
+        a, b = forest.edges()
+        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
+
+    dealt = written(fps.select("fp").mapInArrow(deal, "tree int, shard long, fp long, home boolean"), "shards")
+    # A shard that many like fingerprints share is cut into blocks of home points; its queries go to every block.
+    homes = dealt.where("home").groupBy("tree", "shard").agg(F.count("*").alias("homes"))
+    blocks = homes.select("tree", "shard", F.ceil(F.col("homes") / conf.block_rows).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("fp", F.lit(conf.seed + 1)), F.col("blocks")).cast("int")
+    cut = dealt.join(blocks, ["tree", "shard"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cut = cut.select("tree", "shard", "block", "fp", (F.col("home") & (F.col("block") == own)).alias("home"))
+    return cut.groupBy("tree", "shard", "block").applyInPandas(within, "a long, b long")
 
 
 def classes(docs: DataFrame, conf: SimHash = SimHash()) -> DataFrame:  # noqa: B008
@@ -232,10 +268,10 @@ def first_of_each(docs: DataFrame, named: DataFrame) -> DataFrame:
     """The rows of ``docs`` that come first in their group; ``named`` has doc_id, digest and root of each."""
     this = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
     kept = named.groupBy("root").agg(F.min(this).alias("k"))
-    kept = kept.select(F.col("k.doc_id").alias("__id"), F.col("k.digest").alias("__digest"))
-    digest, rank = free_name(docs.columns, "text_digest"), free_name(docs.columns, "repeat")
+    digest, rank, first = (free_name(docs.columns, x) for x in ("text_digest", "repeat", "first"))
+    kept = kept.select(F.col("k").alias(first))
     rows = docs.withColumn(digest, F.xxhash64(F.col("text").cast("string")))
-    stay = rows.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col(digest) == F.col("__digest")), "left_semi")
+    stay = rows.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(f"{first}.doc_id")) & (F.col(digest) == F.col(f"{first}.digest")), "left_semi")
     order = [c for c in docs.columns if docs.schema[c].dataType.typeName() not in ("map", "variant", "void")]
     repeats = Window.partitionBy("doc_id", digest).orderBy(*order)
     return stay.withColumn(rank, F.row_number().over(repeats)).where(F.col(rank) == 1).select(*docs.columns)

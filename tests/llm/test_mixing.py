@@ -96,3 +96,11 @@ def test_empty_table(spark):
     assert M.mixed_documents(frame(spark, [])).count() == 0
     only_empty = [r for r in awkward() if r[0] in (4, 5, 6)]
     assert [r.taken for r in M.taken(frame(spark, only_empty)).collect()] == [0, 0, 0]
+
+
+def test_repeated_rows_take_no_more_than_is_due(spark):
+    rows = [(1, "same words here", "a")] * 3 + [(2, "other words that differ", "b"), (2, "other words that differ", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    due = M.pieces(M.taken(docs)).where("words * 2 >= size").groupBy("doc_id").count().collect()
+    got = M.mixed_documents(docs).groupBy("doc_id").count().collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, due))

@@ -30,7 +30,7 @@ def test_each_stage_equals_plain_loops(spark):
     second, edited = stage("line dedup", first)
     given = sorted((i, r.text) for i, r in rows.items())
     assert {i: r.text for i, r in edited.items()} == {i: left(t, g) for (i, t), g in zip(given, slow_lines(given))}
-    third, single = stage("near-duplicates", second)
+    third, single = stage("SimHash near-dedup", second)
     assert set(single) == {c for _, _, c in slow_classes(sorted((i, r.text) for i, r in edited.items()))}
     fourth, _ = stage("mixing", third)
     assert [f.columns for f in (first, second, third, fourth)] == [columns] * 4

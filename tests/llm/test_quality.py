@@ -1,5 +1,7 @@
 from collections import Counter
 
+import pytest
+
 from behavior_spark.llm import quality_rules as Q
 from tests.llm.helpers import PROSE, awkward, frame
 
@@ -75,3 +77,10 @@ def test_empty_table_and_columns(spark):
     cascade = Q.plan(docs)
     assert Q.judge(docs, cascade).count() == 0
     assert Q.passing(docs, cascade).columns == docs.columns
+
+
+@pytest.mark.parametrize("rows", [1999, 2001, 3000, 4000, 4001])
+def test_sample_of_tables_around_the_sample_size(spark, rows):
+    docs = spark.range(rows).selectExpr("id AS doc_id", "concat('some words of text ', id) AS text")
+    got = len(Q.measure(docs, Q.RULES[:1]))
+    assert got == rows if rows <= 2000 else abs(got - 2000) < 200

@@ -4,6 +4,7 @@ import numpy as np
 import xxhash
 
 from behavior_spark.llm import simhash_dedup as S
+from behavior_spark.llm.common import written
 from behavior_spark.llm.components import components
 from tests.llm.helpers import awkward, frame
 
@@ -75,9 +76,33 @@ def test_tree_search_finds_every_pair():
         assert np.bincount(rows[home], minlength=len(values)).tolist() == [1] * len(values)
         for s in np.unique(shard):
             own = shard == s
-            for others, centre in S.search(values[rows[own & home]], values[rows[own]], mask, conf.radius, conf.limit):
-                found |= {(max(at[int(a)], at[int(b)]), min(at[int(a)], at[int(b)])) for a, b in zip(others, centre)}
-    assert found == want
+            forest = S.Forest(values)
+            S.search(forest, rows[own & home], rows[own], mask, conf.radius, conf.limit)
+            found |= {(max(at[int(a)], at[int(b)]), min(at[int(a)], at[int(b)])) for a, b in zip(*forest.edges())}
+            assert len(forest.a) == 0 or len(np.concatenate(forest.a)) < len(values)
+    assert found <= want
+
+    def parts(pairs):
+        root = list(range(len(values)))
+        for i, j in pairs:
+            a, b = root[i], root[j]
+            root = [min(a, b) if r in (a, b) else r for r in root]
+        return root
+
+    assert parts(found) == parts(want)
+
+
+def test_a_large_family_gives_few_edges(spark):
+    """Fingerprints that are all within a few bits of each other fall into the same shards."""
+    rng = np.random.default_rng(2)
+    bits = np.array([3, 5, 8, 13, 21, 22, 30, 34, 41, 47, 50, 55, 58, 60, 62], np.uint64)
+    values = np.unique((rng.integers(0, 2, (40_000, len(bits)), dtype=np.uint64) << bits).sum(axis=1, dtype=np.uint64) ^ np.uint64(0x0123456789ABCDEF))
+    assert len(values) > 20_000
+    fps = spark.createDataFrame(S.pd.DataFrame({"fp": values.view(np.int64)}), "fp long")
+    for conf, most in ((S.SimHash(), 6), (S.SimHash(shard_rows=4000, block_rows=3000), 30)):  # trees x blocks x shards that a query reaches
+        edges = written(S.links(fps, conf), "edges")
+        assert edges.count() < most * len(values)
+        assert components(edges).select("root").distinct().count() == 1
 
 
 def test_components(spark):
