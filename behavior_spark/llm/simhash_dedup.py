@@ -41,7 +41,7 @@ class SimHash:
     shard_rows: int = 50_000  # fingerprints that live in a shard, on average
     sample_per_shard: int = 16  # fingerprints sampled for each shard when the top of the trees is grown
     most_depth: int = 16  # of the tops: 2^16 shards and a million sampled fingerprints at most
-    block_rows: int = 20_000  # home points of a shard that one task compares, about
+    block_rows: int = 200_000  # home points of a shard that one task compares, at most about; ordinary shards are not cut
     seed: int = 42
 
     @property
