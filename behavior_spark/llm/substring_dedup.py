@@ -11,8 +11,10 @@ ties). Equal windows have equal representatives: a window whose representative i
 settled by this first shuffle of short names. The windows under shared symbols are verified by a 128-bit
 hash of their words: every window but the first of its hash repeats an earlier one. The whole text is the topmost symbol: of documents with equal words only the first goes through the rounds.
 
-Work goes by blocks of documents (one scan partition each, written once to the shared folder). A block sends each name and each window
-once, however often it occurs in the block, so no group has more rows than there are blocks.
+The texts are read once: words, digests and the runs of names of each document's windows are written to the shared folder with the text, in blocks of
+bounded size, and no names are made again. Later passes read the runs, and only of documents under shared names the text. A block sends each name and
+each window once, however often it occurs in the block, so no group has more rows than there are blocks; what a task holds
+is bounded by a block, whatever the size of the scan partitions.
 
 Defined results: null and empty texts have no words and lose none. Documents are ordered by id (null first), then by text digest; rows that
 repeat id and text count as one after the other, so the later ones lose what the first one keeps. An empty table gives an empty one. Other columns
@@ -27,10 +29,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from behavior_spark.llm.common import map_rows, running, texts_of, written
+from behavior_spark.llm.common import running, sliced, texts_of, written
 from behavior_spark.llm.token_files import _filesystem
 from behavior_spark.session import new_folder
 
@@ -44,6 +47,7 @@ PIECE = 1 << 20  # bytes of text hashed at once
 class Recompression:
     width: int = 20  # words in a window
     rounds: int = 3
+    block_bytes: int = 24 << 20  # text of a block, about: what a task holds at a time
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -163,85 +167,51 @@ def representatives(names: np.ndarray, apart: np.ndarray, conf: Recompression) -
     return best[:n], where[:n]
 
 
-class Slice:
-    """Some documents of a block, side by side with separators: windows, representatives and window hashes."""
-
-    def __init__(self, docs: list[tuple[int, int | None, bytes]], conf: Recompression):
-        self.conf, self.rows = conf, [row for row, _, _ in docs]
-        hashes = [word_hashes(raw) for _, _, raw in docs]
-        self.lengths = np.array([len(h[0]) for h in hashes], np.int64)
-        self.begins = np.cumsum(self.lengths + 1) - (self.lengths + 1)
-        apart = np.zeros(int((self.lengths + 1).sum()), bool)
-        apart[self.begins + self.lengths] = True
-        gap = np.zeros(1, np.uint64)
-        self.lanes = [np.concatenate([y for h in hashes for y in (h[i], gap)]) for i in range(len(LANES))]
-        counts = np.maximum(self.lengths - conf.width + 1, 0)
-        self.doc = np.repeat(np.arange(len(docs)), counts)
-        self.pos = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
-        self.at = self.begins[self.doc] + self.pos
-        if len(self.at):
-            best, where = representatives(self.lanes[0], apart, conf)
-            self.key, self.where = best[self.at], where[self.at]
-        else:
-            self.key, self.where = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-
-    def names(self) -> np.ndarray:
-        """The representatives, once for each place."""
-        if not len(self.key):
-            return self.key
-        new = np.concatenate([[True], (self.key[1:] != self.key[:-1]) | (self.where[1:] != self.where[:-1]) | (self.doc[1:] != self.doc[:-1])])
-        return self.key[new]
-
-    def windows(self, shared: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(two hashes, document, position) of the windows whose representative is in ``shared`` (sorted)."""
-        if not len(shared) or not len(self.key):
-            return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        found = np.minimum(np.searchsorted(shared, self.key), len(shared) - 1)
-        own = np.flatnonzero(shared[found] == self.key)
-        at, out = self.at[own], []
-        for lane, m in zip(self.lanes, LANES, strict=True):
-            h = np.zeros(len(own), np.uint64)
-            for i in range(self.conf.width):
-                h = h * np.uint64(m) + lane[at + i]
-            out.append(mixed(h))
-        return out[0], out[1], self.doc[own], self.pos[own]
-
-
-class Blocks:
-    """The documents in the shared folder, one directory for each block."""
-
-    def __init__(self, docs: DataFrame):
-        self.spark: SparkSession = docs.sparkSession
-        self.folder = new_folder(self.spark, "llm-blocks")
-        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        rows = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("block", F.shiftright("row", 33))
-        rows.write.partitionBy("block").parquet(self.folder)
-        self.schema = "doc_id long, text string, row long, block long"
-
-    def frame(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(self.folder)
-
-    @staticmethod
-    def documents(folder: str, block: int, skip: set[int]) -> Iterator[list[tuple[int, int | None, bytes]]]:
-        """(row, doc_id, text) of the documents of one block that are not in ``skip``, about a megabyte of text at a time."""
-        import pyarrow.parquet as pq
-        from pyarrow import fs
-
-        files, root = _filesystem(f"{folder}/block={block}")
-        found = sorted(f.path for f in files.get_file_info(fs.FileSelector(root)) if f.path.endswith(".parquet"))
-        docs, held = [], 0
-        for path in found:
-            with files.open_input_file(path) as source:
-                for batch in pq.ParquetFile(source).iter_batches(256, columns=["row", "doc_id", "text"]):
-                    for row, doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch), strict=True):
-                        if row not in skip:
-                            docs.append((row, doc_id, raw))
-                            held += len(raw)
-                        if held >= PIECE:
-                            yield docs
-                            docs, held = [], 0
-        if docs:
-            yield docs
+def runs_of(texts: list[bytes], conf: Recompression) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The representatives of each text's windows as runs (names, number of windows); a new place begins a new run."""
+    hashes = [word_hashes(raw)[0] for raw in texts]
+    lengths = np.array([len(h) for h in hashes], np.int64)
+    begins = np.cumsum(lengths + 1) - (lengths + 1)
+    apart = np.zeros(int((lengths + 1).sum()), bool)
+    apart[begins + lengths] = True
+    gap = np.zeros(1, np.uint64)
+    names = np.concatenate([y for h in hashes for y in (h, gap)]) if hashes else gap[:0]
+    best, where = representatives(names, apart, conf) if (lengths >= conf.width).any() else (names, names)
+    out = []
+    for begin, n in zip(begins.tolist(), (lengths - conf.width + 1).tolist(), strict=True):
+        if n <= 0:
+            out.append((best[:0], np.zeros(0, np.int32)))
+            continue
+        key, place = best[begin : begin + n], where[begin : begin + n]
+        first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (place[1:] != place[:-1])]))
+        out.append((key[first], np.diff(np.append(first, n)).astype(np.int32)))
+    return out
+
+
+def window_hashes(raw: bytes, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of the windows that start at some words."""
+    out = []
+    for lane, m in zip(word_hashes(raw), LANES, strict=True):
+        h = np.zeros(len(at), np.uint64)
+        for i in range(width):
+            h = h * np.uint64(m) + lane[at + i]
+        out.append(mixed(h))
+    return out[0], out[1]
+
+
+def _stored(folder: str, block: int, columns: list[str]) -> Iterator[pa.RecordBatch]:
+    """The documents of a block, a few at a time, in the order in which they were written."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    files, root = _filesystem(f"{folder}/block={block}")
+    for path in sorted(f.path for f in files.get_file_info(fs.FileSelector(root)) if f.path.endswith(".parquet")):
+        with files.open_input_file(path) as source:
+            yield from pq.ParquetFile(source).iter_batches(256, columns=columns)
+
+
+def _long(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
 
 
 def _first_of_each(h1: np.ndarray, h2: np.ndarray, rank: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -251,125 +221,171 @@ def _first_of_each(h1: np.ndarray, h2: np.ndarray, rank: np.ndarray, pos: np.nda
     return order, np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, bool)
 
 
-def _long(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
+def stretches(rows: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of rows, as (row, first position, number) of those that follow each other."""
+    order = np.lexsort((pos, rows))
+    rows, pos = rows[order], pos[order]
+    first = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (pos[1:] != pos[:-1] + 1)])) if len(rows) else np.zeros(0, np.int64)
+    return rows[first], pos[first], np.diff(np.append(first, len(rows)))
 
 
-def removed(docs: DataFrame, conf: Recompression = Recompression()) -> DataFrame:  # noqa: B008
-    """doc_id, n_words, n_removed and kept_sha256 (of the kept words joined by spaces) for every row."""
-    blocks = Blocks(docs)
-    folder, width = blocks.folder, conf.width
+def described(docs: DataFrame, conf: Recompression) -> str:
+    """Write what one reading of the texts gives: a folder of blocks of documents with their text, digests and runs of names.
+
+    A block is a part of a scan partition with about ``block_bytes`` of text (one document at least).
+    """
+    folder = new_folder(docs.sparkSession, "llm-blocks")
 
-    def describe(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        rows = []
-        for raw in texts_of(batch):
-            words = raw.split()
-            joined = b" ".join(words)
-            whole = xxhash.xxh3_128_digest(joined)
-            rows.append((len(words), whole, hashlib.sha256(joined).hexdigest()))
-        columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.string()), strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column("row"), batch.column("block"), batch.column("doc_id"), batch.column("digest"), *columns],
-                                          ["row", "block", "doc_id", "digest", "n_words", "whole", "sha"])
-
-    ddl = "row long, block long, doc_id long, digest long, n_words long, whole binary, sha string"
-    described = map_rows(blocks.frame().withColumn("digest", F.xxhash64("text")), describe, ddl).withColumn("one", F.lit(1))
-    info = running(described, [F.col("doc_id").asc_nulls_first(), F.col("digest"), F.col("row")], ["one"])
-    info = written(info.withColumnRenamed("before_one", "rank"), "documents")
+        part = TaskContext.get().partitionId()
+        row, block, held = part << 33, part << 24, 0
+        for batch in batches:
+            for piece in sliced(batch, "text", PIECE):
+                texts = texts_of(piece)
+                runs = runs_of(texts, conf)
+                words = [raw.split() for raw in texts]
+                joined = [b" ".join(w) for w in words]
+                blocks = []
+                for raw in texts:
+                    if held >= conf.block_bytes:
+                        block, held = block + 1, 0
+                    blocks.append(block)
+                    held += len(raw)
+                columns = {
+                    "row": pa.array(range(row, row + len(texts)), pa.int64()),
+                    "doc_id": piece.column("doc_id"),
+                    "text": piece.column("text"),
+                    "digest": piece.column("digest"),
+                    "n_words": pa.array(map(len, words), pa.int64()),
+                    "whole": pa.array([xxhash.xxh3_128_digest(x) for x in joined], pa.binary()),
+                    "sha": pa.array([hashlib.sha256(x).hexdigest() for x in joined]),
+                    "names": pa.array([k.tobytes() for k, _ in runs], pa.binary()),
+                    "windows": pa.array([c.tobytes() for _, c in runs], pa.binary()),
+                    "block": pa.array(blocks, pa.int64()),
+                }
+                row += len(texts)
+                yield pa.RecordBatch.from_pydict(columns)
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows.withColumn("digest", F.xxhash64("text")).mapInArrow(run, DESCRIBED).write.partitionBy("block").parquet(folder)
+    return folder
+
+
+DESCRIBED = "row long, doc_id long, text string, digest long, n_words long, whole binary, sha string, names binary, windows binary, block long"
+
+
+def removed(docs: DataFrame, conf: Recompression = Recompression()) -> DataFrame:  # noqa: B008
+    """doc_id, n_words, n_removed and kept_sha256 (of the kept words joined by spaces) for every row."""
+    spark, width = docs.sparkSession, conf.width
+    folder = described(docs, conf)
+    info = spark.read.schema(DESCRIBED).parquet(folder).select("row", "block", "doc_id", "digest", "n_words", "whole", "sha")
+    info = running(info.withColumn("one", F.lit(1)), [F.col("doc_id").asc_nulls_first(), F.col("digest"), F.col("row")], ["one"])
+    info = info.withColumnRenamed("before_one", "rank")
     firsts = info.groupBy(F.col("whole").alias("w")).agg(F.min("rank").alias("first"))
-    info = written(info.join(firsts, F.col("whole") == F.col("w")).withColumn("copy", F.col("rank") != F.col("first")).drop("w", "whole", "first", "one"), "documents")
+    info = written(info.join(firsts, F.col("whole") == F.col("w")).withColumn("copy", F.col("rank") != F.col("first")).drop("w", "whole", "first", "one", "digest"), "documents")
 
     # Copies are settled: all their words are covered, if they fill a window. So are texts shorter than a window.
     settled = info.where(F.col("copy") | (F.col("n_words") < width))
     gone = F.when(F.col("copy") & (F.col("n_words") >= width), F.col("n_words")).otherwise(F.lit(0))
     empty = hashlib.sha256(b"").hexdigest()
     settled = settled.select("doc_id", "n_words", gone.alias("n_removed"), F.when(gone > 0, F.lit(empty)).otherwise(F.col("sha")).alias("kept_sha256"))
-    count = max(1, info.select("block").distinct().count())
-    ranks = written(
-        info.groupBy("block").agg(
-            F.collect_list(F.when(F.col("copy") | (F.col("n_words") < width), F.col("row"))).alias("skip"),
-            F.collect_list(F.when(~(F.col("copy") | (F.col("n_words") < width)), F.struct("row", "rank"))).alias("ranks"),
-        ),
-        "blocks",
-    )
+    left = info.where(~F.col("copy") & (F.col("n_words") >= width))
+    ranks = written(left.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("row", "rank", "sha"))).alias("docs")), "blocks")
+    count = max(1, ranks.count())
+
+    def of_block(block: int, rows: np.ndarray, columns: list[str]) -> Iterator[tuple[int, list]]:
+        """(place in ``rows``, values) of the documents of a block that are in ``rows`` (sorted)."""
+        for batch in _stored(folder, block, ["row", *columns]):
+            own = batch.column("row").to_numpy()
+            place = np.minimum(np.searchsorted(rows, own), len(rows) - 1)
+            wanted = rows[place] == own
+            some = batch.filter(pa.array(wanted))
+            for i, *values in zip(place[wanted].tolist(), *[some.column(c).to_pylist() for c in columns], strict=True):
+                yield i, values
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, skip in zip(batch.column("block").to_pylist(), batch.column("skip").to_pylist(), strict=True):
-                found = [Slice(docs_, conf).names() for docs_ in Blocks.documents(folder, block, set(skip))]
+            for j in range(batch.num_rows):
+                block = batch.column("block")[j].as_py()
+                rows = batch.column("docs").slice(j, 1).flatten().field("row").to_numpy()
+                found = [np.frombuffer(x, np.uint64) for _, (x,) in of_block(block, rows, ["names"])]
                 keys, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
                 for i in range(0, len(keys), 1 << 16):
                     some = keys[i : i + (1 << 16)]
                     yield pa.RecordBatch.from_arrays([_long(some), pa.array(np.full(len(some), block)), pa.array(counts[i : i + (1 << 16)] > 1)], ["key", "block", "twice"])
 
-    dealt = ranks.select("block", "skip").repartition(count, "block")
-    keys = dealt.mapInArrow(name, "key long, block long, twice boolean")
+    keys = ranks.repartition(count, "block").mapInArrow(name, "key long, block long, twice boolean")
     same = Window.partitionBy("key")
     shared = keys.withColumn("n", F.count("*").over(same)).where((F.col("n") > 1) | F.col("twice"))
     shared = shared.groupBy(F.col("block").alias("b")).agg(F.collect_list("key").alias("shared"))
     known = written(ranks.join(shared, F.col("block") == F.col("b"), "left").drop("b"), "shared")
 
-    def candidates(block: int, skip: list[int], ranks: list[dict], shared: pa.Array):
-        """A block's windows under shared symbols: hashes, row, rank and position."""
-        keys = np.sort(shared.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
-        rank_of = {r["row"]: r["rank"] for r in ranks}
-        found = [[] for _ in range(5)]
-        for docs_ in Blocks.documents(folder, block, set(skip)):
-            s = Slice(docs_, conf)
-            h1, h2, doc, pos = s.windows(keys)
-            rows = np.array(s.rows, np.int64)[doc] if len(doc) else np.zeros(0, np.int64)
-            rank = np.array([rank_of[r] for r in s.rows], np.int64)[doc] if len(doc) else np.zeros(0, np.int64)
-            for part, x in zip(found, (h1, h2, rows, rank, pos), strict=True):
-                part.append(x)
-        kinds = (np.uint64, np.uint64, np.int64, np.int64, np.int64)
-        return [np.concatenate([np.zeros(0, kind), *x]) for x, kind in zip(found, kinds, strict=True)]
-
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each window under a shared name the first one in its block; stretches of others (``size`` windows) that repeat one in it."""
+        columns = ["h1", "h2", "rank", "pos", "row", "block", "size"]
         for batch in batches:
-            for i, (block, skip, ranks_) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("block", "skip", "ranks")], strict=True)):
-                h1, h2, rows, rank, pos = candidates(block, skip, ranks_, batch.column("shared").slice(i, 1).flatten())
-                order, new = _first_of_each(h1, h2, rank, pos)
+            for j in range(batch.num_rows):
+                block = batch.column("block")[j].as_py()
+                docs_ = batch.column("docs").slice(j, 1).flatten()
+                rows, ranked = docs_.field("row").to_numpy(), docs_.field("rank").to_numpy()
+                shared_ = np.sort(batch.column("shared").slice(j, 1).flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+                found: list[list[np.ndarray]] = [[], [], [], []]
+                for i, (raw, names, windows) in of_block(block, rows, ["text", "names", "windows"]) if len(shared_) else ():
+                    runs, times = np.frombuffer(names, np.uint64), np.frombuffer(windows, np.int32)
+                    under = shared_[np.minimum(np.searchsorted(shared_, runs), len(shared_) - 1)] == runs
+                    if under.any():
+                        at = np.flatnonzero(np.repeat(under, times))
+                        h1, h2 = window_hashes(raw.encode(), at, width)
+                        for part, x in zip(found, (h1, h2, np.full(len(at), i, np.int32), at.astype(np.int32)), strict=True):
+                            part.append(x)
+                if not found[0]:
+                    continue
+                h1, h2, which, pos = map(np.concatenate, found)
+                order, new = _first_of_each(h1, h2, ranked[which], pos)
                 at = order[new]
-                for j in range(0, len(at), 1 << 16):
-                    k = at[j : j + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([_long(h1[k]), _long(h2[k]), _long(rank[k]), _long(pos[k]), _long(rows[k])], ["h1", "h2", "rank", "pos", "row"])
-
-    windows = known.repartition(count, "block").mapInArrow(verify, "h1 long, h2 long, rank long, pos long, row long")
-    earlier = Window.partitionBy("h1", "h2").orderBy("rank", "pos")
-    again = windows.withColumn("n", F.row_number().over(earlier)).where(F.col("n") > 1)
-    again = again.groupBy(F.shiftright("row", 33).alias("b")).agg(F.collect_list(F.struct("row", "pos")).alias("again"))
-    known = known.join(again, F.col("block") == F.col("b"), "left").drop("b")
+                for i in range(0, len(at), 1 << 16):
+                    k = at[i : i + (1 << 16)]
+                    parts = (h1[k], h2[k], ranked[which[k]], pos[k], rows[which[k]], np.full(len(k), block), np.zeros(len(k), np.int64))
+                    yield pa.RecordBatch.from_arrays(list(map(_long, parts)), columns)
+                at = order[~new]
+                row, first, size = stretches(rows[which[at]], pos[at])
+                # Known to repeat: hashes of their own, so that nothing is compared with them.
+                parts = (row, first, np.zeros(len(row), np.int64), first, row, np.full(len(row), block), size)
+                yield pa.RecordBatch.from_arrays(list(map(_long, parts)), columns)
+
+    windows = known.repartition(count, "block").mapInArrow(verify, "h1 long, h2 long, rank long, pos long, row long, block long, size long")
+    earlier = Window.partitionBy("h1", "h2", F.col("size") > 0).orderBy("rank", "pos")
+    again = windows.withColumn("n", F.row_number().over(earlier)).where((F.col("n") > 1) | (F.col("size") > 0))
+    again = again.groupBy(F.col("block").alias("b")).agg(F.collect_list(F.struct("row", "pos", "size")).alias("again"))
+    known = ranks.join(again, F.col("block") == F.col("b"), "left").drop("b")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, (block, skip, ranks_) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("block", "skip", "ranks")], strict=True)):
-                h1, h2, rows, rank, pos = candidates(block, skip, ranks_, batch.column("shared").slice(i, 1).flatten())
-                order, new = _first_of_each(h1, h2, rank, pos)
-                told = batch.column("again").slice(i, 1).flatten()
-                late = set(zip(told.field("row").to_pylist(), told.field("pos").to_pylist(), strict=True)) if len(told) else set()
-                repeats = order[~new]
-                first = order[new]
-                if late:
-                    flags = np.fromiter(((r, p) in late for r, p in zip(rows[first].tolist(), pos[first].tolist(), strict=True)), bool, len(first))
-                    repeats = np.concatenate([repeats, first[flags]])
-                marks: dict[int, np.ndarray] = {}
-                by = repeats[np.argsort(rows[repeats], kind="stable")]
-                edges = np.flatnonzero(np.diff(rows[by])) + 1
-                for part in np.split(by, edges) if len(by) else []:
-                    marks[int(rows[part[0]])] = pos[part]
+            for j in range(batch.num_rows):
+                block = batch.column("block")[j].as_py()
+                docs_ = batch.column("docs").slice(j, 1).flatten()
+                rows, shas = docs_.field("row").to_numpy(), docs_.field("sha")
+                told = batch.column("again").slice(j, 1).flatten()
+                marks = [told.field(x).to_numpy(zero_copy_only=False).astype(np.int64) if len(told) else np.zeros(0, np.int64) for x in ("row", "pos", "size")]
+                order = np.argsort(marks[0], kind="stable")
+                row, pos, size = (x[order] for x in marks)
+                begin, end = np.searchsorted(row, rows, side="left"), np.searchsorted(row, rows, side="right")
                 out = []
-                for docs_ in Blocks.documents(folder, block, set(skip)):
-                    for row, doc_id, raw in docs_:
-                        words = raw.split()
-                        covered = np.zeros(len(words) + 1, np.int64)
-                        starts = marks.get(row)
-                        if starts is not None:
-                            np.add.at(covered, starts, 1)
-                            np.add.at(covered, starts + width, -1)
-                        keep = np.cumsum(covered[:-1]) == 0
-                        kept = b" ".join([w for w, k in zip(words, keep.tolist(), strict=True) if k]) if starts is not None else b" ".join(words)
-                        out.append((doc_id, len(words), len(words) - int(keep.sum()), hashlib.sha256(kept).hexdigest()))
+                touched = begin < end
+                wanted = ["doc_id", "n_words", "text"] if touched.any() else ["doc_id", "n_words"]
+                for i, (doc_id, n_words, *raw) in of_block(block, rows, wanted):
+                    if not touched[i]:
+                        out.append((doc_id, n_words, 0, shas[i].as_py()))
+                        continue
+                    words = raw[0].encode().split()
+                    covered, mine = np.zeros(n_words + 1, np.int64), slice(begin[i], end[i])
+                    np.add.at(covered, pos[mine], 1)
+                    np.add.at(covered, pos[mine] + np.maximum(size[mine], 1) - 1 + width, -1)
+                    keep = np.cumsum(covered[:-1]) == 0
+                    kept = b" ".join([words[k] for k in np.flatnonzero(keep).tolist()])
+                    out.append((doc_id, n_words, n_words - int(keep.sum()), hashlib.sha256(kept).hexdigest()))
                 if out:
                     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "n_words", "n_removed", "kept_sha256"])

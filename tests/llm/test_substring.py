@@ -30,12 +30,21 @@ def test_names_depend_on_the_window_alone():
     rng = random.Random(3)
     for _ in range(150):
         letters, width = rng.choice(["ab", "abc", "abcdefghijklmnopqrstuvwxyz"]), rng.choice([4, 7, 20])
-        docs = [(i, i, " ".join(rng.choice(letters) for _ in range(rng.randint(0, 60))).encode()) for i in range(5)]
-        docs += [(5, 5, docs[0][2] + b" x " + docs[1][2]), (6, 6, b"q " + docs[2][2][4:])]
-        s, words, seen = R.Slice(docs, R.Recompression(width=width)), [d[2].split() for d in docs], {}
-        for key, where, d, p, at in zip(s.key.tolist(), s.where.tolist(), s.doc.tolist(), s.pos.tolist(), s.at.tolist()):
-            assert 0 <= where - at < width
-            assert seen.setdefault(tuple(words[d][p : p + width]), (key, where - at)) == (key, where - at)
+        docs = [" ".join(rng.choice(letters) for _ in range(rng.randint(0, 60))).encode() for i in range(5)]
+        docs += [docs[0] + b" x " + docs[1], b"q " + docs[2][4:]]
+        names, count = {}, {}
+        for raw, (runs, windows) in zip(docs, R.runs_of(docs, R.Recompression(width=width)), strict=True):
+            words, keys = raw.split(), R.np.repeat(runs, windows).tolist()
+            assert len(keys) == max(0, len(words) - width + 1)
+            for p, key in enumerate(keys):
+                window = tuple(words[p : p + width])
+                assert names.setdefault(window, key) == key
+                count[window] = count.get(window, 0) + 1
+
+
+def test_stretches():
+    row, pos, size = R.stretches(R.np.array([2, 1, 1, 1, 2]), R.np.array([0, 5, 3, 4, 2]))
+    assert list(zip(row.tolist(), pos.tolist(), size.tolist(), strict=True)) == [(1, 3, 3), (2, 0, 1), (2, 2, 1)]
 
 
 def test_words_are_told_apart():
@@ -65,3 +74,17 @@ def test_awkward_rows(spark):
     ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, digests[r[1]]))
     assert run(docs) == slow(ordered)
     assert run(frame(spark, [])) == []
+
+
+def test_small_blocks_change_nothing(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    expected = slow(sorted((r.doc_id, r.text) for r in docs.collect()))
+    for size in (1, 20_000, 1 << 30):
+        assert run(docs, R.Recompression(block_bytes=size)) == expected
+
+
+def test_a_very_long_text(spark):
+    words = [f"w{i % 70_001}" for i in range(900_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[100:60_000]))]
+    got = run(texts(spark, rows))
+    assert [r[:3] for r in got] == [(1, 900_000, 900_000 - 70_001 ), (2, 59_900, 59_900)]
