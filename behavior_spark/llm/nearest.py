@@ -34,7 +34,7 @@ class CrossPolytope:
     tables: int = 8
     bucket_rows: int = 1_000  # rows in a bucket on average, which sets the number of hashes in a table
     recall: float = 0.96  # wanted, on the sample
-    most_probes: int = 512  # per table; the most that is tried
+    most_probes: int = 512  # per table; if these are too few, buckets are made larger, up to an exact search
     sample: int = 64  # queries in the sample
     block: int = 4_096  # rows of a bucket in one task
     query_block: int = 1_024
@@ -159,9 +159,12 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return (x / np.sqrt((x * x).sum(axis=1, keepdims=True))).astype(np.float32)
 
 
-def probes_needed(hashes: Hash, asked: dict[int, np.ndarray], true: dict[int, np.ndarray], conf: CrossPolytope) -> int:
-    """The fewest probes per table with which the sample's true neighbours are found often enough."""
-    most = min(conf.most_probes, (2 * hashes.size) ** hashes.width)
+def probes_needed(hashes: Hash, asked: dict[int, np.ndarray], true: dict[int, np.ndarray], conf: CrossPolytope) -> int | None:
+    """The fewest probes per table with which the sample's true neighbours are found often enough; None if that takes too many.
+
+    With one hash in a table every bucket may be probed, which finds all neighbours.
+    """
+    most = 2 * hashes.size if hashes.width == 1 else min(conf.most_probes, (2 * hashes.size) ** hashes.width)
     ranks = []
     for q, near in true.items():
         best = np.full(len(near), most + 1)
@@ -173,7 +176,8 @@ def probes_needed(hashes: Hash, asked: dict[int, np.ndarray], true: dict[int, np
     if not ranks:
         return 1
     ranks = np.sort(ranks)
-    return int(min(most, ranks[min(len(ranks) - 1, math.ceil(conf.recall * len(ranks)) - 1)]))
+    needed = int(ranks[min(len(ranks) - 1, math.ceil(conf.recall * len(ranks)) - 1)])
+    return needed if needed <= most else None
 
 
 def search(vectors: DataFrame, is_query: Column | str, k: int = 5, conf: CrossPolytope = CrossPolytope(), ident: str = "vec_id", vector: str = "embedding") -> DataFrame:  # noqa: B008, E501
@@ -187,11 +191,13 @@ def search(vectors: DataFrame, is_query: Column | str, k: int = 5, conf: CrossPo
     first = index.first()
     dim = len(first.v) if first else 1
     width = max(1, round(math.log(max(count / conf.bucket_rows, 2)) / math.log(2 * (1 << max(1, math.ceil(math.log2(max(dim, 2))))))))
-    hashes = Hash(dim, width, conf)
     sample = queries.orderBy(F.xxhash64("id", F.lit(conf.seed)), "id").limit(conf.sample)
     asked = {r.id: np.array(r.v, np.float32) for r in sample.collect()}
-    probes = probes_needed(hashes, asked, _neighbours(sample, index, dim, k), conf)
-    tables = conf.tables
+    true, tables = _neighbours(sample, index, dim, k), conf.tables
+    hashes, probes = None, None
+    while probes is None:  # fewer hashes in a table make larger buckets, down to an exact search
+        hashes = Hash(dim, width, conf)
+        probes, width = probes_needed(hashes, asked, true, conf), width - 1
 
     def buckets(batches, n: int):
         """n = 0: the bucket of each row; otherwise the n probes of each query."""

@@ -58,3 +58,12 @@ def test_rotations_keep_lengths_and_probes_start_at_the_own_bucket():
     probes = hashes.probes(x, 1, 20)
     assert (probes[:, 0] == hashes.buckets(x, 1)).all()
     assert all(len(set(p)) == 20 for p in probes.tolist())
+
+
+def test_too_few_probes_make_the_search_exact(spark):
+    """Directions without any structure: one probe in each of two tables finds next to nothing."""
+    rng = np.random.default_rng(6)
+    table = vectors(spark, [(i, x.tolist()) for i, x in enumerate(rng.normal(size=(600, 8)))])
+    conf = N.CrossPolytope(tables=2, bucket_rows=2, most_probes=1, recall=1.0)
+    got, want = N.search(table, QUERY, conf=conf).toPandas(), N.brute_force(table, QUERY)
+    assert set(zip(got.query_id, got.vec_id)) == set(zip(want.query_id, want.vec_id))
