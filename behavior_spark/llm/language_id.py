@@ -35,9 +35,7 @@ from behavior_spark.llm.common import map_rows, texts_of, written
 @dataclass(frozen=True)
 class Fusion:
     per_language: int = 1500  # labelled documents of each language in the training sample (expected number)
-    most_languages: int = 200  # the most frequent labels are trained
     features: int = 1 << 14
-    chars: int = 4000  # of a training text; texts that are judged are read whole
     temper: float = 0.02  # weight of an n-gram: they are far from independent
     most_text: float = 12.0  # the text's evidence is at most so many nats apart
     kappa: float = 8.0  # pseudo-counts of a smoothed prior
@@ -54,7 +52,11 @@ def visible(page: bytes) -> bytes:
 
 
 def grams(raw: bytes, size: int) -> np.ndarray:
-    """Counts of hashed byte n-grams of one to four bytes, letters in lower case."""
+    """Counts of hashed byte n-grams of one to four bytes, letters in lower case; long texts go in pieces."""
+    return sum((_grams(raw[at : at + (1 << 18)], size) for at in range(0, len(raw), 1 << 18)), np.zeros(size))
+
+
+def _grams(raw: bytes, size: int) -> np.ndarray:
     data = np.frombuffer(b" " + b" ".join(raw.lower().split()) + b" ", np.uint8).astype(np.uint32)
     total = np.zeros(size)
     key = np.zeros(len(data), np.uint32)
@@ -75,22 +77,24 @@ class TextModel:
         """Log-likelihood of the text for each language, the best being 0."""
         if not raw.strip() or not self.languages:
             return np.zeros(len(self.languages))
-        total = np.zeros(len(self.languages))
-        for at in range(0, len(raw), 1 << 18):
-            total += self.weights @ grams(raw[at : at + (1 << 18)], self.conf.features)
-        total = total * self.conf.temper
+        total = self.weights @ grams(raw, self.conf.features) * self.conf.temper
         return np.maximum(total - total.max(), -self.conf.most_text)
 
 
 def train(labelled: DataFrame, conf: Fusion = Fusion()) -> TextModel:  # noqa: B008
-    """From (text, lang): n-gram counts of a hash sample of each language, summed by Spark; one short vector per language reaches the driver."""
-    rows = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(conf.most_languages).collect()
+    """From (text, lang): n-gram counts of a hash sample of each language, summed by Spark; one short vector per language reaches the driver.
+
+    Rows are drawn by text and ``doc_id``, where there is one, so copies of a text are drawn one by one. Every label that occurs is learnt, from whole texts.
+    """
+    own = [F.col("doc_id")] if "doc_id" in labelled.columns else []
+    rows = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.xxhash64("text", *own, F.lit(conf.seed)).alias("draw"))
+    rows = rows.where("lang is not null and text is not null")
+    counts = rows.groupBy("lang").count().orderBy("lang").collect()
     if not counts:
         return TextModel([], np.zeros((0, conf.features)), conf)
     share = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, min(1.0, conf.per_language / r["count"]))])
-    drawn = F.pmod(F.xxhash64("text", F.lit(conf.seed)), F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * F.lit(float(1 << 30))
-    rows = rows.where(F.col("lang").isin([r.lang for r in counts])).where(drawn).select("lang", F.substring("text", 1, conf.chars).alias("text"))
+    drawn = F.pmod("draw", F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * F.lit(float(1 << 30))
+    rows = rows.where(drawn).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}

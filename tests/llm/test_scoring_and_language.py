@@ -102,6 +102,58 @@ def test_hosts_are_smoothed_towards_their_domain(spark):
     assert got[5001] == "fr"
 
 
+def test_fusion_equals_loops(spark):
+    """Every count, prior and posterior again, row by row."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    model = G.train(docs)
+    rows = [r.asDict() for r in G.described(G.rows_of(pages, docs), model).collect()]
+    n, kappa = len(model.languages), model.conf.kappa
+
+    def soft(x):
+        e = np.exp(x - np.max(x))
+        return e / e.sum()
+
+    for r in rows:
+        r["p"] = soft(np.array(r["text_evidence"]))
+    whole = sum(r["p"] for r in rows)
+    size = max(whole.sum(), 1.0)
+
+    def group(*names):
+        sums = {}
+        for r in rows:
+            key = tuple(r[x] for x in names)
+            sums[key] = sums.get(key, 0) + r["p"]
+        return [np.maximum(sums[tuple(r[x] for x in names)] - r["p"], 0) for r in rows]
+
+    declared, suffix, domain, host = group("declared"), group("suffix"), group("suffix", "domain"), group("domain", "host")
+    want = {}
+    for i, r in enumerate(rows):
+        prior = (whole + 1) / (size + n)
+        prior = (domain[i] + kappa * prior) / (domain[i].sum() + kappa)
+        prior = (host[i] + kappa * prior) / (host[i].sum() + kappa)
+        evidence = np.array(r["text_evidence"]) + np.log(prior)
+        for name, own in (("declared", declared[i]), ("suffix", suffix[i])):
+            if r[name] is not None:
+                evidence += np.log((own + kappa * (own.sum() + 1) / (size + 1)) / (whole + kappa))
+        posterior = soft(evidence)
+        want[r["kind"], r["id"]] = model.languages[int(posterior.argmax())], posterior.max()
+    got = G.fused(G.rows_of(pages, docs), model).collect()
+    assert len(got) == len(want) == len(rows)
+    for r in got:
+        language, confidence = want[r.kind, r.id]
+        assert r.language == language and abs(r.confidence - confidence) < 1e-9
+
+
+def test_every_label_is_learnt_from_whole_texts(spark):
+    rows = [(i, f"{chr(97 + i % 26)}{i} " * 40, f"l{i}") for i in range(250)]
+    rows += [(1000, "x " * 4000 + "zebra " * 400, "tail"), *[(2000 + i, "the same text", "hot") for i in range(400)]]
+    model = G.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), G.Fusion(per_language=100))
+    assert len(model.languages) == 252
+    best = max(zip(model.evidence(b"zebra zebra zebra zebra"), model.languages, strict=True))
+    assert best[1] == "tail"
+
+
 def test_no_labels_and_no_rows(spark):
     docs = frame(spark, [])
     assert G.fused(G.rows_of(None, docs), G.train(docs)).count() == 0
