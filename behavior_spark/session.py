@@ -60,8 +60,8 @@ def work_dir(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
-    """A fresh, unused path below the shared work folder."""
-    return f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh, unused path below the shared work folder, with the scheme of its file system."""
+    return f"{qualified(spark, work_dir(spark))}/{label}-{uuid.uuid4().hex}"
 
 
 def checkpoint_dir(spark: SparkSession) -> None:
@@ -76,6 +76,12 @@ def _hadoop_path(spark: SparkSession, path: str):
     return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme of its file system: tasks that open files on their own must not take it for a local one."""
+    found, files = _hadoop_path(spark, path)
+    return str(files.makeQualified(found).toString())
+
+
 def folder_exists(spark: SparkSession, path: str) -> bool:
     found, files = _hadoop_path(spark, path)
     return files.exists(found)

@@ -61,3 +61,4 @@ def test_work_folder_comes_from_the_session(spark):
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.work_dir(_Settings("yarn"))
     assert session.work_dir(spark)
+    assert session.new_folder(spark, "x").startswith("file:/")
