@@ -25,8 +25,10 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,10 @@ MAGIC, BLOCK, NULL_ID = b"S8BTOK01", 1 << 16, -(2**63)
 # Fixed values of the format: (ids in a word, bits of an id) by selector.
 SELECTORS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 ESCAPE = 15
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII, without the apostrophe, which begins an ending
+_LIMITS = np.array([1 << bits for _, bits in SELECTORS], np.uint64)
+_KINDS = np.searchsorted(_LIMITS, np.arange(1 << 17, dtype=np.uint64), side="right").astype(np.uint8)
+_STEPS = np.array([count for count, _ in SELECTORS] + [1] * (ESCAPE + 1 - len(SELECTORS)), np.int64)
 
 
 def pack(ids: np.ndarray) -> np.ndarray:
@@ -49,24 +55,19 @@ def pack(ids: np.ndarray) -> np.ndarray:
     if not m:
         return np.zeros(0, np.uint64)
     ids = ids.astype(np.uint64)
-    choice, step = np.full(m, ESCAPE, np.int8), np.ones(m, np.int32)
-    at = np.arange(m, dtype=np.int32)
+    # The narrowest selector that holds one id; a selector holds several if it holds the widest of them.
+    kind = np.zeros(m + SELECTORS[0][0], np.uint8)
+    kind[:m] = _KINDS[ids] if int(ids.max()) < len(_KINDS) else np.searchsorted(_LIMITS, ids, side="right")
+    choice, widest, seen = np.full(m, ESCAPE, np.uint8), kind[:m].copy(), 1
     for s in reversed(range(len(SELECTORS))):  # selectors with more ids overrule
-        count, bits = SELECTORS[s]
-        narrow = ids < np.uint64(1) << np.uint64(bits)
-        wide = np.flatnonzero(~narrow)
-        longest = m if not len(wide) else max(int(wide[0]), m - 1 - int(wide[-1]), int(np.diff(wide).max(initial=1)) - 1)
-        if longest < min(count, m):
-            continue
-        nxt = np.full(m, m, np.int32)
-        nxt[wide] = wide
-        run = np.minimum.accumulate(nxt[::-1])[::-1] - at  # ids from here on that are narrow enough
-        fits = run >= count
-        choice[fits], step[fits] = s, count
-        tail = at[max(0, m - count + 1) :]
-        tail = tail[run[tail] == m - tail]
-        tail = tail[step[tail] <= m - tail]
-        choice[tail], step[tail] = s, m - tail
+        while seen < SELECTORS[s][0]:
+            np.maximum(widest, kind[seen : seen + m], out=widest)
+            seen += 1
+        fits = widest <= s
+        if not fits.any():
+            break  # those with more ids have fewer bits
+        choice[fits] = s
+    step = np.minimum(_STEPS[choice], m - np.arange(m))
     starts, i, steps = [], 0, step.tolist()
     while i < m:
         starts.append(i)
@@ -196,10 +197,11 @@ class Encoder:
 
     Byte-level BPE cuts a text before a single space between two other characters, and around a single newline between two.
     The stretches between such cuts that a worker does not remember go to the library joined by newlines, and its newline
-    ids part the answers. A text with any other white space, or with a special token, goes to the library whole.
+    ids part the answers. What a worker remembers is bounded in bytes. A text with any other white space, or with a special token, goes to the library whole.
     """
 
-    REMEMBERED, JOINED = 400_000, 1_000  # stretches in each of two generations (about 90 MB), and in one question
+    REMEMBERED, BYTES, LONGEST = 400_000, 24 << 20, 64  # stretches and their bytes in each of two generations; longer ones are not remembered
+    JOINED, ASKED = 100, 64  # stretches in a text for the library, texts in one question
 
     def __init__(self, path: str):
         import os
@@ -210,9 +212,14 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}  # by stretch, with the newline or (left out) space before it
         self.older: dict[str, bytes] = {}
+        self.held = 0
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         newline = self._ask("\n")
         self.newline = newline[0] if len(newline) == 1 and self._ask("a\n b\nc") == [*self._ask("a"), *newline, *self._ask(" b"), *newline, *self._ask("c")] else None
+        # None: this tokenizer does not cut between letters and signs.
+        signs = [x for x in (".", ",", "...", "!?", ",###", "$$$", "-", ")") if not any(y in x for y in self.special)]
+        cuts = all(self._ask(f" word{x}") == self._ask(" word") + self._ask(f"a{x}")[len(self._ask("a")) :] for x in signs)
+        self.tails: dict[str, bytes] | None = {} if cuts and not any(x.strip(SIGNS) == "" for x in self.special) else None
         if any(x.split() != [x] for x in self.special):
             self.newline = None  # cannot be told from a stretch: every text goes to the library
 
@@ -223,42 +230,86 @@ class Encoder:
         body = key[1:] if key[:1] == "\n" else key
         return body.split() == [body] and not any(s in body for s in self.special)
 
-    def _learn(self, keys: list[str]) -> None:
+    def _learn(self, keys: list[str]) -> Iterator[tuple[str, bytes]]:
         """Ask for stretches that are all plain."""
-        for at in range(0, len(keys), self.JOINED):
-            some = keys[at : at + self.JOINED]
-            asked = "a" + "".join([k if k[0] == "\n" else "\n " + k for k in some])
-            ids = np.array(self.library.encode_batch_fast([asked], add_special_tokens=False)[0].ids, "<u4")
-            edges = [*np.flatnonzero(ids == self.newline).tolist(), len(ids)]
-            if len(edges) != len(some) + 1:
-                raise ValueError("the tokenizer does not part stretches at newlines")
-            for key, a, b in zip(some, edges, edges[1:], strict=False):
-                self.known[key] = ids[a if key[0] == "\n" else a + 1 : b].tobytes()
+        groups = [keys[at : at + self.JOINED] for at in range(0, len(keys), self.JOINED)]
+        for at in range(0, len(groups), self.ASKED):
+            some = groups[at : at + self.ASKED]
+            asked = ["a" + "".join([k if k[0] == "\n" else "\n " + k for k in g]) for g in some]
+            for group, answer in zip(some, self.library.encode_batch_fast(asked, add_special_tokens=False), strict=True):
+                ids = np.array(answer.ids, "<u4")
+                edges, raw = (np.flatnonzero(ids == self.newline) * 4).tolist(), ids.tobytes()
+                if len(edges) != len(group):
+                    raise ValueError("the tokenizer does not part stretches at newlines")
+                for key, a, b in zip(group, edges, [*edges[1:], len(raw)], strict=True):
+                    yield key, raw[a if key[0] == "\n" else a + 4 : b]
+
+    def _answers(self, keys: list[str]) -> list[bytes | None]:
+        """The ids of each stretch; None for one that is not plain."""
+        if len(self.known) >= self.REMEMBERED or self.held >= self.BYTES:
+            self.known, self.older, self.held = {}, self.known, 0
+        known, older = self.known, self.older
+        found: list[bytes | None] = list(map(known.get, keys))
+        # Letters and the signs after them are cut apart too, so that a word is asked for once whatever follows it.
+        places: dict[str, list[tuple[int, bytes]]] = {}
+        for i in [i for i, ids in enumerate(found) if ids is None]:
+            key, stem, tail = keys[i], keys[i].rstrip(SIGNS), b""
+            if self.tails is not None and len(stem) < len(key) <= len(stem) + 8 and (stem[1:] if stem[:1] == "\n" else stem).isalpha():
+                key, tail = stem, self._tail(key[len(stem) :])
+            places.setdefault(key, []).append((i, tail))
+        answers = dict(zip(places, map(known.get, places), strict=True))
+        for key in [k for k, ids in answers.items() if ids is None and k in older]:
+            answers[key] = known[key] = older[key]
+            self.held += len(key) + len(older[key])
+        plain = [k for k, ids in answers.items() if ids is None and k and k != "\n"]
+        together = "".join([k[1:] if k[0] == "\n" else k for k in plain])
+        if plain and together.split() != [together] or any(s in together for s in self.special):
+            plain = [k for k in plain if self._plain(k)]
+        for key, ids in self._learn(plain):
+            answers[key] = ids
+            if len(key) <= self.LONGEST:
+                known[key] = ids
+                self.held += len(key) + len(ids)
+        for key, ids in answers.items():
+            if ids is not None:
+                for i, tail in places[key]:
+                    found[i] = ids + tail
+        return found
+
+    def _tail(self, signs: str) -> bytes:
+        """The ids of signs behind a letter."""
+        ids = self.tails.get(signs)
+        if ids is None:
+            if len(self.tails) >= 10_000:
+                self.tails.clear()
+            ids = self.tails[signs] = np.array(self._ask("a" + signs)[len(self._ask("a")) :], "<u4").tobytes()
+        return ids
 
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         if self.newline is None:
             return [np.array(self._ask(t), "<u4") for t in texts]
-        if len(self.known) >= self.REMEMBERED:
-            self.known, self.older = {}, self.known
+        if not texts:
+            return []
         # The first stretch is looked up as if a newline were before it.
         split = [("\n" + t).replace("\n", " \n")[1:].split(" ") for t in texts]
-        missing = set().union(*split).difference(self.known)
-        again = missing.intersection(self.older)
-        self.known.update({k: self.older[k] for k in again})
-        missing -= again
-        missing -= {"", "\n"}
-        together = "".join([k[1:] if k[0] == "\n" else k for k in missing])
-        if missing and together.split() != [together] or any(s in together for s in self.special):
-            missing = {k for k in missing if self._plain(k)}
-        self._learn(list(missing))
-        out, known = [], self.known.__getitem__
-        for text, keys in zip(texts, split, strict=True):
-            try:
-                out.append(np.frombuffer(b"".join(map(known, keys)), "<u4")[1:])
-            except KeyError:
-                out.append(np.array(self._ask(text), "<u4"))
-        return out
+        number: dict[str, int] = defaultdict(count().__next__)
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        which = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int32, int(sizes.sum()))
+        answers = self._answers(list(number))
+        whole = np.zeros(len(answers), bool)
+        for i in [i for i, x in enumerate(answers) if x is None]:
+            whole[i], answers[i] = True, b""  # not plain: the library takes the text
+        lengths = np.fromiter(map(len, answers), np.int64, len(answers)) >> 2
+        ids = np.frombuffer(b"".join(answers), "<u4")
+        starts, long = np.cumsum(lengths) - lengths, lengths[which]
+        ends = np.cumsum(long)
+        out = ids[np.repeat(starts[which] - (ends - long), long) + np.arange(int(ends[-1]))]
+        last = np.cumsum(sizes)
+        broken = np.logical_or.reduceat(whole[which], last - sizes)
+        cuts = np.concatenate([[0], ends[last - 1]]).tolist()
+        # The newline before the first stretch goes.
+        return [np.array(self._ask(t), "<u4") if bad else out[a + 1 : b] for t, a, b, bad in zip(texts, cuts, cuts[1:], broken.tolist(), strict=False)]
 
     def encode(self, text: str) -> list[int]:
         return self.encode_many([text])[0].tolist()

@@ -75,3 +75,17 @@ def test_empty_table_and_broken_file(spark, tmp_path):
     (tmp_path / "x.s8b").write_bytes(b"0" * 100)
     with pytest.raises((ValueError, OSError, MemoryError)):
         T.Reader(pa.OSFile(str(tmp_path / "x.s8b")))
+
+
+def test_signs_behind_words():
+    import random
+
+    import public_tokenizers
+
+    e = T.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    rnd = random.Random(8)
+    words = ["word", "Ünter", "naïve", "日本", "x", "don't", "it's", "a1", "12", "<|endoftext|>", "end<|endoftext|>", "́", "é"]
+    tails = ["", ".", ",", "...", "!!", "###", "$$$", ",***", "'s", ".'", "-", "--x", ")", '".', "…", "%%%", "<|", "|>", "'", "!?!?!?!?!?"]
+    for _ in range(400):
+        text = "".join(rnd.choice(words) + rnd.choice(tails) + rnd.choice([" ", " ", "\n", "  ", "\n\n"]) for _ in range(rnd.randint(1, 12)))
+        assert e.encode(text) == e._ask(text), text
