@@ -201,3 +201,12 @@ def _(t):
         tables.write_scored(t.ml_scores.where(F.col("model_version") == f"gbt_v{run}"), folder, F.col("scored_at"), run=f"run {run}")
     commits = manifest.load(t.spark, folder).version
     return tables.ml_scores(t.spark, folder).withColumn("commits", F.lit(commits).cast("bigint"))
+
+
+@query("stored_recent_events", sql("""
+    SELECT event_id, event_type, received_at FROM click_events WHERE received_at > TIMESTAMP '2024-01-29 00:00:00' - INTERVAL 1440 MINUTE"""))
+def _(t):
+    """Recent events from the stored table: files are chosen by the time they were written."""
+    folder = new_folder(t.spark, "events")
+    tables.append_events(t.click_events, folder)
+    return tables.recent_events(t.spark, folder, datetime(2024, 1, 29), 1440, ["event_id", "event_type", "received_at"])

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,40 +40,51 @@ def _read(
     columns: Sequence[str] | None,
     start: datetime | None,
     end: datetime | None,
+    written_since: datetime | None = None,
 ) -> DataFrame:
     # The schema is given, so nothing is inferred; columns that old files lack read as NULL.
     stored = T.StructType([*schema.fields, T.StructField(MONTH, T.IntegerType())])
-    rows = in_time_range(stored_rows(spark, path, stored), start, end)
+    rows = in_time_range(stored_rows(spark, path, stored, written_since), start, end)
     return rows.select(*(columns or schema.names))
 
 
-def stored_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """All rows of a table: what its manifest names and the micro-batches after it, or every file if it has no manifest."""
+def stored_rows(spark: SparkSession, path: str, schema: T.StructType, written_since: datetime | None = None) -> DataFrame:
+    """All rows of a table: what its manifest names and the micro-batches after it, or every file if it has no manifest.
+
+    With ``written_since`` older files are left out; Spark drops them when it lists files and does not open them.
+    """
     known = manifest.load(spark, path)
     if known is None:
-        return spark.read.schema(schema).parquet(path)
-    rows = merged_rows(spark, path, schema, known)
+        return _younger(spark.read.schema(schema).parquet(path), written_since)
+    rows = merged_rows(spark, path, schema, known, written_since=written_since)
     fresh = [
         f"{run}/{batch}" for run in manifest.listed(spark, path) if run.startswith("run=")
         for batch in manifest.listed(spark, f"{path}/{run}") if batch.startswith("ingest_batch=")
         and int(batch.removeprefix("ingest_batch=")) > known.merged.get(run.removeprefix("run="), -1)
     ]
-    return rows.unionByName(batches(spark, path, schema, fresh)) if fresh else rows
+    return rows.unionByName(batches(spark, path, schema, fresh, written_since)) if fresh else rows
+
 
+def _younger(rows: DataFrame, since: datetime | None) -> DataFrame:
+    return rows if since is None else rows.where(F.col("_metadata.file_modification_time") >= F.lit(since))
 
-def batches(spark: SparkSession, path: str, schema: T.StructType, folders: Sequence[str]) -> DataFrame:
+
+def batches(spark: SparkSession, path: str, schema: T.StructType, folders: Sequence[str], written_since: datetime | None = None) -> DataFrame:
     """Rows of some micro-batch folders."""
-    return spark.read.schema(schema).option("basePath", path).parquet(*[f"{path}/{f}" for f in folders]).select(*schema.names)
+    rows = spark.read.schema(schema).option("basePath", path).parquet(*[f"{path}/{f}" for f in folders])
+    return _younger(rows, written_since).select(*schema.names)
 
 
-def merged_rows(spark: SparkSession, path: str, schema: T.StructType, known: manifest.Manifest, groups=None) -> DataFrame:
+def merged_rows(
+    spark: SparkSession, path: str, schema: T.StructType, known: manifest.Manifest, groups=None, written_since: datetime | None = None
+) -> DataFrame:
     """Rows of the folders that a manifest names, of all groups or some."""
     base, months = f"{path}/{manifest.PARTS}", MONTH in schema.names
     chosen = known.folders if groups is None else {g: known.folders.get(g, []) for g in groups}
     folders = [f"{base}/{f}/{MONTH}={g}" if months else f"{base}/{f}" for g, some in chosen.items() for f in some]
     if not folders:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("basePath", base).parquet(*folders).select(*schema.names)
+    return _younger(spark.read.schema(schema).option("basePath", base).parquet(*folders), written_since).select(*schema.names)
 
 
 def events(spark, path, columns=None, start=None, end=None) -> DataFrame:
@@ -85,6 +96,18 @@ def purchase_items(spark, path, columns=None, start=None, end=None) -> DataFrame
     return _read(spark, path, schemas.PURCHASE_ITEMS, columns, start, end)
 
 
+def recent_events(
+    spark: SparkSession, path: str, now: datetime, minutes: int = 10, columns: Sequence[str] | None = None, slack_minutes: int = 60
+) -> DataFrame:
+    """Events received within the last minutes, without a scan of the table: only files written since then are read.
+
+    A row is written after it arrived, on a clock that is at most ``slack_minutes`` behind; rewritten files are younger still.
+    """
+    since = now - timedelta(minutes=minutes)
+    rows = _read(spark, path, schemas.CLICK_EVENTS, None, None, None, since - timedelta(minutes=slack_minutes))
+    return rows.where(F.col("received_at") > F.lit(since)).select(*(columns or schemas.CLICK_EVENTS.names))
+
+
 def session_partials(spark: SparkSession, path: str) -> DataFrame:
     """The partial session features that a stream has written; ``features.merged_sessions`` makes features of them."""
     from behavior_spark.operators.features import SESSION_PARTIALS

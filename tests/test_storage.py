@@ -177,6 +177,34 @@ def test_a_stream_merges_its_own_batches(spark, folder):
     assert tables.events(spark, paths.events).count() + tables.malformed(spark, paths.malformed).count() == Inputs(spark, FOLDER).messages.count()
 
 
+@pytest.mark.parametrize("merged", [False, True])
+def test_recent_events_open_only_young_files(spark, fed, folder, merged):
+    """Old files hold nothing but garbage: the read works because it does not open them."""
+    path = copied(fed[0].events, folder)
+    if merged:
+        compaction.compact(spark, path, schemas.CLICK_EVENTS)
+    rows = tables.events(spark, path).count()
+    now = datetime.now()
+    for place, _, names in os.walk(path):
+        for name in names:
+            if name.endswith(".parquet"):
+                with open(f"{place}/{name}", "r+b") as f:
+                    f.write(b"no parquet at all")
+                    f.truncate()
+                os.utime(f"{place}/{name}", (1_600_000_000, 1_600_000_000))
+                crc = f"{place}/.{name}.crc"
+                if os.path.exists(crc):
+                    os.remove(crc)
+    young = spark.createDataFrame([("a", now - timedelta(minutes=3)), ("b", now - timedelta(minutes=30))], "event_id string, received_at timestamp")
+    young = tables.align(young.withColumn("event_time", F.col("received_at")), schemas.CLICK_EVENTS).withColumn(tables.MONTH, F.lit(202401))
+    young.write.partitionBy(tables.MONTH).parquet(f"{path}/run=r1/ingest_batch=20")
+    assert rows > 100
+    assert [r.event_id for r in tables.recent_events(spark, path, now, 10).collect()] == ["a"]
+    assert {r.event_id for r in tables.recent_events(spark, path, now, 40).collect()} == {"a", "b"}
+    with pytest.raises(Exception, match="(?i)parquet"):
+        tables.events(spark, path).collect()
+
+
 # ---- tables at rest ----------------------------------------------------------------------------
 
 
