@@ -3,9 +3,10 @@
 Documents with the same sequence of lines are one at first: the earliest stands for all, and its copies lose every line. The others are linked
 by rare lines. The key of a line is a hash of the shortest run of lines, from it on, that has at least ``long`` bytes (a long line is a run of
 its own, short lines stand for themselves only together with those after them), and of the number of times the run came before in the
-document. Each key links a document with the nearest earlier document that holds it. So no line that occurred before
-is without a partner, however many documents hold it, and n holders give n - 1 links, never all pairs; no document is the
-partner of more documents than it has lines.
+document. Each key links a document at first with the nearest earlier document that holds it: n holders give n - 1 links, not all pairs. Lines
+that this alignment leaves (they cross others there) are linked with the holders before that one, twice as many in each round, until they are
+deleted or every earlier holder was looked at (``Alignment.farther``, as the queries ask). So a line with a key stays only if no earlier document that
+holds the key aligns it.
 
 Each pair is aligned by patience over all keys that both documents hold, not only those that linked them: dealt in the order of the later document, the
 longest rising sequence of their places in the earlier one is the alignment. Around each aligned line the equal lines on both sides belong to
@@ -37,9 +38,11 @@ from behavior_spark.llm.common import free_name, map_rows, running, texts_of, wr
 
 @dataclass(frozen=True)
 class Alignment:
-    """``long``: bytes that the lines of a key have together, at least."""
+    """``long``: bytes that the lines of a key have together, at least. ``farther``: lines that the alignment with the nearest holder of their
+    key leaves are aligned with the holders before it, too."""
 
     long: int = 24
+    farther: bool = False
 
 
 def lines_of(raw: bytes) -> list[bytes]:
@@ -154,41 +157,86 @@ def deletions(docs: DataFrame, conf: Alignment = Alignment()) -> DataFrame:  # n
     single = heads.where("not coalesce(copy, false)").select(F.col("id").alias("i"), F.col("digest").alias("d"), "doc")
     kept = listed.dropDuplicates(["id", "digest"]).join(single, F.col("id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("d")))
     kept = written(kept.select("doc", "size", "hs", "keys"), "single")
-    held = kept.select("doc", "size", F.posexplode("keys").alias("line", "key")).where("key IS NOT NULL")
-    links = nearest_holders(held.select("key", "doc", "line", "size"))
+    held = kept.select("doc", "size", F.posexplode("keys").alias("line", "key")).where("key IS NOT NULL").select("key", "doc", "line", "size")
+    rounds = [written(_aligned(kept, nearest_holders(held)), "aligned")]
+    left = rounds[0].select("doc", F.explode("left").alias("line"))
+    if conf.farther and not left.isEmpty():
+        rounds += _with_farther_holders(kept, held, left)
+    gone = rounds[0].select("doc", "lines")
+    for more in rounds[1:]:
+        gone = gone.unionByName(more.select("doc", "lines"))
+    if len(rounds) > 1:
+        gone = gone.groupBy("doc").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("lines"))
+    gone = gone.where(F.size("lines") > 0)
+    return heads.select("id", "digest", "doc").join(gone, "doc").select("id", "digest", "lines").unionByName(copies)
+
+
+def _with_farther_holders(kept: DataFrame, held: DataFrame, left: DataFrame) -> list[DataFrame]:
+    """Alignments of the lines that are still left with the holders of their keys before the nearest, until there are none.
+
+    The holders of these keys are numbered. A round looks at as many holders as all rounds before it, farther back each time, and only for lines
+    that none of those rounds deleted.
+    """
+    wanted = written(held.join(left, ["doc", "line"], "left_semi"), "left")
+    holders = held.join(wanted.select("key").distinct(), "key", "left_semi").withColumn("one", F.lit(1).cast("long"))
+    holders = running(holders, [F.col("doc"), F.col("line")], ["one"], ["key"]).withColumnRenamed("before_one", "place").drop("one")
+    holders = written(holders, "numbered")
+    rest = holders.join(wanted.select("doc", "line"), ["doc", "line"], "left_semi").where("place > 1")
+    earlier = holders.select("key", F.col("place").alias("at"), F.col("doc").alias("odoc"), F.col("line").alias("oline"))
+    rounds, reach = [], 1
+    while not rest.isEmpty():
+        span = F.sequence(F.greatest(F.col("place") - 2 * reach, F.lit(0)), F.col("place") - reach - 1)
+        links = rest.withColumn("at", F.explode(span)).join(earlier, ["key", "at"]).select("doc", "line", "size", "odoc", "oline")
+        rounds.append(written(_aligned(kept, links, whole=True), "aligned"))
+        reach *= 2
+        left = rounds[-1].select("doc", F.explode("left").alias("line"))
+        rest = written(rest.join(left, ["doc", "line"], "left_semi").where(F.col("place") > reach), "left")
+    return rounds
+
+
+def _aligned(kept: DataFrame, links: DataFrame, whole: bool = False) -> DataFrame:
+    """(doc, lines, left): the lines that the alignment with the linked documents deletes, and the linked lines that it does not.
+
+    ``whole`` takes every key of the linked documents; otherwise the part of them that a block at the linking lines can reach.
+    """
     # What a block can reach of the earlier document, by pair.
-    pairs = links.groupBy("doc", "odoc").agg(F.min("oline").alias("lo"), F.max("oline").alias("hi"), F.first("size").alias("size"))
-    pairs = written(pairs.select("doc", "odoc", F.greatest(F.col("lo") - F.col("size"), F.lit(0)).alias("lo"), (F.col("hi") + F.col("size")).alias("hi")), "pairs")
+    pairs = links.groupBy("doc", "odoc").agg(
+        F.min("oline").alias("lo"), F.max("oline").alias("hi"), F.first("size").alias("size"), F.collect_list("line").alias("linked")
+    )
+    low, high = F.greatest(F.col("lo") - F.col("size"), F.lit(0)).alias("lo"), (F.col("hi") + F.col("size")).alias("hi")
+    pairs = written(pairs.select("doc", "odoc", low, high, "linked"), "pairs")
     others = kept.select(F.col("doc").alias("odoc"), "hs", "keys").join(pairs, "odoc")
 
     def part(column: str):
         return F.slice(column, F.col("lo") + 1, F.col("hi") - F.col("lo") + 1).alias(column)
 
-    others = others.select("doc", "odoc", part("hs"), part("keys"))
-    owns = kept.select("doc", F.lit(-1).cast("long").alias("odoc"), "hs", "keys").join(pairs.select("doc").distinct(), "doc", "left_semi")
+    others = others.select("doc", "odoc", *(("hs", "keys") if whole else (part("hs"), part("keys"))), "linked")
+    owns = kept.select("doc", F.lit(-1).cast("long").alias("odoc"), "hs", "keys", F.array().cast("array<int>").alias("linked"))
+    owns = owns.join(pairs.select("doc").distinct(), "doc", "left_semi")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A document comes first, then the parts of others that it is compared with."""
-        doc, own, keys, gone = None, [], {}, set()
+        doc, own, keys, gone, linked = None, [], {}, set(), set()
 
         def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), pa.array([sorted(gone)], pa.list_(pa.int32()))], ["doc", "lines"])
+            lists = [pa.array([sorted(x)], pa.list_(pa.int32())) for x in (gone, linked - gone)]
+            return pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), *lists], ["doc", "lines", "left"])
 
         for batch in batches:
             for row in batch.to_pylist():
                 if row["odoc"] < 0:
-                    if gone:
+                    if linked:
                         yield done()
-                    doc, own, gone = row["doc"], row["hs"], set()
+                    doc, own, gone, linked = row["doc"], row["hs"], set(), set()
                     keys = {k: i for i, k in enumerate(row["keys"]) if k is not None}
                 else:
                     gone |= blocks(own, keys, row["hs"], row["keys"])
-        if gone:
+                    linked.update(row["linked"])
+        if linked:
             yield done()
 
     cards = owns.unionByName(others).repartition("doc").sortWithinPartitions("doc", "odoc")
-    aligned = cards.mapInArrow(align, "doc long, lines array<int>")
-    return heads.select("id", "digest", "doc").join(aligned, "doc").select("id", "digest", "lines").unionByName(copies)
+    return cards.mapInArrow(align, "doc long, lines array<int>, left array<int>")
 
 
 def _cut(raw: bytes, lines: list[int]) -> bytes:

@@ -148,3 +148,31 @@ def test_a_very_long_text(spark):
     text = "\n".join(f"line {i} of a text of many megabytes, with enough words to be told apart" for i in range(300_000))
     got = edited(spark, [(1, text), (2, text + "\nend"), (3, "start\n" + text[: len(text) // 2])])
     assert got[1] == text and got[2] == "end" and got[3].startswith("start")
+
+
+def test_a_line_that_crosses_in_the_nearest_holder_is_aligned_with_one_before(spark):
+    a, b, c = PROSE, SECOND, "a third line that is long enough to be a key of its own"
+    rows = [(1, f"{a}\n{b}"), *[(n, f"{b}\n{a}\nends of number {n} that nobody else has at all") for n in range(2, 9)], (9, f"{a}\n{b}\n{c}")]
+    # 9 finds both lines in order in 1 only, seven holders back.
+    assert edited(spark, rows, L.Alignment(farther=True))[9] == c
+    assert edited(spark, rows)[9] != c
+    # No holder has both in order: one of them stays.
+    assert edited(spark, [(1, f"{b}\n{a}"), (2, f"{a}\n{b}\n{c}")], L.Alignment(farther=True))[2] in (f"{a}\n{c}", f"{b}\n{c}")
+
+
+def test_farther_holders_on_random_lines_equal_loops_over_all_of_them(spark):
+    rnd = random.Random(8)
+    some = [PROSE, SECOND, "a line of middle length, no more", "another one like it, right here", "the fifth of the lines that come often"]
+    rows = [(i, "\n".join([*rnd.sample(some, rnd.randint(1, 5)), f"line of document {i} and nobody else"])) for i in range(60)]
+    keys = [t.encode().split(b"\n") for _, t in rows]
+    want = {}
+    for d, (_, text) in enumerate(rows):
+        gone = slow(rows[: d + 1])[d]
+        for e in range(d):
+            if any(k in keys[e] for i, k in enumerate(keys[d]) if i not in gone):
+                cards = [(i, keys[e].index(k)) for i, k in enumerate(keys[d]) if k in keys[e]]
+                gone = gone | {i for i, _ in longest_rising(cards)}
+        want[d] = left(text, gone)
+    got = edited(spark, rows, L.Alignment(farther=True))
+    assert {i for i in got if got[i].count("\n") > want[i].count("\n")} == set()
+    assert got != edited(spark, rows)
