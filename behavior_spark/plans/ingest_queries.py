@@ -102,9 +102,9 @@ def _event_stream(t):
 
 
 def _purchase_stream(t):
-    """Purchase messages by way of text files."""
+    """Purchase messages by way of text files; each holds what one task of the join had, so none is too large for one task."""
     folder = new_folder(t.spark, "messages")
-    t.purchase_messages.write.text(folder)
+    t.purchase_messages.write.text(folder, compression="gzip")
     return ingest.read_text_stream(t.spark, folder)
 
 
