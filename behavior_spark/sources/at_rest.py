@@ -1,7 +1,8 @@
 """Tables that hold the latest row of each key at rest.
 
 Rows are bucketed and sorted by key when they are written: all rows of a key lie in the same bucket of every folder. A batch becomes one more folder with
-one row per key; when there are more than a few, the folders are merged bucket by bucket, without a shuffle, into one. A read takes the
+one row per key; when there are more than a few, the folders are merged bucket by bucket, without a shuffle, into one. A bucket is sorted by
+one task, so a table whose buckets would grow beyond ``BUCKET_BYTES`` is written anew with more of them, by a shuffle. A read takes the
 buckets of all folders side by side, so finding the latest row per key needs no shuffle either, and with a single folder no work at all.
 
 Folders are named by the table's manifest, so readers see a batch whole or not at all, and a batch with a token is added once.
@@ -18,12 +19,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from behavior_spark import schemas
+from behavior_spark.session import _hadoop_path, new_folder
 from behavior_spark.sources import manifest as M
 from behavior_spark.sources.manifest import WHOLE, Manifest
 from behavior_spark.sources.tables import align, latest
 
 PART = "part"
-BUCKETS = 64  # per table, fixed by its first write; several times the executors' cores for large tables
+BUCKETS = 64  # per table at first; several times the executors' cores for large tables
+BUCKET_BYTES = 64 << 20  # of files, on average; about eight times as much when a task sorts it
 
 
 def _names(columns: Sequence[str]) -> str:
@@ -37,6 +40,18 @@ def _write(rows: DataFrame, folder: str, keys: Sequence[str], buckets: int) -> N
     rows.sparkSession.sql(f"DROP TABLE {name}")  # external: the files stay
 
 
+def _bytes(spark: SparkSession, folder: str) -> int:
+    found, files = _hadoop_path(spark, folder)
+    return files.getContentSummary(found).getLength()
+
+
+def _enough(buckets: int, size: int) -> int:
+    """The number of buckets, doubled until ``size`` bytes fit."""
+    while size > buckets * BUCKET_BYTES:
+        buckets *= 2
+    return buckets
+
+
 def _scan(spark: SparkSession, path: str, known: Manifest, schema: T.StructType) -> DataFrame:
     """The rows of all folders that the manifest names, in one scan: a task reads a bucket of every folder.
 
@@ -73,7 +88,7 @@ def upsert(
 ) -> bool:
     """Merge a batch into the table: per key the row with the highest version, then tie-break values, stays.
 
-    Returns whether the batch was added (its token may be known). Beyond ``most_folders`` folders all are merged into one. One writer at a time:
+    ``buckets`` are those of the first write; the table doubles them as it grows. Returns whether the batch was added (its token may be known). Beyond ``most_folders`` folders all are merged into one. One writer at a time:
     a second one fails at its commit (``manifest.Conflict``) and changes nothing.
     """
     spark = df.sparkSession
@@ -84,15 +99,24 @@ def upsert(
     wanted = {"keys": list(keys), "version": version, "tiebreak": list(tiebreak)}
     if {k: now.layout.get(k) for k in wanted} != wanted:
         raise ValueError(f"{path} is kept by {now.layout}")
-    part, count = M.new_part(), now.layout["buckets"]
-    rows = latest(align(df, schema), keys, version, tiebreak)
+    step = new_folder(spark, "batch")
+    latest(align(df, schema), keys, version, tiebreak).write.parquet(step)  # written first: its size decides about the buckets
+    rows, folders = spark.read.schema(schema).parquet(step), now.folders.get(WHOLE, [])
+    part, base, count = M.new_part(), f"{path}/{M.PARTS}", now.layout["buckets"]
+    wanted = _enough(count, _bytes(spark, step) + sum(_bytes(spark, f"{base}/{f}") for f in folders))
     # The hash of a bucket is the hash of a shuffle: one task and one file per bucket.
-    _write(rows.repartition(count, *keys), f"{path}/{M.PARTS}/{part}", keys, count)
-    new = now.with_folder(part, [WHOLE])
+    if wanted > count:
+        dealt = (_scan(spark, path, now, schema).unionByName(rows) if folders else rows).repartition(wanted, *keys)
+        _write(latest(dealt, keys, version, tiebreak), f"{base}/{part}", keys, wanted)
+        new = replace(now.with_folder(part, [WHOLE], [WHOLE]), layout={**now.layout, "buckets": wanted})
+    else:
+        _write(rows.repartition(count, *keys), f"{base}/{part}", keys, count)
+        new = now.with_folder(part, [WHOLE])
     if len(new.folders[WHOLE]) > most_folders:
         whole = M.new_part()
-        _write(_merged(spark, path, new, schema), f"{path}/{M.PARTS}/{whole}", keys, count)
+        _write(_merged(spark, path, new, schema), f"{base}/{whole}", keys, count)
         new = now.with_folder(whole, [WHOLE], [WHOLE])
+    M.remove(spark, step)
     M.commit(spark, path, known, replace(new, tokens=now.tokens + ((token,) if token is not None else ())))
     return True
 
