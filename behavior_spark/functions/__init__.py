@@ -4,6 +4,7 @@ from behavior_spark.functions.jsontext import decimal_of, double_of, json_array,
 from behavior_spark.functions.numbers import (
     js_number,
     js_trim,
+    number_of_trimmed,
     round_half_even,
     round_half_up,
     to_fixed,
@@ -25,6 +26,7 @@ __all__ = [
     "json_array",
     "json_object",
     "json_objects",
+    "number_of_trimmed",
     "parse_event_time",
     "parsed_once",
     "round_half_even",

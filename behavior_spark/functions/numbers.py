@@ -76,7 +76,11 @@ def js_number(col: Column, present: Column | None = None) -> Column:
 
     ``present`` tells an explicit null (which counts as 0) from a missing key (no number).
     """
-    trimmed = js_trim(col)
+    return number_of_trimmed(js_trim(col), present)
+
+
+def number_of_trimmed(trimmed: Column, present: Column | None = None) -> Column:
+    """``js_number`` of a text without blanks at its ends, which is looked at several times here."""
     # Java reads a type letter at the end of a number; a browser does not.
     plain = F.when(~F.right(trimmed, F.lit(1)).isin("d", "D", "f", "F"), trimmed)
     value = (
@@ -86,4 +90,4 @@ def js_number(col: Column, present: Column | None = None) -> Column:
     )
     if present is None:
         return value
-    return F.when(present & col.isNull(), F.lit(0.0)).otherwise(value)
+    return F.when(present & trimmed.isNull(), F.lit(0.0)).otherwise(value)

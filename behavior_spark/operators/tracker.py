@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from behavior_spark.functions import js_number, js_trim, parsed_once, round_half_up, text_of, to_fixed, whole_number
+from behavior_spark.functions import js_number, js_trim, number_of_trimmed, parsed_once, round_half_up, text_of, to_fixed, whole_number
 from behavior_spark.operators import carts
 from behavior_spark.operators.running import Running, running
 from behavior_spark.operators.thinning import throttle
@@ -18,13 +18,19 @@ from behavior_spark.operators.thinning import throttle
 
 def normalize_number(value: Column, present: Column | None = None) -> Column:
     """A finite number not below zero, else NULL."""
-    number = js_number(value, present)
+    return _amount(js_number(value, present))
+
+
+def _amount(number: Column) -> Column:
     return F.when(number >= 0, number)
 
 
 def normalize_quantity(value: Column, present: Column | None = None) -> Column:
     """A finite number above zero, rounded half up, else NULL."""
-    number = js_number(value, present)
+    return _count(js_number(value, present))
+
+
+def _count(number: Column) -> Column:
     return whole_number(F.when((number > 0) & (number < F.lit(2.0**63)), round_half_up(number)))
 
 
@@ -185,27 +191,33 @@ def validate_events(calls: DataFrame, lenient: bool = False) -> tuple[DataFrame,
     takes the products of the cart: its ``products`` and, unless given, its ``total`` stay
     NULL here, and ``cart_value`` of the replayed cart fills the total. ``lenient`` applies
     the demo page's looser rules.
+
+    Trimmed texts, numbers and totals are columns of their own, each worked out once per call: as plain expressions they would be copied to
+    every place that looks at them, and the rules look at each many times.
     """
     has = lambda key: F.map_contains_key(F.col("_p"), F.lit(key))
     text = lambda key: F.col("_p")[key]
     method = F.col("method")
     product = _filled(text("product_id"))
     order = _filled(text("order_id"))
-    query = js_trim(text_of(text("query")))
+    number = lambda key: F.col("_n")[key]
+    query = F.col("_t")["query"]
     zero = F.lit(0.0)
     if lenient:
-        price = F.coalesce(js_number(text("price"), has("price")), zero)
-        count = F.coalesce(F.nullif(js_number(text("quantity")), zero), F.lit(1.0))
+        given = ("price",)
+        price = F.coalesce(number("price"), zero)
+        count = F.coalesce(F.nullif(number("quantity"), zero), F.lit(1.0))
         quantity = F.greatest(F.lit(1.0), count).cast("bigint")
-        results = F.coalesce(js_number(text("results_count")), zero).cast("bigint")
-        total = F.nullif(js_number(text("total")), zero)
+        results = F.coalesce(number("results_count"), zero).cast("bigint")
+        total = F.nullif(number("total"), zero)
         currency = F.coalesce(_filled(text("currency")), F.lit("USD"))
         add_ok = remove_ok = product.isNotNull()
     else:
-        price = normalize_number(text("price"), has("price"))
-        quantity = normalize_quantity(text("quantity"), has("quantity"))
-        results = F.coalesce(normalize_quantity(text("results_count")), F.lit(0).cast("bigint"))
-        total = normalize_number(text("total"), has("total"))
+        given = ("price", "quantity", "total")
+        price = _amount(number("price"))
+        quantity = _count(number("quantity"))
+        results = F.coalesce(_count(number("results_count")), F.lit(0).cast("bigint"))
+        total = _amount(number("total"))
         currency = _filled(text("currency"))
         counted = F.coalesce(quantity, F.lit(0)) > 0
         add_ok = product.isNotNull() & counted & price.isNotNull()
@@ -231,8 +243,12 @@ def validate_events(calls: DataFrame, lenient: bool = False) -> tuple[DataFrame,
     items = ("product_view", "add_to_cart", "remove_from_cart")
     arguments = F.coalesce(F.from_json("payload", "MAP<STRING, STRING>"), F.create_map().cast("MAP<STRING, STRING>"))
     parsed = parsed_once(calls, "_p", arguments)
-    checked = parsed.withColumn("_ok", accepted)
-    events = parsed_once(checked.where("_ok"), "_items", listed).select(
+    numbers = ("price", "quantity", "results_count", "total")
+    trimmed = F.struct(*[js_trim(text(key)).alias(key) for key in numbers], js_trim(text_of(text("query"))).alias("query"))
+    values = F.struct(*[number_of_trimmed(F.col("_t")[key], has(key) if key in given else None).alias(key) for key in numbers])
+    checked = parsed_once(parsed_once(parsed, "_t", trimmed), "_n", values).withColumn("_ok", accepted)
+    priced = parsed_once(parsed_once(checked.where("_ok"), "_items", listed), "_total", F.coalesce(total, summed))
+    events = priced.select(
         *[c for c in calls.columns if c not in ("method", "payload")],
         method.alias("event_type"),
         only(items, product).alias("product_id"),
@@ -242,7 +258,7 @@ def validate_events(calls: DataFrame, lenient: bool = False) -> tuple[DataFrame,
         only(("product_view", "add_to_cart", "purchase"), currency).alias("currency"),
         only(("purchase",), order).alias("order_id"),
         only(("purchase",), products).alias("products"),
-        only(("purchase",), to_fixed(F.coalesce(total, summed))).alias("total"),
+        only(("purchase",), to_fixed(F.col("_total"))).alias("total"),
         only(("search",), query).alias("search_query"),
         only(("search",), results).alias("results_count"),
     )
