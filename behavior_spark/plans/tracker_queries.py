@@ -106,8 +106,11 @@ def _(t):
     turn = F.floor(arrival * 6 / (hi - lo + 40_000)).cast("int")
     # The last file has a row of a far future, behind which nothing is left to wait for.
     end = rows.limit(1).select(*[F.lit("end").alias(c) if c != "event_time" else F.lit("2040-01-01").cast("timestamp").alias(c) for c in rows.columns])
+    # All rows are dealt by their turn at once; a turn's one file is then a copy of its rows alone.
+    rows.withColumn("turn", turn).write.partitionBy("turn").parquet(f"{folder}/turns")
+    turns = t.spark.read.schema(rows.withColumn("turn", turn).schema).parquet(f"{folder}/turns")
     for i in range(7):
-        part = end if i == 6 else rows.where(turn == i)
+        part = end if i == 6 else turns.where(F.col("turn") == i)
         part.select(*rows.columns).coalesce(1).write.mode("append").parquet(f"{folder}/in")
     stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     out = tracker.throttle_by_event_time(stream, "40 seconds").writeStream.format("parquet").option("path", f"{folder}/out")

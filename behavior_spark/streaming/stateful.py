@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -17,9 +17,29 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 # Executors need no copy of this package: the processor travels with the query.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+MERGED = 50_000  # rows that wait at least before they are merged
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+class _Gathered:
+    """Rows of a key that arrive in parts. They are merged when as many wait as are held, so that n rows cost n log n and not the square of n."""
+
+    def __init__(self, merge: Callable[[pd.DataFrame], pd.DataFrame], held: pd.DataFrame | None = None):
+        self.merge, self.held, self.parts, self.size = merge, held, [], 0
+
+    def add(self, part: pd.DataFrame) -> None:
+        self.parts.append(part)
+        self.size += len(part)
+        if self.size > max(MERGED, 0 if self.held is None else len(self.held)):
+            self.rows()
+
+    def rows(self) -> pd.DataFrame | None:
+        if self.parts:
+            some = self.parts if self.held is None else [self.held, *self.parts]
+            self.held, self.parts, self.size = self.merge(pd.concat(some, ignore_index=True)), [], 0
+        return self.held
+
+
 class _Throttle(StatefulProcessor):
     """Remembers the time of the last kept row of a key."""
 
@@ -33,12 +53,11 @@ class _Throttle(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         # Spark renames columns that start with an underscore here, so the plan's order counts. Only the first
         # row of a millisecond can be kept: memory follows the time that a micro-batch spans, not its rows.
-        batch = None
+        gathered = _Gathered(lambda both: both.sort_values(["row_ms", *self.order], kind="stable").drop_duplicates("row_ms"))
         for part in rows:
             if len(part):
-                part = part.set_axis([*self.columns, "row_ms"], axis=1)
-                both = part if batch is None else pd.concat([batch, part], ignore_index=True)
-                batch = both.sort_values(["row_ms", *self.order], kind="stable").drop_duplicates("row_ms")
+                gathered.add(part.set_axis([*self.columns, "row_ms"], axis=1))
+        batch = gathered.rows()
         if batch is None:
             return
         times = batch["row_ms"].to_numpy(dtype=np.int64)
@@ -170,7 +189,8 @@ class _InOrder(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
-        waiting = before = self._waiting()
+        before = self._waiting()
+        gathered = _Gathered(self._first_per_ms, before)
         for part in rows:
             if not len(part):
                 continue
@@ -178,8 +198,9 @@ class _InOrder(StatefulProcessor):
             late = part["row_ms"] < passed
             if late.any():
                 yield part[late][self.columns].assign(late=True)
-            part = part[~late]
-            waiting = self._first_per_ms(part if waiting is None else pd.concat([waiting, part], ignore_index=True))
+            if not late.all():
+                gathered.add(part[~late])
+        waiting = gathered.rows()
         if waiting is None or not len(waiting):
             return
         self._keep(waiting)
