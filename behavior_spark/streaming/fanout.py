@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from typing import TypeVar
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -23,6 +26,7 @@ FLUSH = {"processingTime": "5 seconds"}
 # Where a message says its time: as a date, or as a number of seconds or milliseconds.
 _TIME = r'"(?:event_time|timestamp)"\s*:\s*"?\s*([0-9]+-?[0-9]*)'
 CODEC = "zstd"
+R = TypeVar("R")
 
 
 @dataclass(frozen=True)
@@ -49,6 +53,13 @@ def in_order_of_time(messages: DataFrame) -> DataFrame:
     return messages.repartitionByRange(F.substring(F.regexp_extract(RAW, _TIME, 1), 1, 7), F.xxhash64(RAW))
 
 
+def at_once(spark: SparkSession, jobs: Sequence[Callable[[], R]]) -> list[R]:
+    """Run jobs of different tables side by side: each alone leaves most cores idle. All are ended when the first error is raised."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        running = [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]
+    return [job.result() for job in running]
+
+
 def write_fanout(
     batch: DataFrame, batch_id: int, run_id: str, paths: Paths, now: Column | datetime | str | None = None,
     new_id: str = "digest",
@@ -71,29 +82,32 @@ def write_fanout(
             paths.orders: ingest.orders(parsed, arrival),
         }
         folder = f"run={run_id}/ingest_batch={batch_id}"
-        for path, rows in tables.items():
-            monthly = rows.withColumn(MONTH, event_month(F.col("event_time")))
-            monthly.write.mode("overwrite").option("compression", CODEC).partitionBy(MONTH).parquet(f"{path}/{folder}")
+
+        def write(rows: DataFrame, path: str, by_month: bool = True) -> None:
+            writer = rows.write.mode("overwrite").option("compression", CODEC)
+            (writer.partitionBy(MONTH) if by_month else writer).parquet(f"{path}/{folder}")
+
+        monthly = {path: rows.withColumn(MONTH, event_month(F.col("event_time"))) for path, rows in tables.items()}
         # REBALANCE sizes the files by their data: without it every task writes a small file per month.
-        partials = features.session_partials(events, [event_month(F.col("event_time")).alias(MONTH)])
-        partials.hint("rebalance", MONTH).write.mode("overwrite").partitionBy(MONTH).parquet(f"{paths.sessions}/{folder}")
-        parsed.where("malformed").select(RAW).hint("rebalance").write.mode("overwrite").parquet(f"{paths.malformed}/{folder}")
+        partials = features.session_partials(events, [event_month(F.col("event_time")).alias(MONTH)]).hint("rebalance", MONTH)
+        malformed = parsed.where("malformed").select(RAW).hint("rebalance")
+        jobs = [lambda path=path, rows=rows: write(rows, path) for path, rows in {**monthly, paths.sessions: partials}.items()]
+        at_once(batch.sparkSession, [*jobs, lambda: write(malformed, paths.malformed, False)])
     finally:
         parsed.unpersist()
 
 
 def compact_fanout(spark: SparkSession, paths: Paths, folders_per_month: int = 1) -> dict[str, Manifest | None]:
     """Merge the closed micro-batches of all tables (see ``compaction.compact``)."""
-    return {
-        paths.events: compact(spark, paths.events, schemas.CLICK_EVENTS, ["page_url", "event_type", "event_time"], folders_per_month),
-        paths.items: compact(spark, paths.items, schemas.PURCHASE_ITEMS, ["order_id", "product_id", "event_time"], folders_per_month),
-        paths.orders: compact(spark, paths.orders, schemas.ORDERS, ["order_id", "event_time"], folders_per_month),
-        paths.malformed: compact(spark, paths.malformed, schemas.MALFORMED, (), folders_per_month, by_month=False),
-        paths.sessions: compact(
-            spark, paths.sessions, features.SESSION_PARTIALS, ["session_id", "anonymous_user_id"], folders_per_month,
-            lambda rows: features.combine_partials(rows, [MONTH]),
-        ),
-    }
+    tables = {
+        paths.events: (schemas.CLICK_EVENTS, ["page_url", "event_type", "event_time"]),
+        paths.items: (schemas.PURCHASE_ITEMS, ["order_id", "product_id", "event_time"]),
+        paths.orders: (schemas.ORDERS, ["order_id", "event_time"]),
+        paths.malformed: (schemas.MALFORMED, (), None, False),
+        paths.sessions: (features.SESSION_PARTIALS, ["session_id", "anonymous_user_id"], lambda rows: features.combine_partials(rows, [MONTH])),
+    }
+    jobs = [lambda path=path, how=how: compact(spark, path, *how[:2], folders_per_month, *how[2:]) for path, how in tables.items()]
+    return dict(zip(tables, at_once(spark, jobs), strict=True))
 
 
 def start_fanout(

@@ -1,3 +1,6 @@
+import threading
+
+import pytest
 from pyspark.sql import functions as F
 
 from behavior_spark.operators import ingest
@@ -45,3 +48,21 @@ def test_tables_are_written_from_one_shuffle_of_the_messages(spark, folder):
         assert want.count() > 0 and got.exceptAll(want).count() == want.exceptAll(got).count() == 0
     codecs = {r.path.split("/")[-1].split(".")[-2] for r in spark.read.format("binaryFile").load(f"{paths.orders}/run=r/ingest_batch=0").select("path").collect()}
     assert codecs == {"zstd"}
+
+
+def test_jobs_run_side_by_side_and_all_end_before_an_error(spark):
+    both, ended = threading.Barrier(2, timeout=20), []
+
+    def good():
+        both.wait()
+        ended.append(spark.range(3).count())
+        return 1
+
+    def bad():
+        both.wait()
+        raise ValueError("no")
+
+    assert fanout.at_once(spark, [good, lambda: both.wait() and 2 or 2]) == [1, 2]
+    with pytest.raises(ValueError, match="no"):
+        fanout.at_once(spark, [bad, good])
+    assert ended == [3, 3]
