@@ -108,28 +108,28 @@ def throttle_stream(
     )
 
 
-class _First(StatefulProcessor):
-    """Lets the first row of a key pass, once and for all."""
-
-    def __init__(self, columns: Sequence[str], order: Sequence[str]):
-        self.columns, self.order = list(columns), list(order)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", T.StructType([T.StructField("seen", T.BooleanType())]))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known, first = self.seen.exists(), None
-        for part in rows:
-            if len(part) and not known:
-                part = part.set_axis(self.columns, axis=1)
-                both = part if first is None else pd.concat([first, part], ignore_index=True)
-                first = both.sort_values(self.order, kind="stable").head(1)
-        if first is not None:
-            self.seen.update((True,))
-            yield first
-
-    def close(self) -> None:
-        pass
+def _first_rows(keys: Sequence[str], order: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of a task's rows the first per key. Rows wait until they are as many as the keys, so memory follows the keys and not their repeats."""
+
+    def first(rows: pa.Table) -> pa.Table:
+        ordered = rows.sort_by([(name, "ascending") for name in order])  # stable, nulls last
+        numbered = ordered.select(list(keys)).append_column("nth row", pa.array(np.arange(len(ordered))))
+        found = numbered.group_by(list(keys), use_threads=False).aggregate([("nth row", "min")])
+        return ordered.take(found["nth row_min"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, waiting, size = None, [], 0
+        for batch in batches:
+            waiting.append(pa.Table.from_batches([batch]))
+            size += batch.num_rows
+            if size > max(MERGED, 0 if held is None else len(held)):
+                held, waiting, size = first(pa.concat_tables([*([] if held is None else [held]), *waiting])), [], 0
+        if waiting:
+            held = first(pa.concat_tables([*([] if held is None else [held]), *waiting]))
+        if held is not None:
+            yield from held.to_batches(max_chunksize=10_000)
+
+    return run
 
 
 def first_purchase_stream(
@@ -141,16 +141,18 @@ def first_purchase_stream(
     """The first purchase per user and order that the stream sees, however late it arrives; no repeat ever passes.
 
     The state is one flag per user and order and is never dropped: an order is known for ever, as it is to the
-    batch operator. Within a micro-batch the earliest by ``time`` and ``order`` passes.
+    batch operator. Within a micro-batch the earliest by ``time`` and ``order`` passes: a micro-batch is cut down to it first,
+    whole tasks at a time, and Spark's own deduplication remembers the keys. (A checkpoint of the processor per key that did this before cannot be continued.)
     """
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    # A micro-batch stores what it changed, not the files of every partition's database.
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in stream.schema])
     return (
         stream.where(F.col("order_id").isNotNull() & (F.col("order_id") != ""))
-        .groupBy(*keys)
-        .transformWithStateInPandas(
-            statefulProcessor=_First(stream.columns, [time, *order]), outputStructType=schema, outputMode="Append", timeMode="None"
-        )
+        .repartition(*keys)
+        .mapInArrow(_first_rows(keys, [time, *order]), schema)
+        .dropDuplicates(list(keys))
     )
 
 

@@ -1,6 +1,8 @@
 """Stray values: rounding, times, bins, numbers, options of sources."""
 
+from collections import Counter
 from datetime import datetime
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from behavior_spark.functions import parse_event_time, to_fixed
 from behavior_spark.functions.jsontext import double_of
 from behavior_spark.operators import tracker
 from behavior_spark.sources.messages import OFFSETS_PER_TRIGGER, explode_batch, kafka_options
+from behavior_spark.streaming import stateful
 
 
 def column(spark, values, kind):
@@ -78,3 +81,24 @@ def test_a_late_first_purchase_passes_and_no_repeat_does(spark, folder):
     run = tracker.first_purchase_stream(stream).writeStream.format("parquet").option("checkpointLocation", f"{folder}/c").trigger(availableNow=True)
     run.start(f"{folder}/out").awaitTermination()
     assert {r.event_id for r in spark.read.schema(schema).parquet(f"{folder}/out").collect()} == {"e1", "e2", "e4"}
+
+
+def test_first_purchases_are_found_by_whole_tasks(spark, folder, monkeypatch):
+    monkeypatch.setattr(stateful, "MERGED", 10)  # merged many times
+    schema = "anonymous_user_id STRING, order_id STRING, event_time TIMESTAMP, event_id STRING, price DECIMAL(12,2)"
+    at = [None, *[datetime(2024, 1, 1, h) for h in range(20)]]
+    batches = [[(u, f"o{o}", at[(i * 7 + o) % len(at)], f"e{n}{i % 9}", Decimal(i)) for u in ("u", None, "") for o in range(5 + 9 * n) for i in range(12)] for n in range(3)]
+    expected, known = [], set()
+    for batch in batches:
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        rows = sorted(batch, key=lambda r: (r[2] is None, r[2] or datetime.max, r[3]))
+        for row in rows:
+            if row[:2] not in known:
+                known.add(row[:2])
+                expected.append(row)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    first = tracker.first_purchase_stream(stream)
+    plan = first._jdf.queryExecution().logical().toString()
+    assert "Deduplicate" in plan and "TransformWithState" not in plan  # no call of Python per key
+    first.writeStream.format("parquet").option("checkpointLocation", f"{folder}/c").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+    assert Counter(map(tuple, spark.read.schema(schema).parquet(f"{folder}/out").collect())) == Counter(expected)
