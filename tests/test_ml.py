@@ -110,6 +110,16 @@ def test_cross_validation(sessions):
     assert row.mean_roc_auc > 0.7 and row.std_roc_auc < 0.2
 
 
+def test_cross_validation_fits_one_model_per_fold(sessions, monkeypatch):
+    fits, fit = [], ml.Pipeline._fit
+    monkeypatch.setattr(ml.Pipeline, "_fit", lambda self, rows: fits.append(1) or fit(self, rows))
+    alone, together = (ml.cross_validate(ml.label(sessions), ml.TrainParams(trees=2, depth=2), folds=3, parallelism=n).first() for n in (1, 3))
+    assert len(fits) == 6
+    assert alone.mean_roc_auc == pytest.approx(together.mean_roc_auc) and alone.std_roc_auc == pytest.approx(together.std_roc_auc)
+    with pytest.raises(ValueError):
+        ml.cross_validate(ml.label(sessions), ml.TrainParams(trees=2, depth=2), folds=1)
+
+
 def test_training_needs_both_labels(sessions):
     with pytest.raises(ValueError):
         ml.train(ml.label(sessions).where("converted = 0"), SMALL)
