@@ -199,7 +199,10 @@ class Inputs:
 
     @cached_property
     def numbered_messages(self) -> DataFrame:
-        return self.base.selectExpr("n", f"{RAW_MESSAGE} AS {RAW}")
+        return self.messages_of(self.base)
+
+    def messages_of(self, base: DataFrame) -> DataFrame:
+        return base.selectExpr("n", f"{RAW_MESSAGE} AS {RAW}")
 
     @cached_property
     def messages(self) -> DataFrame:

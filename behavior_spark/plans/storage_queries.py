@@ -114,10 +114,13 @@ def _(t):
 
 
 def _many_batches(t, compact_every=None):
-    """All messages as a stream of eight files, out of order, one file per micro-batch."""
+    """All messages as a stream of eight files, out of order, one file per micro-batch.
+
+    The short rows are dealt and sampled, not the messages: those are made once, where they are written.
+    """
     folder = new_folder(t.spark, "stream")
     spread = F.pmod(F.xxhash64("n"), F.lit(8))
-    t.numbered_messages.repartitionByRange(8, spread).select("raw_message").write.text(f"{folder}/in")
+    t.messages_of(t.base.repartitionByRange(8, spread)).select("raw_message").write.text(f"{folder}/in")
     paths = fanout.Paths.below(folder)
     stream = read_text_stream(t.spark, f"{folder}/in", max_files=1)
     fanout.start_fanout(stream, paths, f"{folder}/checkpoint", {"availableNow": True}, ARRIVAL, compact_every=compact_every).awaitTermination()
