@@ -25,13 +25,13 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, count
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,6 +43,7 @@ MAGIC, BLOCK, NULL_ID = b"S8BTOK01", 1 << 16, -(2**63)
 # Fixed values of the format: (ids in a word, bits of an id) by selector.
 SELECTORS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 ESCAPE = 15
+SLICE = 32 << 20  # bytes of text whose stretches are numbered together
 SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII, without the apostrophe, which begins an ending
 _LIMITS = np.array([1 << bits for _, bits in SELECTORS], np.uint64)
 _KINDS = np.searchsorted(_LIMITS, np.arange(1 << 17, dtype=np.uint64), side="right").astype(np.uint8)
@@ -54,10 +55,9 @@ def pack(ids: np.ndarray) -> np.ndarray:
     m = len(ids)
     if not m:
         return np.zeros(0, np.uint64)
-    ids = ids.astype(np.uint64)
     # The narrowest selector that holds one id; a selector holds several if it holds the widest of them.
     kind = np.zeros(m + SELECTORS[0][0], np.uint8)
-    kind[:m] = _KINDS[ids] if int(ids.max()) < len(_KINDS) else np.searchsorted(_LIMITS, ids, side="right")
+    kind[:m] = _KINDS[ids] if int(ids.max()) < len(_KINDS) else np.searchsorted(_LIMITS, ids.astype(np.uint64), side="right")
     choice, widest, seen = np.full(m, ESCAPE, np.uint8), kind[:m].copy(), 1
     for s in reversed(range(len(SELECTORS))):  # selectors with more ids overrule
         while seen < SELECTORS[s][0]:
@@ -66,30 +66,26 @@ def pack(ids: np.ndarray) -> np.ndarray:
         fits = widest <= s
         if not fits.any():
             break  # those with more ids have fewer bits
-        choice[fits] = s
-    step = np.minimum(_STEPS[choice], m - np.arange(m))
-    starts, i, steps = [], 0, step.tolist()
+        np.copyto(choice, s, where=fits)
+    starts, i, steps = [], 0, _STEPS[choice].tolist()
     while i < m:
         starts.append(i)
         i += steps[i]
     starts = np.array(starts)
     chosen = choice[starts]
     escapes = chosen == ESCAPE
-    size = np.where(escapes, 2, 1)
-    place = np.cumsum(size) - size
-    words = np.zeros(int(size.sum()), np.uint64)
-    padded = np.concatenate([ids, np.zeros(60, np.uint64)])
-    for s, (count, bits) in enumerate(SELECTORS):
+    place = np.arange(len(starts)) + np.cumsum(escapes) - escapes  # an escape takes two words
+    words = np.zeros(len(starts) + int(escapes.sum()), np.uint64)
+    padded = np.concatenate([ids, np.zeros(SELECTORS[0][0], ids.dtype)]).astype(np.uint64)  # a word cut short by the end holds zeros
+    for s in np.unique(chosen[~escapes]).tolist():
+        count, bits = SELECTORS[s]
         own = np.flatnonzero(chosen == s)
-        if len(own):
-            held = padded[starts[own][:, None] + np.arange(count)]
-            cut = step[starts[own]] < count
-            if cut.any():
-                held[np.arange(count) >= step[starts[own]][:, None]] = 0
-            held <<= (np.arange(count) * bits).astype(np.uint64)
-            words[place[own]] = np.bitwise_or.reduce(held, axis=1) | np.uint64(s) << np.uint64(60)
+        at, word = starts[own], np.full(len(own), s << 60, np.uint64)
+        for j in range(count):
+            word |= padded[at + j] << np.uint64(j * bits)
+        words[place[own]] = word
     words[place[escapes]] = np.uint64(ESCAPE) << np.uint64(60)
-    words[place[escapes] + 1] = ids[starts[escapes]]
+    words[place[escapes] + 1] = padded[starts[escapes]]
     return words
 
 
@@ -196,8 +192,9 @@ class Encoder:
     """The tokenizers library, asked once for each short stretch of text.
 
     Byte-level BPE cuts a text before a single space between two other characters, and around a single newline between two.
-    The stretches between such cuts that a worker does not remember go to the library joined by newlines, and its newline
-    ids part the answers. What a worker remembers is bounded in bytes. A text with any other white space, or with a special token, goes to the library whole.
+    Arrow cuts the texts there and numbers the different stretches; Python sees each of these once. Those that a worker does not
+    remember go to the library joined as they would stand in a text: the ids that begin with a space or newline part the answers.
+    What a worker remembers is bounded in bytes. A text with any other white space, or with a special token, goes to the library whole.
     """
 
     REMEMBERED, BYTES, LONGEST = 400_000, 24 << 20, 64  # stretches and their bytes in each of two generations; longer ones are not remembered
@@ -214,105 +211,103 @@ class Encoder:
         self.older: dict[str, bytes] = {}
         self.held = 0
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        newline = self._ask("\n")
-        self.newline = newline[0] if len(newline) == 1 and self._ask("a\n b\nc") == [*self._ask("a"), *newline, *self._ask(" b"), *newline, *self._ask("c")] else None
+        newline, space = self._ask("\n"), self._ask(" b")
+        # Ids that begin a stretch: their tokens begin as those of the newline and the space.
+        vocab, first = self.library.get_vocab(), {self.library.id_to_token(i)[0] for i in (*newline, *space[:1])}
+        self.begins = np.zeros(max(vocab.values()) + 1, bool)
+        self.begins[[i for token, i in vocab.items() if token[:1] in first]] = True
+        pieces = [newline, self._ask("a"), space, newline, self._ask("c"), self._ask(" d")]
+        ids, marks = [*chain(*pieces)], [i == 0 and piece not in (1, 4) for piece, x in enumerate(pieces) for i in range(len(x))]
+        # False: this tokenizer does not cut there, so every text goes to the library.
+        self.parts = len(newline) == 1 and self._ask("\na b\nc d") == ids and self._ask("a b") == [*pieces[1], *space] and self.begins[ids].tolist() == marks
         # None: this tokenizer does not cut between letters and signs.
         signs = [x for x in (".", ",", "...", "!?", ",###", "$$$", "-", ")") if not any(y in x for y in self.special)]
         cuts = all(self._ask(f" word{x}") == self._ask(" word") + self._ask(f"a{x}")[len(self._ask("a")) :] for x in signs)
         self.tails: dict[str, bytes] | None = {} if cuts and not any(x.strip(SIGNS) == "" for x in self.special) else None
-        if any(x.split() != [x] for x in self.special):
-            self.newline = None  # cannot be told from a stretch: every text goes to the library
+        # Texts that go to the library whole: other white space, two of ours in a row or at an end, a special token, nothing at all.
+        spaces = "".join(f"\\x{{{i:x}}}" for i in range(1 << 16) if chr(i).isspace() and chr(i) not in " \n")  # none lies higher
+        self.whole = "|".join([r"\A(?:[ \n]|\z)", r"[ \n](?:[ \n]|\z)", f"[{spaces}]", *map(re.escape, self.special)])
 
     def _ask(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
-    def _plain(self, key: str) -> bool:
-        body = key[1:] if key[:1] == "\n" else key
-        return body.split() == [body] and not any(s in body for s in self.special)
-
-    def _learn(self, keys: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Ask for stretches that are all plain."""
-        groups = [keys[at : at + self.JOINED] for at in range(0, len(keys), self.JOINED)]
-        for at in range(0, len(groups), self.ASKED):
-            some = groups[at : at + self.ASKED]
-            asked = ["a" + "".join([k if k[0] == "\n" else "\n " + k for k in g]) for g in some]
-            for group, answer in zip(some, self.library.encode_batch_fast(asked, add_special_tokens=False), strict=True):
-                ids = np.array(answer.ids, "<u4")
-                edges, raw = (np.flatnonzero(ids == self.newline) * 4).tolist(), ids.tobytes()
-                if len(edges) != len(group):
-                    raise ValueError("the tokenizer does not part stretches at newlines")
-                for key, a, b in zip(group, edges, [*edges[1:], len(raw)], strict=True):
-                    yield key, raw[a if key[0] == "\n" else a + 4 : b]
-
-    def _answers(self, keys: list[str]) -> list[bytes | None]:
-        """The ids of each stretch; None for one that is not plain."""
+    def _learn(self, keys: list[str]) -> list[bytes]:
+        """Ask for stretches."""
+        out, step = [], self.JOINED * self.ASKED
+        for at in range(0, len(keys), step):
+            some = keys[at : at + step]
+            asked = [(" " + " ".join(some[i : i + self.JOINED])).replace(" \n", "\n") for i in range(0, len(some), self.JOINED)]
+            answers = self.library.encode_batch_fast(asked, add_special_tokens=False)
+            ids = np.fromiter(chain.from_iterable([x.ids for x in answers]), "<u4")
+            edges, raw = (np.flatnonzero(self.begins[ids]) * 4).tolist(), ids.tobytes()
+            if len(edges) != len(some):
+                raise ValueError("the tokenizer does not part stretches at spaces and newlines")
+            out += [raw[a:b] for a, b in zip(edges, [*edges[1:], len(raw)], strict=True)]
+        return out
+
+    def _answers(self, keys: list[str]) -> list[bytes]:
+        """The ids of different stretches."""
         if len(self.known) >= self.REMEMBERED or self.held >= self.BYTES:
             self.known, self.older, self.held = {}, self.known, 0
-        known, older = self.known, self.older
-        found: list[bytes | None] = list(map(known.get, keys))
-        # Letters and the signs after them are cut apart too, so that a word is asked for once whatever follows it.
-        places: dict[str, list[tuple[int, bytes]]] = {}
-        for i in [i for i, ids in enumerate(found) if ids is None]:
-            key, stem, tail = keys[i], keys[i].rstrip(SIGNS), b""
-            if self.tails is not None and len(stem) < len(key) <= len(stem) + 8 and (stem[1:] if stem[:1] == "\n" else stem).isalpha():
-                key, tail = stem, self._tail(key[len(stem) :])
-            places.setdefault(key, []).append((i, tail))
-        answers = dict(zip(places, map(known.get, places), strict=True))
-        for key in [k for k, ids in answers.items() if ids is None and k in older]:
-            answers[key] = known[key] = older[key]
-            self.held += len(key) + len(older[key])
-        plain = [k for k, ids in answers.items() if ids is None and k and k != "\n"]
-        together = "".join([k[1:] if k[0] == "\n" else k for k in plain])
-        if plain and together.split() != [together] or any(s in together for s in self.special):
-            plain = [k for k in plain if self._plain(k)]
-        for key, ids in self._learn(plain):
-            answers[key] = ids
-            if len(key) <= self.LONGEST:
-                known[key] = ids
-                self.held += len(key) + len(ids)
-        for key, ids in answers.items():
-            if ids is not None:
-                for i, tail in places[key]:
-                    found[i] = ids + tail
+        found: list[bytes | None] = list(map(self.known.get, keys))
+        lost = [i for i, ids in enumerate(found) if ids is None]
+        if self.older:
+            for i, ids in zip(lost, map(self.older.get, [keys[i] for i in lost]), strict=True):
+                found[i] = ids
+        new = [i for i in lost if found[i] is None]
+        for i, ids in zip(new, self._learn([keys[i] for i in new]), strict=True):
+            found[i] = ids
+        remember = {keys[i]: found[i] for i in lost if len(keys[i]) <= self.LONGEST}
+        self.known.update(remember)
+        self.held += sum(map(len, remember)) + sum(map(len, remember.values()))
         return found
 
+    def _parted(self, keys: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Letters and the signs after them, so that a word is asked for once whatever follows it; other stretches stay whole."""
+        if self.tails is None:
+            return keys, pa.array([""]).take(pa.array(np.zeros(len(keys), np.int64)))
+        both = pc.extract_regex(keys, rf"\A(?P<stem>\n?\p{{L}}+)(?P<tail>[{re.escape(SIGNS)}]{{1,8}})\z")
+        return pc.coalesce(pc.struct_field(both, 0), keys), pc.fill_null(pc.struct_field(both, 1), "")
+
     def _tail(self, signs: str) -> bytes:
         """The ids of signs behind a letter."""
-        ids = self.tails.get(signs)
+        ids = self.tails.get(signs) if signs else b""
         if ids is None:
             if len(self.tails) >= 10_000:
                 self.tails.clear()
             ids = self.tails[signs] = np.array(self._ask("a" + signs)[len(self._ask("a")) :], "<u4").tobytes()
         return ids
 
-    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
-        if self.newline is None:
-            return [np.array(self._ask(t), "<u4") for t in texts]
-        if not texts:
-            return []
+    def encode_many(self, texts: pa.Array | list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text, one after the other; null is empty."""
+        texts = pc.fill_null(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string()), "")
+        whole = pc.match_substring_regex(texts, self.whole) if self.parts else pa.array([True] * len(texts), pa.bool_())
         # The first stretch is looked up as if a newline were before it.
-        split = [("\n" + t).replace("\n", " \n")[1:].split(" ") for t in texts]
-        number: dict[str, int] = defaultdict(count().__next__)
-        sizes = np.fromiter(map(len, split), np.int64, len(split))
-        which = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int32, int(sizes.sum()))
-        answers = self._answers(list(number))
-        whole = np.zeros(len(answers), bool)
-        for i in [i for i, x in enumerate(answers) if x is None]:
-            whole[i], answers[i] = True, b""  # not plain: the library takes the text
-        lengths = np.fromiter(map(len, answers), np.int64, len(answers)) >> 2
-        ids = np.frombuffer(b"".join(answers), "<u4")
-        starts, long = np.cumsum(lengths) - lengths, lengths[which]
-        ends = np.cumsum(long)
-        out = ids[np.repeat(starts[which] - (ends - long), long) + np.arange(int(ends[-1]))]
-        last = np.cumsum(sizes)
-        broken = np.logical_or.reduceat(whole[which], last - sizes)
-        cuts = np.concatenate([[0], ends[last - 1]]).tolist()
-        # The newline before the first stretch goes.
-        return [np.array(self._ask(t), "<u4") if bad else out[a + 1 : b] for t, a, b, bad in zip(texts, cuts, cuts[1:], broken.tolist(), strict=False)]
+        lines = pc.replace_substring(texts.filter(pc.invert(whole)), "\n", " \n")
+        nothing, newline = (pa.scalar(x, pa.large_string()) for x in ("", "\n"))
+        split = pc.split_pattern(pc.binary_join_element_wise(nothing, lines, newline), " ")
+        del lines
+        cuts, which = split.offsets.to_numpy(), split.flatten().dictionary_encode()
+        del split
+        stems, tails = self._parted(which.dictionary)
+        stems, tails = stems.dictionary_encode(), tails.dictionary_encode()
+        heads = pa.array(self._answers(stems.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(stems.indices)
+        ends = pa.array([self._tail(x) for x in tails.dictionary.to_pylist()], pa.large_binary()).take(tails.indices)
+        answers = pc.binary_join_element_wise(heads, ends, pa.scalar(b"", pa.large_binary())).take(which.indices)
+        del which, stems, tails, heads, ends
+        _, offsets, raw = answers.buffers()
+        edges = (np.frombuffer(offsets, np.int64)[cuts] >> 2).tolist() if len(cuts) > 1 else []
+        ids, i = np.frombuffer(raw or b"", "<u4"), 0
+        for at, alone in enumerate(whole.to_pylist()):
+            if alone:
+                (answer,) = self.library.encode_batch_fast([texts[at].as_py()], add_special_tokens=False)
+                yield np.array(answer.ids, "<u4")
+            else:
+                yield ids[edges[i] + 1 : edges[i + 1]]  # the newline before the first stretch goes
+                i += 1
 
     def encode(self, text: str) -> list[int]:
-        return self.encode_many([text])[0].tolist()
+        return next(self.encode_many([text])).tolist()
 
 
 @lru_cache(maxsize=2)
@@ -341,9 +336,8 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: in
                 path, hidden = f"{root}/part-{part:07d}.s8b", f"{root}/.{part:07d}-{uuid.uuid4().hex}"
                 writer = Writer(files.open_output_stream(hidden))
                 e = encoder(tokenizer)
-            for piece in sliced(batch, "text"):
-                texts = [x or "" for x in piece.column("text").to_pylist()]
-                for doc_id, ids in zip(piece.column("doc_id").to_pylist(), e.encode_many(texts), strict=True):
+            for piece in sliced(batch, "text", SLICE):
+                for doc_id, ids in zip(piece.column("doc_id").to_pylist(), e.encode_many(piece.column("text")), strict=True):
                     writer.add(doc_id, np.append(ids, np.uint32(end_id)))
         if writer is not None:
             writer.close()

@@ -89,3 +89,81 @@ def test_signs_behind_words():
     for _ in range(400):
         text = "".join(rnd.choice(words) + rnd.choice(tails) + rnd.choice([" ", " ", "\n", "  ", "\n\n"]) for _ in range(rnd.randint(1, 12)))
         assert e.encode(text) == e._ask(text), text
+
+
+def counted(encoder):
+    """The encoder with a library that notes how many characters it is asked for."""
+
+    class Library:
+        asked = 0
+
+        def __init__(self, library):
+            self.encode = library.encode
+            self.batch = library.encode_batch_fast
+
+        def encode_batch_fast(self, texts, **options):
+            self.asked += sum(map(len, texts))
+            return self.batch(texts, **options)
+
+    encoder.library = Library(encoder.library)
+    return encoder
+
+
+def test_library_sees_new_stretches_once_and_nothing_else():
+    e = counted(T.Encoder(PATH))
+    words = [f"{a}{b}{c}" for a in ("ba", "ne", "Ko") for b in ("lu", "ti", "ra") for c in "bcdfghklmn"]
+    text = " ".join(words) + "\n" + " ".join(w + x for w in words for x in (".", ",", "!?"))
+    want = e.library.encode(text, add_special_tokens=False).ids
+    assert e.encode(text) == want
+    # Each word with a space; the first of each line with a newline too, and once more where it stands behind a space.
+    assert e.library.asked <= sum(len(w) + 1 for w in words) + 2 * (len(words[0]) + 1)
+    asked = e.library.asked
+    assert e.encode(text) == want and e.library.asked == asked
+
+
+def test_repeated_stretches_are_not_python_objects():
+    import tracemalloc
+
+    e = T.Encoder(PATH)
+    words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400)]
+    text = " ".join(words * 1000)
+    once = e.encode(" ".join(words))
+    tracemalloc.start()
+    (ids,) = e.encode_many([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * 400_000
+    assert ids[: len(once)].tolist() == once and len(ids) > 400_000
+
+
+def test_many_texts_keep_their_places_and_forgotten_stretches_are_asked_again():
+    import random
+
+    import pyarrow as pa
+
+    e, rnd = T.Encoder(PATH), random.Random(4)
+    e.REMEMBERED, e.LONGEST = 50, 6
+    parts = ["a", "the", "word", "longer", " ", " ", "\n", "\n\n", "  ", "é", "日本", "\t", "'s", "12", "?!", "<|endoftext|>", "\x00", "​", "Ġ", "Ċ", "]", "\\", "-", "^"]
+    for _ in range(300):
+        texts = [None if rnd.random() < 0.1 else "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 12))) for _ in range(rnd.randint(0, 20))]
+        got = [ids.tolist() for ids in e.encode_many(pa.array(texts, pa.string()))]
+        assert got == [e.library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert e.older and len(e.known) < 500
+
+
+def test_words_hold_as_many_ids_as_they_can():
+    rng = np.random.default_rng(6)
+    for n in (1, 7, 61, 1000):
+        ids = (rng.integers(0, 2**63, n).astype(np.uint64) << np.uint64(1)) >> rng.choice([0, 1, 4, 40, 50, 58, 63], n).astype(np.uint64)
+        want, at = [], 0
+        while at < n:
+            for s, (count, bits) in enumerate(T.SELECTORS):
+                held = ids[at : at + count].tolist()
+                if all(x < 1 << bits for x in held):
+                    want.append(s << 60 | sum(x << i * bits for i, x in enumerate(held)))
+                    break
+            else:
+                held = ids[at : at + 1].tolist()
+                want += [T.ESCAPE << 60, *held]
+            at += len(held)
+        assert T.pack(ids).tolist() == want
