@@ -191,7 +191,7 @@ class Reader:
 class Encoder:
     """The tokenizers library, asked once for each short stretch of text.
 
-    Byte-level BPE cuts a text before a single space between two other characters, and around a single newline between two.
+    Byte-level BPE cuts a text before a single space between two other characters, and around each of one or two newlines between two.
     Arrow cuts the texts there and numbers the different stretches; Python sees each of these once. Those that a worker does not
     remember go to the library joined as they would stand in a text: the ids that begin with a space or newline part the answers.
     What a worker remembers is bounded in bytes. A text with any other white space, or with a special token, goes to the library whole.
@@ -220,13 +220,14 @@ class Encoder:
         ids, marks = [*chain(*pieces)], [i == 0 and piece not in (1, 4) for piece, x in enumerate(pieces) for i in range(len(x))]
         # False: this tokenizer does not cut there, so every text goes to the library.
         self.parts = len(newline) == 1 and self._ask("\na b\nc d") == ids and self._ask("a b") == [*pieces[1], *space] and self.begins[ids].tolist() == marks
+        self.parts = self.parts and self._ask("a\n\nc\n b\n") == [*pieces[1], *newline, *newline, *pieces[4], *newline, *space, *newline]
         # None: this tokenizer does not cut between letters and signs.
         signs = [x for x in (".", ",", "...", "!?", ",###", "$$$", "-", ")") if not any(y in x for y in self.special)]
         cuts = all(self._ask(f" word{x}") == self._ask(" word") + self._ask(f"a{x}")[len(self._ask("a")) :] for x in signs)
         self.tails: dict[str, bytes] | None = {} if cuts and not any(x.strip(SIGNS) == "" for x in self.special) else None
-        # Texts that go to the library whole: other white space, two of ours in a row or at an end, a special token, nothing at all.
+        # Texts that go to the library whole: other white space, more of ours in a row or at an end, a special token, nothing at all.
         spaces = "".join(f"\\x{{{i:x}}}" for i in range(1 << 16) if chr(i).isspace() and chr(i) not in " \n")  # none lies higher
-        self.whole = "|".join([r"\A(?:[ \n]|\z)", r"[ \n](?:[ \n]|\z)", f"[{spaces}]", *map(re.escape, self.special)])
+        self.whole = "|".join([r"\A(?:[ \n]|\z)", r" (?:[ \n]|\z)", r"\n(?: |\n\n|\n\z)", f"[{spaces}]", *map(re.escape, self.special)])
 
     def _ask(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids

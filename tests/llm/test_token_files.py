@@ -167,3 +167,13 @@ def test_words_hold_as_many_ids_as_they_can():
                 want += [T.ESCAPE << 60, *held]
             at += len(held)
         assert T.pack(ids).tolist() == want
+
+
+def test_blank_lines_and_a_last_newline_are_cut_too():
+    e = counted(T.Encoder(PATH))
+    for text in ("one two.\n\nthree\nfour\n", "x\n\ny z\n", "a\n\n\nb", "a\n\n", "a\n\n b", "a \n\nb", "\n\na"):
+        assert e.encode(text) == e.library.encode(text, add_special_tokens=False).ids, text
+    e.encode("one two.\n\nthree\nfour\n")
+    asked = e.library.asked
+    e.encode("one\ntwo.\n\nfour three\n\n" + "two three.\n\n" * 50 + "two\n")
+    assert e.library.asked - asked <= len("\ntwo\n four two")
